@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finlake.plans import revenue
+from finlake.plans import churn, profitability, revenue
 
 # name -> (plan, runs on the planted-defect star)
 PLANS: dict[str, tuple[Callable[..., DataFrame], bool]] = {}
@@ -22,6 +22,14 @@ _reg(revenue, ["rev_kpis", "rev_annual_yoy", "rev_quarterly_qoq", "rev_monthly_y
                "rev_by_industry", "rev_by_region_year", "rev_by_product_line", "rev_mix_recurring",
                "rev_category_heatmap", "rev_rolling", "rev_seasonality", "rev_yoy_bridge",
                "rev_forecast_next_year", "rev_by_payment_status", "rev_overdue_by_region"])
+_reg(churn, ["chn_summary", "chn_annual", "chn_monthly", "chn_by_plan", "chn_by_segment",
+             "chn_by_region", "chn_by_reason_type", "chn_voluntary_share", "chn_cohort_size",
+             "chn_cohort_retention", "chn_days_buckets", "chn_at_risk_top50", "chn_risk_by_plan",
+             "chn_win_back", "chn_nrr"])
+_reg(profitability, ["prf_margin_line_year", "prf_margin_category", "prf_margin_quarterly",
+                     "prf_clv_plan", "prf_clv_segment_region", "prf_clv_top20", "prf_annual_pnl",
+                     "prf_department_pnl", "prf_monthly_variance", "prf_missed_budget",
+                     "prf_headcount", "prf_scorecard"])
 
 
 def _star(spark: SparkSession, sf_dir: str, defects: bool):
@@ -43,8 +51,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    from finlake.oracle import churn as o_chn
+    from finlake.oracle import profitability as o_prf
     from finlake.oracle import revenue as o_rev
     out: dict[str, str] = {}
-    for mod in (o_rev,):
+    for mod in (o_rev, o_chn, o_prf):
         out.update(mod.Q)
     return {k: v for k, v in out.items() if k in PLANS}
