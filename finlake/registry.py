@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finlake.plans import churn, profitability, revenue
+from finlake.plans import churn, profitability, quality, revenue
 
 # name -> (plan, runs on the planted-defect star)
 PLANS: dict[str, tuple[Callable[..., DataFrame], bool]] = {}
@@ -30,6 +30,13 @@ _reg(profitability, ["prf_margin_line_year", "prf_margin_category", "prf_margin_
                      "prf_clv_plan", "prf_clv_segment_region", "prf_clv_top20", "prf_annual_pnl",
                      "prf_department_pnl", "prf_monthly_variance", "prf_missed_budget",
                      "prf_headcount", "prf_scorecard"])
+_reg(quality, ["dq_nulls_customers", "dq_nulls_transactions", "dq_nulls_churn", "dq_dup_customers",
+               "dq_dup_transactions", "dq_dup_churn", "dq_dup_budget", "dq_orphan_txn_dates",
+               "dq_orphan_churn_dates", "dq_orphan_budget_dates", "dq_nonpositive_revenue",
+               "dq_cogs_exceeds_revenue", "dq_gross_profit_mismatch", "dq_arr_mrr_mismatch",
+               "dq_health_range", "dq_churn_before_acq", "dq_days_to_churn", "dq_nps_range",
+               "dq_variance_mismatch", "dq_mrr_by_plan", "dq_revenue_by_line", "dq_churn_by_reason",
+               "dq_revenue_outliers", "dq_high_tickets", "dq_scorecard"], defects=True)
 
 
 def _star(spark: SparkSession, sf_dir: str, defects: bool):
@@ -53,8 +60,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from finlake.oracle import churn as o_chn
     from finlake.oracle import profitability as o_prf
+    from finlake.oracle import quality as o_dq
     from finlake.oracle import revenue as o_rev
     out: dict[str, str] = {}
-    for mod in (o_rev, o_chn, o_prf):
+    for mod in (o_rev, o_chn, o_prf, o_dq):
         out.update(mod.Q)
     return {k: v for k, v in out.items() if k in PLANS}
