@@ -17,8 +17,8 @@ def parse_date(s) -> Column:
     """Text date -> DATE.  Accepts d-MMM-yyyy (5-Jan-2022, 05-JAN-2022) and
     yyyy-MM-dd; anything else becomes NULL instead of failing the job."""
     t = F.trim(col_(s))
-    return F.coalesce(F.try_to_date(t, F.lit("d-MMM-yyyy")),
-                      F.try_to_date(t, F.lit("yyyy-MM-dd")))
+    return F.coalesce(F.try_to_date(t, "d-MMM-yyyy"),
+                      F.try_to_date(t, "yyyy-MM-dd"))
 
 
 def calendar_columns(d, fiscal_start_month: int = 1) -> list[Column]:

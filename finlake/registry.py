@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finlake.plans import churn, profitability, quality, revenue
+from finlake.plans import churn, profitability, quality, revenue, warehouse
 
-# name -> (plan, runs on the planted-defect star)
-PLANS: dict[str, tuple[Callable[..., DataFrame], bool]] = {}
+# name -> (plan, source): source "star" = clean star, "defects" = planted-
+# defect star, "raw" = plan takes (spark, sf_dir) itself
+PLANS: dict[str, tuple[Callable[..., DataFrame], str]] = {}
 
 
-def _reg(module, names: list[str], defects: bool = False) -> None:
+def _reg(module, names: list[str], defects: bool = False, attr: dict | None = None) -> None:
     for n in names:
-        PLANS[n] = (getattr(module, n), defects)
+        PLANS[n] = (getattr(module, (attr or {}).get(n, n)), "defects" if defects else "star")
 
 
 _reg(revenue, ["rev_kpis", "rev_annual_yoy", "rev_quarterly_qoq", "rev_monthly_ytd_mom",
@@ -37,6 +38,13 @@ _reg(quality, ["dq_nulls_customers", "dq_nulls_transactions", "dq_nulls_churn",
                "dq_health_range", "dq_churn_before_acq", "dq_days_to_churn", "dq_nps_range",
                "dq_variance_mismatch", "dq_mrr_by_plan", "dq_revenue_by_line", "dq_churn_by_reason",
                "dq_revenue_outliers", "dq_high_tickets", "dq_scorecard"], defects=True)
+_reg(warehouse, ["load_dim_date", "verify_calendar", "sample_calendar", "load_dim_customers",
+                 "load_fact_transactions", "load_fact_churn", "load_fact_budget", "load_counts_staging",
+                 "load_counts_warehouse", "load_counts_single", "table_inventory"],
+     attr={n: f"q_{n}" for n in ["load_dim_customers", "load_fact_transactions", "load_fact_churn",
+                                 "load_fact_budget"]})
+_reg(warehouse, ["check_constraints"], defects=True)
+PLANS["load_product_seed"] = (warehouse.load_product_seed, "raw")
 
 
 def _star(spark: SparkSession, sf_dir: str, defects: bool):
@@ -45,10 +53,12 @@ def _star(spark: SparkSession, sf_dir: str, defects: bool):
 
 
 def make_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    fn, defects = PLANS[name]
+    fn, source = PLANS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(_star(spark, sf_dir, defects))
+        if source == "raw":
+            return fn(spark, sf_dir)
+        return fn(_star(spark, sf_dir, source == "defects"))
     run.__name__ = name
     return run
 
@@ -61,8 +71,9 @@ def oracle_sql() -> dict[str, str]:
     from finlake.oracle import churn as o_chn
     from finlake.oracle import profitability as o_prf
     from finlake.oracle import quality as o_dq
+    from finlake.oracle import warehouse as o_wh
     from finlake.oracle import revenue as o_rev
     out: dict[str, str] = {}
-    for mod in (o_rev, o_chn, o_prf, o_dq):
+    for mod in (o_rev, o_chn, o_prf, o_dq, o_wh):
         out.update(mod.Q)
     return {k: v for k, v in out.items() if k in PLANS}
