@@ -37,3 +37,18 @@ def write_table(df: DataFrame, path: str, name: str | None = None,
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("created_at")
+
+
+def write_star(star: dict, root: str) -> dict[str, str]:
+    """Materialize a star schema under ``root`` (one Parquet table each)."""
+    paths = {}
+    for name, df in star.items():
+        p = f"{root}/{name}"
+        write_table(df, p, name)
+        paths[name] = p
+    return paths
+
+
+def read_star(spark: SparkSession, root: str, names=None) -> dict[str, DataFrame]:
+    from finlake.schemas import WAREHOUSE
+    return {n: read_table(spark, f"{root}/{n}") for n in (names or WAREHOUSE)}

@@ -209,7 +209,7 @@ def _budget(lines: DataFrame) -> DataFrame:
     )
 
 
-def _plant_defects(star: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def plant_defects(star: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Deterministic defects so every data-quality rule has work to find."""
     c = star["dim_customers"]
     k = F.col("customer_key")
@@ -264,4 +264,4 @@ def star_from_testdata(spark: SparkSession, sf_dir: str, defects: bool = False)
         "fact_churn": _churn(base),
         "fact_budget_vs_actual": _budget(lines),
     }
-    return _plant_defects(star) if defects else star
+    return plant_defects(star) if defects else star
