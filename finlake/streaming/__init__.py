@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference workload is batch only: no watermark, window, state or
+late-data construct appears in it, so no streaming operator is provided.
+Incremental loads reuse the batch loaders in ``finlake.plans.warehouse``.
+"""
