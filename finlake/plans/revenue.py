@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from finlake.functions.exact import out_double, pct, quotient
-from finlake.operators.ranking import with_ntile
+from finlake.operators.ranking import with_ntile, with_prefix_sum
 from finlake.operators.windows import lag_growth_pct, moving_avg, running_total, with_share
 from finlake.plans._common import Star, dates, dbl_avg, dbl_sum, n_distinct, n_rows, products
 
@@ -125,6 +125,18 @@ def rev_mrr_pareto(star: Star, quantiles: int = 5) -> DataFrame:
                     out_double("_q").alias("quintile_mrr_pct")).orderBy("quintile")
 
 
+def rev_mrr_pareto_ranked(star: Star, quantiles: int = 5) -> DataFrame:
+    """Per active customer: MRR share, cumulative share in descending MRR
+    order and quintile (the ranked CTE of the Pareto statement).  One
+    distributed ordering yields the running sum, the total and the NTILE."""
+    c = _active(star).select("customer_id", "company_name", "plan", "segment", "mrr_inr")
+    r = with_prefix_sum(c, [F.col("mrr_inr").desc(), F.col("customer_id").asc()], "mrr_inr",
+                        out="_run", total="_tot", ntile=(quantiles, "quintile"))
+    return r.select("customer_id", "company_name", "plan", "segment", out_double("mrr_inr").alias("mrr_inr"),
+                    out_double(pct("mrr_inr", "_tot", 4)).alias("mrr_share_pct"),
+                    out_double(pct("_run", "_tot", 2)).alias("cumulative_mrr_pct"), "quintile")
+
+
 def _shared(g: DataFrame, cols: list, order_desc: str = "total_revenue") -> DataFrame:
     g = with_share(g, "_rev", "_share")
     return g.select(*cols, out_double("_share").alias("revenue_share_pct")) \

@@ -19,7 +19,8 @@ def _reg(module, names: list[str], defects: bool = False, attr: dict | None = No
 
 
 _reg(revenue, ["rev_kpis", "rev_annual_yoy", "rev_quarterly_qoq", "rev_monthly_ytd_mom",
-               "rev_mrr_by_plan", "rev_mrr_segment_region", "rev_mrr_pareto", "rev_by_segment",
+               "rev_mrr_by_plan", "rev_mrr_segment_region", "rev_mrr_pareto", "rev_mrr_pareto_ranked",
+               "rev_by_segment",
                "rev_by_industry", "rev_by_region_year", "rev_by_product_line", "rev_mix_recurring",
                "rev_category_heatmap", "rev_rolling", "rev_seasonality", "rev_yoy_bridge",
                "rev_forecast_next_year", "rev_by_payment_status", "rev_overdue_by_region"])

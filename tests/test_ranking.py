@@ -34,3 +34,20 @@ def test_surrogate_keys_dense(spark):
     df = spark.createDataFrame([(f"C{i:03d}",) for i in range(50)], "code string")
     keys = [r.k for r in with_surrogate_key(df, "k", ["code"], partitions=4).orderBy("code").collect()]
     assert keys == list(range(1, 51))
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_prefix_sum_matches_window(spark, parts):
+    from decimal import Decimal
+
+    from finlake.operators.ranking import with_prefix_sum
+    rnd = random.Random(parts)
+    rows = [(i, Decimal(rnd.choice(["1.10", "2.25", "5.00", "9.99"])) if i % 17 else None) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, v decimal(12,2)")
+    order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
+    ours = with_prefix_sum(df, order, "v", "run", total="tot", ntile=(5, "q"), partitions=parts)
+    w = Window.orderBy(*order)
+    ref = df.select("id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
+                    F.sum("v").over(Window.partitionBy()).alias("tot"), F.ntile(5).over(w).alias("q"))
+    assert sorted(map(tuple, ours.select("id", "run", "tot", "q").collect())) == \
+        sorted(map(tuple, ref.collect()))
