@@ -362,16 +362,29 @@ def not_null_columns(table: str, df: DataFrame) -> list[str]:
 
 
 def check_constraints(star: Star) -> DataFrame:
-    """Declared constraints as jobs: unique keys (keys occurring more than
-    once), foreign keys (orphan rows), enum domains and NOT NULL.  Row-level
-    rules run as one pass per table."""
+    """Declared constraints as jobs: NOT NULL, enum domains and foreign keys
+    (orphan rows) in ONE pass per table -- the table is left-joined to the
+    distinct key set of each referenced dimension (broadcast when the
+    dimension is bounded) and every rule becomes a conditional count -- plus
+    one aggregation per table for the unique key (keys occurring twice or
+    more)."""
     parts: list[DataFrame] = []
     for t in TABLE_ORDER:
         df = star[t]
         rules = {f"not_null:{c}": F.col(c).isNull() for c in not_null_columns(t, df)}
         for c, dom in ENUM_DOMAINS.get(t, {}).items():
             rules[f"enum:{c}"] = domain_violations(df, c, dom)
-        agg = df.agg(*[F.count_if(p).alias(n) for n, p in rules.items()])
+        j = df
+        for i, ((tt, c), (dt, dc)) in enumerate(FOREIGN_KEYS.items()):
+            if tt != t:
+                continue
+            k = f"__fk{i}"
+            d = star[dt].select(F.col(dc).alias(k)).distinct()
+            if dt in ("dim_date", "dim_product"):
+                d = F.broadcast(d)
+            j = j.join(d, j[c] == d[k], "left")
+            rules[f"fk:{c}->{dt}.{dc}"] = F.col(k).isNull()
+        agg = j.agg(*[F.count_if(p).alias(n) for n, p in rules.items()])
         stack = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("violations"))
                                     for n in rules]))
         parts.append(agg.select(stack.alias("r")).select(F.lit(t).alias("table_name"), "r.rule", "r.violations"))
@@ -380,13 +393,6 @@ def check_constraints(star: Star) -> DataFrame:
                .agg(F.count(F.lit(1)).alias("violations")))
         parts.append(dup.select(F.lit(t).alias("table_name"), F.lit(f"unique:{','.join(keys)}").alias("rule"),
                                 "violations"))
-    for (t, c), (dt, dc) in FOREIGN_KEYS.items():
-        d = star[dt].select(F.col(dc).alias("__k")).distinct()
-        if dt in ("dim_date", "dim_product"):
-            d = F.broadcast(d)
-        o = star[t].join(d, star[t][c] == d["__k"], "left_anti").agg(F.count(F.lit(1)).alias("violations"))
-        parts.append(o.select(F.lit(t).alias("table_name"), F.lit(f"fk:{c}->{dt}.{dc}").alias("rule"),
-                              "violations"))
     return reduce(DataFrame.unionByName, parts).withColumn("violations", F.col("violations").cast("long"))
 
 

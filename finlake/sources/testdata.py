@@ -107,31 +107,56 @@ DIM_CUSTOMER_COLS = ["customer_key", "customer_id", "company_name", "plan", "seg
                      "is_active"]
 
 
-def priced_lines(t: dict[str, DataFrame], dim_product: DataFrame) -> DataFrame:
-    """lineitem x orders x part x product with the money columns of a fact row."""
+def _cents(c: str) -> F.Column:
+    """A 2-decimal double (price, rate) as exact integer hundredths; equal to
+    CAST(x AS DECIMAL(p,2)) for the 2-decimal values of the inputs."""
+    return F.round(F.col(c) * 100).cast("long")
+
+
+def _from_cents(c: F.Column, precision: int = 14) -> F.Column:
+    return (c.cast(D(18, 0)) * F.lit(0.01).cast(D(2, 2))).cast(D(precision, 2))
+
+
+def priced_lines(t: dict[str, DataFrame], dim_product: DataFrame,
+                 orders: DataFrame | None = None) -> DataFrame:
+    """lineitem x orders x part x product with the money columns of a fact row.
+
+    Money is computed in exact integer cents (non-negative inputs, HALF_UP by
+    adding half a unit before the integer division) and converted to DECIMAL
+    once, instead of chains of wide-decimal multiplications per row:
+      revenue = ROUND(price * (1 - discount), 2)
+      cogs    = ROUND(revenue * (cogs_pct_std + tax * 100) * 0.01, 2)
+      margin  = 100 - cogs_pct_std - tax * 100
+    """
     li = t["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
                               "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                               "l_shipdate")
     pa = t["part"].select("p_partkey", "p_brand", "p_type")
-    x = (li.join(_orders(t), F.col("l_orderkey") == F.col("o_orderkey"))
+    o = orders if orders is not None else _orders(t)
+    prod = F.broadcast(dim_product.select(
+        "product_key", "cogs_pct_std", (F.col("cogs_pct_std") * 100).cast("long").alias("_std_bp")))
+    x = (li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
          .join(pa, F.col("l_partkey") == F.col("p_partkey"))
          .withColumn("product_key", F.substring("p_brand", 7, 3).cast("int"))
-         .join(F.broadcast(dim_product.select("product_key", "cogs_pct_std")), "product_key"))
-    tax = F.col("l_tax").cast(D(4, 2))
-    revenue = F.round(F.col("l_extendedprice").cast(D(14, 2))
-                      * (F.lit(1) - F.col("l_discount").cast(D(4, 2))), 2).cast(D(14, 2))
-    x = x.withColumn("revenue_inr", revenue)
-    cogs = F.round(F.col("revenue_inr") * (F.col("cogs_pct_std") + tax * 100)
-                   * F.lit(0.01).cast(D(2, 2)), 2).cast(D(14, 2))
-    return (x.withColumn("cogs_inr", cogs)
-            .withColumn("gross_profit_inr", (F.col("revenue_inr") - F.col("cogs_inr")).cast(D(14, 2)))
-            .withColumn("gross_margin_pct", (F.lit(100) - F.col("cogs_pct_std") - tax * 100).cast(D(6, 2))))
-
-
-def _transactions(lines: DataFrame, cust: DataFrame) -> DataFrame:
+         .join(prod, "product_key"))
+    x = (x.withColumn("_price_c", _cents("l_extendedprice")).withColumn("_disc_c", _cents("l_discount"))
+         .withColumn("_rev_c", F.expr("(_price_c * (100 - _disc_c) + 50) div 100"))
+         .withColumn("_pct_bp", F.col("_std_bp") + _cents("l_tax") * 100))
+    x = x.withColumn("_cogs_c", F.expr("(_rev_c * _pct_bp + 5000) div 10000"))
+    return (x.withColumn("revenue_inr", _from_cents(F.col("_rev_c")))
+            .withColumn("cogs_inr", _from_cents(F.col("_cogs_c")))
+            .withColumn("gross_profit_inr", _from_cents(F.col("_rev_c") - F.col("_cogs_c")))
+            .withColumn("gross_margin_pct", _from_cents(F.lit(10000) - F.col("_pct_bp"), 6))
+            .drop("_rev_c", "_cogs_c", "_pct_bp", "_std_bp", "_price_c", "_disc_c"))
+
+
+def _transactions(t: dict[str, DataFrame], dim_product: DataFrame, cust: DataFrame) -> DataFrame:
+    """Customer attributes are joined to orders first, so line-level rows are
+    shuffled once (by order key) rather than again by customer key."""
     d = F.col("odate")
     c = cust.select("customer_key", "plan", "segment", "region")
-    x = lines.join(c, F.col("o_custkey") == F.col("customer_key"))
+    orders = _orders(t).join(c, F.col("o_custkey") == F.col("customer_key"))
+    x = priced_lines(t, dim_product, orders)
     return x.select(
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                    "l_extendedprice").alias("transaction_key"),
@@ -260,7 +285,7 @@ def star_from_testdata(spark: SparkSession, sf_dir: str, defects: bool = False)
         "dim_date": calendar_spanning(t["orders"].select(F.col("o_orderdate").alias("d"))),
         "dim_product": dim_product,
         "dim_customers": cust,
-        "fact_transactions": _transactions(lines, cust),
+        "fact_transactions": _transactions(t, dim_product, cust),
         "fact_churn": _churn(base),
         "fact_budget_vs_actual": _budget(lines),
     }
