@@ -77,13 +77,14 @@ def _pct_to_ratio(p: Column) -> Column:
     return (p.cast(D(12, 6)) / F.lit(100).cast(D(3, 0))).cast(D(10, 8))
 
 
-def _clv_group(star: Star, keys: list[str], total: bool) -> DataFrame:
+def _clv_group(star: Star, keys: list[str], total: bool, dedup: bool = False) -> DataFrame:
     """CLV = AVG(mrr) x AVG(margin)/100 x AVG(lifetime months), where the
     averages run over customer x transaction rows, as in the reference
     (customers with more transactions weigh more).  The weighted sums are
-    computed from per-customer aggregates."""
+    computed from per-customer aggregates.  ``dedup=True`` averages MRR and
+    lifetime over customers instead (each customer once)."""
     b = _clv_base(star)
-    n = F.col("_n")
+    n = F.lit(1).cast("long") if dedup else F.col("_n")
     g = (b.groupBy(*keys)
          .agg(F.countDistinct("customer_key").alias("customer_count"),
               F.sum(F.col("mrr_inr") * n).alias("_mrr_w"),
@@ -106,12 +107,12 @@ def _clv_group(star: Star, keys: list[str], total: bool) -> DataFrame:
     return g.select(*cols).orderBy(F.col("avg_clv_inr").desc())
 
 
-def prf_clv_plan(star: Star) -> DataFrame:
-    return _clv_group(star, ["plan"], total=True)
+def prf_clv_plan(star: Star, dedup: bool = False) -> DataFrame:
+    return _clv_group(star, ["plan"], total=True, dedup=dedup)
 
 
-def prf_clv_segment_region(star: Star) -> DataFrame:
-    return _clv_group(star, ["segment", "region"], total=False)
+def prf_clv_segment_region(star: Star, dedup: bool = False) -> DataFrame:
+    return _clv_group(star, ["segment", "region"], total=False, dedup=dedup)
 
 
 def prf_clv_top20(star: Star, k: int = 20) -> DataFrame:

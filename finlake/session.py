@@ -29,7 +29,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
          .config("spark.ui.enabled", "false")
          .config("spark.driver.memory", os.environ.get("FINLAKE_DRIVER_MEM", "16g"))
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-         .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -35,8 +35,9 @@ def calendar_spanning(dates: DataFrame, col: str = "d",
     span = bounds.select(
         F.make_date(F.year("lo"), F.lit(1), F.lit(1)).alias("s"),
         F.make_date(F.year("hi"), F.lit(12), F.lit(31)).alias("e"))
-    checked = span.select(
-        "s", "e", F.assert_true(F.datediff("e", "s") < MAX_CALENDAR_DAYS,
-                                F.lit("calendar span too large")).alias("_ok"))
-    days = checked.select(F.explode(F.sequence("s", "e", F.expr("interval 1 day"))).alias("d"))
+    # the bound check is part of the expression that generates the days, so
+    # column pruning cannot drop it
+    end = F.when(F.datediff("e", "s") < MAX_CALENDAR_DAYS, F.col("e")).otherwise(
+        F.raise_error(F.lit("calendar span too large")).cast("date"))
+    days = span.select(F.explode(F.sequence("s", end, F.expr("interval 1 day"))).alias("d"))
     return days.select(*calendar_columns("d", fiscal_start_month))

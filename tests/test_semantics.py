@@ -99,3 +99,38 @@ def test_rank_ties_share_rank(spark):
     df = spark.createDataFrame([(2022, "a", 1.5), (2022, "b", 1.5), (2022, "c", 1.0)], "y int, l string, m double")
     r = df.select("l", F.rank().over(Window.partitionBy("y").orderBy(F.col("m").desc())).alias("k")).collect()
     assert sorted((x.l, x.k) for x in r) == [("a", 1), ("b", 1), ("c", 3)]
+
+
+def test_category_year_heatmap_pivot(spark):
+    from finlake.plans.revenue import category_year_heatmap
+    from finlake.sources.testdata import star_from_testdata
+    from tests.conftest import SF_SMALL
+    star = star_from_testdata(spark, SF_SMALL)
+    hm = category_year_heatmap(star, [1995, 1996])
+    assert hm.columns == ["category", "fy_1995", "fy_1996"] and hm.count() == 5
+    t = star["fact_transactions"].join(star["dim_product"], "product_key").filter("fiscal_year = 1995")
+    want = {r[0]: float(round(r[1], 0)) for r in t.groupBy("category").agg(F.sum("revenue_inr")).collect()}
+    assert {r.category: r.fy_1995 for r in hm.collect()} == want
+
+
+def test_clv_dedup_variant(spark):
+    from finlake.plans.profitability import prf_clv_plan
+    from finlake.sources.testdata import star_from_testdata
+    from tests.conftest import SF_SMALL
+    star = star_from_testdata(spark, SF_SMALL)
+    a = {r.plan: r for r in prf_clv_plan(star).collect()}
+    b = {r.plan: r for r in prf_clv_plan(star, dedup=True).collect()}
+    assert set(a) == set(b)
+    assert all(a[p].customer_count == b[p].customer_count for p in a)
+    assert any(a[p].avg_mrr != b[p].avg_mrr for p in a)
+
+
+def test_calendar_span_is_checked(spark):
+    import pytest as _pt
+
+    from finlake.sources.calendar import calendar_spanning
+    df = spark.createDataFrame([(dt.date(1000, 1, 1),), (dt.date(2020, 1, 1),)], "d date")
+    with _pt.raises(Exception, match="calendar span too large"):
+        calendar_spanning(df).select("date_key").count()
+    ok = spark.createDataFrame([(dt.date(2022, 3, 1),), (dt.date(2024, 2, 1),)], "d date")
+    assert calendar_spanning(ok).count() == 1096
