@@ -24,12 +24,22 @@ def read_staging(spark: SparkSession, path: str, table: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, name: str | None = None,
-                mode: str = "overwrite") -> None:
+                mode: str = "overwrite", files_per_partition: int | None = None,
+                spread_cols: list[str] | None = None) -> None:
     """INSERT ... SELECT into a warehouse table: Parquet, facts partitioned by
-    fiscal_year, with a load timestamp column."""
+    fiscal_year, with a load timestamp column.
+
+    ``files_per_partition`` shuffles rows by (partition value, hash bucket of
+    ``spread_cols``) first, so each task writes one file of one year and a
+    year holding most rows is still spread over that many tasks; buckets come
+    from a hash, so a retried task rewrites exactly the same rows."""
     out = df.withColumn("created_at", F.current_timestamp())
-    w = out.write.mode(mode)
     parts = PARTITION_COLS.get(name or "", [])
+    if parts and files_per_partition:
+        spread = spread_cols or [c for c in df.columns if c not in parts][:1]
+        bucket = F.pmod(F.xxhash64(*spread), F.lit(files_per_partition))
+        out = out.repartition(*[F.col(p) for p in parts], bucket)
+    w = out.write.mode(mode)
     if parts:
         w = w.partitionBy(*parts)
     w.parquet(path)

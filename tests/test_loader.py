@@ -49,3 +49,18 @@ def test_hand_rows_quotes_crlf_rejects(spark):
     assert got["T1"].invoice_id == "I1"          # last column has no stray \r
     rej = {r.TransactionID: r.reject_reason for r in reject_transactions(stg, cust, prod).collect()}
     assert rej == {"T3": "unknown customer", "T4": "unknown product"}
+
+
+def test_write_table_spread_files(spark):
+    import glob
+
+    from finlake.sources.staging import read_table, write_table
+    star = star_from_testdata(spark, SF_SMALL)
+    d = tempfile.mkdtemp(dir=spark.conf.get("spark.checkpoint.dir"))
+    fact = star["fact_transactions"]
+    write_table(fact, f"{d}/ft", "fact_transactions", files_per_partition=2, spread_cols=["customer_key"])
+    years = glob.glob(f"{d}/ft/fiscal_year=*")
+    assert len(years) == fact.select("fiscal_year").distinct().count()
+    assert all(len(glob.glob(f"{y}/*.parquet")) <= 2 for y in years)
+    back = read_table(spark, f"{d}/ft").select(*fact.columns)
+    assert back.exceptAll(fact).count() == 0 and fact.exceptAll(back).count() == 0
