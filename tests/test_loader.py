@@ -2,7 +2,6 @@
 import os
 import tempfile
 
-from pyspark.sql import functions as F
 
 from finlake.plans.warehouse import (load_dim_customers, load_fact_transactions, reject_transactions,
                                      render_customers, staging_from_star)
