@@ -14,14 +14,14 @@ from finlake.plans._common import Star, dates, dbl_avg, dbl_sum, n_distinct, n_r
 D = DecimalType
 
 
-def rev_kpis(star: Star) -> DataFrame:
+def rev_kpis(star: Star, exact: bool = True) -> DataFrame:
     """Overall revenue KPIs in one pass over the fact."""
     t = star["fact_transactions"]
     g = t.agg(F.sum("revenue_inr").alias("rev"), F.sum("cogs_inr").alias("cogs"),
               F.sum("gross_profit_inr").alias("gp"),
               F.avg("gross_margin_pct").alias("m"),
-              F.countDistinct("transaction_id").alias("total_transactions"),
-              F.countDistinct("customer_key").alias("unique_customers_billed"))
+              n_distinct("transaction_id", "total_transactions", exact),
+              n_distinct("customer_key", "unique_customers_billed", exact))
     return g.select(
         out_double(F.round("rev", 0)).alias("total_revenue_inr"),
         out_double(F.round("cogs", 0)).alias("total_cogs_inr"),
@@ -32,14 +32,14 @@ def rev_kpis(star: Star) -> DataFrame:
         .alias("avg_revenue_per_customer"))
 
 
-def rev_annual_yoy(star: Star) -> DataFrame:
+def rev_annual_yoy(star: Star, exact: bool = True) -> DataFrame:
     t = star["fact_transactions"]
     g = (t.groupBy(F.col("fiscal_year").cast("int").alias("fiscal_year"))
          .agg(F.sum("revenue_inr").alias("_rev"),
               dbl_sum("gross_profit_inr", "total_gross_profit_inr"),
               dbl_avg("gross_margin_pct", "avg_gross_margin_pct", 2),
-              n_distinct("transaction_id", "total_transactions"),
-              n_distinct("customer_key", "unique_customers")))
+              n_distinct("transaction_id", "total_transactions", exact),
+              n_distinct("customer_key", "unique_customers", exact)))
     return g.select(
         "fiscal_year", out_double(F.round("_rev", 0)).alias("total_revenue_inr"),
         "total_gross_profit_inr", "avg_gross_margin_pct", "total_transactions",

@@ -41,3 +41,10 @@ def test_cohort_sizes_add_up(star):
     assert sum(r.cohort_size for r in churn.chn_cohort_size(star).collect()) == total
     ret = churn.chn_cohort_retention(star).collect()
     assert sum(r.churned_count for r in ret) == star["fact_churn"].count()
+
+
+def test_approximate_distinct_is_close(star):
+    exact = revenue.rev_kpis(star).first()
+    approx = revenue.rev_kpis(star, exact=False).first()
+    assert abs(approx.total_transactions - exact.total_transactions) <= 0.05 * exact.total_transactions
+    assert approx.total_revenue_inr == exact.total_revenue_inr
