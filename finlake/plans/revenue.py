@@ -258,16 +258,21 @@ def _yearly(star: Star, rounded: bool) -> DataFrame:
 
 
 def rev_yoy_bridge(star: Star) -> DataFrame:
-    """Consecutive-year revenue change; a missing year breaks the chain
-    (self-join on year + 1 rather than LAG)."""
+    """Consecutive-year revenue change; a missing year breaks the chain.
+    The reference self-joins yearly totals on year + 1; as years are unique
+    after grouping, pairing each year with the previous present year and
+    keeping only pairs one year apart is the same set -- from a single
+    aggregation of the fact instead of two."""
     y = _yearly(star, True)
-    y1, y2 = y.alias("y1"), y.alias("y2")
-    j = y1.join(y2, F.col("y2.fy") == F.col("y1.fy") + 1)
-    diff = F.col("y2.rev") - F.col("y1.rev")
-    return j.select(F.col("y1.fy").alias("from_year"), F.col("y2.fy").alias("to_year"),
-                    out_double("y1.rev").alias("from_revenue"), out_double("y2.rev").alias("to_revenue"),
+    w = Window.orderBy("fy")
+    p = y.select(F.lag("fy").over(w).alias("from_year"), F.col("fy").alias("to_year"),
+                 F.lag("rev").over(w).alias("r1"), F.col("rev").alias("r2"))
+    p = p.filter(F.col("from_year") == F.col("to_year") - 1)
+    diff = F.col("r2") - F.col("r1")
+    return p.select("from_year", "to_year", out_double("r1").alias("from_revenue"),
+                    out_double("r2").alias("to_revenue"),
                     out_double(F.round(diff, 0)).alias("absolute_change"),
-                    out_double(pct(diff, F.col("y1.rev"), 2, 0)).alias("growth_pct")
+                    out_double(pct(diff, F.col("r1"), 2, 0)).alias("growth_pct")
                     ).orderBy("from_year")
 
 

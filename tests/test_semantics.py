@@ -134,3 +134,12 @@ def test_calendar_span_is_checked(spark):
         calendar_spanning(df).select("date_key").count()
     ok = spark.createDataFrame([(dt.date(2022, 3, 1),), (dt.date(2024, 2, 1),)], "d date")
     assert calendar_spanning(ok).count() == 1096
+
+
+def test_yoy_bridge_skips_gap_years(spark):
+    from finlake.plans.revenue import rev_yoy_bridge
+    txn = spark.createDataFrame(
+        [(2020, Decimal("100.00")), (2021, Decimal("150.00")), (2023, Decimal("300.00")), (2024, Decimal("150.00"))],
+        "fiscal_year smallint, revenue_inr decimal(14,2)")
+    rows = [(r.from_year, r.to_year, r.growth_pct) for r in rev_yoy_bridge({"fact_transactions": txn}).collect()]
+    assert rows == [(2020, 2021, 50.0), (2023, 2024, -50.0)]
