@@ -10,13 +10,12 @@ import json
 import os
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from finlake import registry  # noqa: E402
-from finlake.session import get_spark  # noqa: E402
+from finlake.session import get_spark, scratch_dir  # noqa: E402
 from finlake.sources.staging import read_star, write_star  # noqa: E402
 from finlake.sources.testdata import plant_defects, star_from_testdata  # noqa: E402
 
@@ -43,7 +42,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = get_spark()
-    scratch = tempfile.mkdtemp(prefix="finlake-bench-", dir=os.environ.get("FINLAKE_SCRATCH", "/tmp"))
+    scratch = scratch_dir(spark, "bench")
     out: dict[str, float] = {}
 
     # ETL: raw tables -> star schema (Parquet, facts partitioned by year); the

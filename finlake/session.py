@@ -61,3 +61,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_dir(spark: SparkSession, prefix: str = "scratch") -> str:
+    """A fresh folder for intermediate tables under the shared checkpoint
+    folder (``spark.checkpoint.dir``), never a machine-local path on a
+    cluster."""
+    import uuid
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{prefix}-{uuid.uuid4().hex[:12]}"

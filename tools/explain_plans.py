@@ -8,12 +8,11 @@ from __future__ import annotations
 import os
 import re
 import sys
-import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from finlake import registry  # noqa: E402
-from finlake.session import get_spark  # noqa: E402
+from finlake.session import get_spark, scratch_dir  # noqa: E402
 from finlake.sources.staging import read_star, write_star  # noqa: E402
 from finlake.sources.testdata import plant_defects, star_from_testdata  # noqa: E402
 
@@ -33,7 +32,7 @@ def main():
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")] or sorted(registry.PLANS)
     spark = get_spark()
-    root = tempfile.mkdtemp(prefix="finlake-explain-")
+    root = scratch_dir(spark, "explain")
     write_star(star_from_testdata(spark, sf), f"{root}/clean")
     clean = read_star(spark, f"{root}/clean")
     write_star(plant_defects(clean), f"{root}/defects")
