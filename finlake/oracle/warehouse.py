@@ -101,3 +101,69 @@ SELECT CAST(p.product_key AS INTEGER) AS product_key, p.product_line, p.category
        CAST(p.is_recurring AS INTEGER) AS is_recurring, CAST(p.cogs_pct_std AS DOUBLE) AS cogs_pct_std,
        p.product_group
 FROM dim_product p WHERE p.product_key IN (SELECT product_key FROM b)""")
+
+
+# ---- staging text, rendered as finlake.plans.warehouse.render_* does ----
+def _money(c: str) -> str:
+    return f"format('{{:,.2f}}', {c})"
+
+
+def _txt(c: str) -> str:
+    return f"CAST({c} AS VARCHAR)"
+
+
+def _dmy_key(c: str) -> str:
+    return f"strftime(strptime(CAST({c} AS VARCHAR), '%Y%m%d'), '%d-%b-%Y')"
+
+
+def _yn(c: str) -> str:
+    return f"CASE WHEN {c} = 1 THEN 'Yes' ELSE 'No' END"
+
+
+Q["load_stg_customers"] = sql(f"""
+SELECT CASE WHEN customer_key % 7 = 0 THEN ' ' || customer_id || ' ' ELSE customer_id END AS CustomerID,
+       company_name AS CompanyName, plan AS Plan, segment AS Segment, industry AS Industry, region AS Region,
+       CASE WHEN customer_key % 11 = 0 THEN strftime(acquisition_date, '%Y-%m-%d')
+            WHEN customer_key % 13 = 0 THEN upper(strftime(acquisition_date, '%-d-%b-%Y'))
+            ELSE strftime(acquisition_date, '%d-%b-%Y') END AS AcquisitionDate,
+       acquisition_channel AS AcquisitionChannel, {_money('mrr_inr')} AS MRR_INR, {_money('arr_inr')} AS ARR_INR,
+       {_txt('contract_length_months')} AS ContractLength_Months, {_txt('health_score')} AS HealthScore,
+       health_status AS HealthStatus, csm_owner AS CSM_Owner, {_txt('nps_score')} AS NPS_Score,
+       {_txt('last_login_days_ago')} AS LastLoginDaysAgo, {_txt('avg_monthly_logins')} AS AvgMonthlyLogins,
+       {_txt('support_tickets_90d')} AS SupportTickets_Last90D, {_txt('expected_cltv_months')} AS ExpectedCLTV_Months,
+       CASE WHEN customer_key % 17 = 0 THEN lower({_yn('is_active')}) ELSE {_yn('is_active')} END AS IsActive
+FROM dim_customers""")
+
+Q["load_stg_transactions"] = sql(f"""
+SELECT ' ' || t.transaction_id AS TransactionID,
+       CASE WHEN t.customer_key % 5 = 0 THEN lower(c.customer_id) ELSE c.customer_id END AS CustomerID,
+       {_dmy_key('t.date_key')} AS TransactionDate, {_txt('t.fiscal_year')} AS FiscalYear,
+       t.fiscal_quarter AS FiscalQuarter, t.fiscal_month AS FiscalMonth, p.category AS Category,
+       p.product_line || '  ' AS ProductLine, t.region AS Region, t.segment AS Segment, t.plan AS Plan,
+       {_money('t.revenue_inr')} AS Revenue_INR, {_money('t.cogs_inr')} AS COGS_INR,
+       {_money('t.gross_profit_inr')} AS GrossProfit_INR, {_txt('t.gross_margin_pct')} AS GrossMargin_Pct,
+       t.payment_status AS PaymentStatus, t.invoice_id AS InvoiceID
+FROM fact_transactions t JOIN dim_customers c ON t.customer_key = c.customer_key
+JOIN dim_product p ON t.product_key = p.product_key""")
+
+Q["load_stg_churn"] = sql(f"""
+SELECT c.customer_id AS CustomerID, c.company_name AS CompanyName, ch.plan AS Plan, ch.segment AS Segment,
+       ch.region AS Region, {_dmy_key('ch.acquisition_date_key')} AS AcquisitionDate,
+       {_dmy_key('ch.churn_date_key')} AS ChurnDate, {_txt('ch.days_to_churn')} AS DaysToChurn,
+       {_money('ch.mrr_at_churn_inr')} AS MRR_AtChurn_INR, {_money('ch.arr_at_churn_inr')} AS ARR_AtChurn_INR,
+       {_money('ch.revenue_recognized_inr')} AS RevenueRecognized_INR, ch.churn_reason AS ChurnReason,
+       ch.churn_type AS ChurnType, {_yn('ch.was_escalated')} AS WasEscalated,
+       {_yn('ch.exit_survey_completed')} AS ExitSurveyCompleted, {_yn('ch.win_back_eligible')} AS WinBackEligible,
+       {_txt('ch.last_health_score')} AS LastHealthScore, {_txt('ch.support_tickets_90d')} AS SupportTickets_Last90D
+FROM fact_churn ch JOIN dim_customers c ON ch.customer_key = c.customer_key""")
+
+Q["load_stg_budget"] = sql(f"""
+SELECT {_dmy_key('date_key')} AS Period, {_txt('fiscal_year')} AS FiscalYear, fiscal_quarter AS FiscalQuarter,
+       month_label AS Month, department AS Department,
+       {_money('budgeted_revenue_inr')} AS BudgetedRevenue_INR, {_money('actual_revenue_inr')} AS ActualRevenue_INR,
+       {_money('revenue_variance_inr')} AS RevenueVariance_INR, {_txt('revenue_variance_pct')} AS RevenueVariance_Pct,
+       {_money('budgeted_opex_inr')} AS BudgetedOpEx_INR, {_money('actual_opex_inr')} AS ActualOpEx_INR,
+       {_money('opex_variance_inr')} AS OpExVariance_INR, {_txt('opex_variance_pct')} AS OpExVariance_Pct,
+       {_money('budgeted_ebitda_inr')} AS BudgetedEBITDA_INR, {_money('actual_ebitda_inr')} AS ActualEBITDA_INR,
+       {_txt('headcount_budget')} AS HeadCount_Budget, {_txt('headcount_actual')} AS HeadCount_Actual
+FROM fact_budget_vs_actual""")

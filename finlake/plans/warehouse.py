@@ -309,6 +309,35 @@ def load_star(stg: dict[str, DataFrame], dim_date: DataFrame, dim_product: DataF
 
 
 # ---------------------------------------------------- registered load checks
+def staging_scan(star: Star, table: str) -> DataFrame:
+    """Staging text derived from the inputs, written as CSV (header, quoted
+    fields, spaces kept) to a fresh folder under the shared checkpoint folder
+    and scanned back with the declared all-string schema."""
+    from finlake.session import scratch_dir
+    from finlake.sources.staging import read_staging
+    stg = staging_from_star(star)[table]
+    path = scratch_dir(stg.sparkSession, f"stg-{table}")
+    (stg.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return read_staging(stg.sparkSession, path, table)
+
+
+def load_stg_customers(star: Star) -> DataFrame:
+    return staging_scan(star, "customers")
+
+
+def load_stg_transactions(star: Star) -> DataFrame:
+    return staging_scan(star, "transactions")
+
+
+def load_stg_churn(star: Star) -> DataFrame:
+    return staging_scan(star, "churn")
+
+
+def load_stg_budget(star: Star) -> DataFrame:
+    return staging_scan(star, "budget")
+
+
 def _roundtrip(star: Star) -> Star:
     return load_star(staging_from_star(star), star["dim_date"], star["dim_product"], surrogate=False)
 

@@ -39,7 +39,8 @@ _reg(quality, ["dq_nulls_customers", "dq_nulls_transactions", "dq_nulls_churn",
                "dq_health_range", "dq_churn_before_acq", "dq_days_to_churn", "dq_nps_range",
                "dq_variance_mismatch", "dq_mrr_by_plan", "dq_revenue_by_line", "dq_churn_by_reason",
                "dq_revenue_outliers", "dq_high_tickets", "dq_scorecard"], defects=True)
-_reg(warehouse, ["load_dim_date", "verify_calendar", "sample_calendar", "load_dim_customers",
+_reg(warehouse, ["load_stg_customers", "load_stg_transactions", "load_stg_churn", "load_stg_budget",
+                 "load_dim_date", "verify_calendar", "sample_calendar", "load_dim_customers",
                  "load_fact_transactions", "load_fact_churn", "load_fact_budget", "load_counts_staging",
                  "load_counts_warehouse", "load_counts_single", "table_inventory"],
      attr={n: f"q_{n}" for n in ["load_dim_customers", "load_fact_transactions", "load_fact_churn",
