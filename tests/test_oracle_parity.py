@@ -8,6 +8,8 @@ from tests.conftest import SF_SMALL
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
+SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
+                 "StringType()": "VARCHAR", "DateType()": "DATE"}
 
 
 def _norm(v):
@@ -38,6 +40,9 @@ def test_entry_runs(spark):
 def test_query_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
     s_cols, s_rows = _canon(df.columns, [tuple(r) for r in df.collect()])
+    rel = duck.sql(ORACLE[name])
+    d_types = dict(zip(rel.columns, map(str, rel.types)))
+    assert {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in df.schema.fields} == d_types
     cur = duck.execute(ORACLE[name])
     d_cols, d_rows = _canon([d[0] for d in cur.description], cur.fetchall())
     assert s_cols == d_cols
