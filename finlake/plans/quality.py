@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from finlake.functions.exact import out_double
 from finlake.operators.quality import (duplicate_key_count, duplicate_keys, null_counts, orphans,
                                        rule_counts)
+from finlake.operators.topk import top_k_through_join
 from finlake.plans._common import Star, dbl_avg, dbl_sum, n_rows
 from finlake.plans.revenue import rev_by_product_line
 
@@ -168,20 +169,27 @@ def dq_churn_by_reason(star: Star) -> DataFrame:
 
 def dq_revenue_outliers(star: Star, k: int = 10) -> DataFrame:
     """Top-k transactions by revenue (NULLs last, ties by id and the other
-    output columns), planned as a distributed top-k."""
+    output columns).  Only the fact rows that can reach the top k are joined
+    to the customer dimension (see operators.topk)."""
     c = star["dim_customers"].select("customer_key", "company_name")
     p = F.broadcast(star["dim_product"].select("product_key", "category", "product_line"))
     t = star["fact_transactions"].select("transaction_id", "customer_key", "product_key", "fiscal_year",
                                          "revenue_inr", "gross_margin_pct")
-    j = t.join(c, "customer_key").join(p, "product_key")
-    out = j.select("transaction_id", "company_name", "category", "product_line",
-                   F.col("fiscal_year").cast("int").alias("fiscal_year"),
-                   F.round("revenue_inr", 2).alias("_rev"),
-                   out_double(F.round("gross_margin_pct", 2)).alias("gross_margin_pct"))
-    top = out.orderBy(F.col("_rev").desc_nulls_last(), "transaction_id", "company_name", "category",
-                      "product_line", "fiscal_year", "gross_margin_pct").limit(k)
+
+    def join(f):
+        j = f.join(c, "customer_key").join(p, "product_key")
+        return j.select("transaction_id", "company_name", "category", "product_line",
+                        F.col("fiscal_year").cast("int").alias("fiscal_year"),
+                        F.col("revenue_inr").alias("_rev"),
+                        out_double(F.round("gross_margin_pct", 2)).alias("gross_margin_pct"))
+
+    order = [F.col("_rev").desc_nulls_last(), F.col("transaction_id").asc_nulls_last(),
+             F.col("company_name").asc_nulls_last(), F.col("category").asc_nulls_last(),
+             F.col("product_line").asc_nulls_last(), F.col("fiscal_year").asc_nulls_last(),
+             F.col("gross_margin_pct").asc_nulls_last()]
+    top = top_k_through_join(t, "revenue_inr", k, join, order)
     return top.select("transaction_id", "company_name", "category", "product_line", "fiscal_year",
-                      out_double("_rev").alias("revenue_inr"), "gross_margin_pct")
+                      out_double(F.round("_rev", 2)).alias("revenue_inr"), "gross_margin_pct")
 
 
 def dq_high_tickets(star: Star, min_tickets: int = 10) -> DataFrame:
