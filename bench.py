@@ -2,7 +2,7 @@
 headline queries over it (and the flagship straight from the raw tables).
 
 Prints one JSON line.  Env: BENCH_SF_DIR (default /root/testdata/sf0.1),
-BENCH_CPUS (default 8), BENCH_RUNS (default 3).
+BENCH_CPUS (default 8), BENCH_RUNS (default 5).
 """
 from __future__ import annotations
 
@@ -40,7 +40,7 @@ def timed(fn, runs: int) -> float:
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = get_spark()
     scratch = scratch_dir(spark, "bench")
     out: dict[str, float] = {}
