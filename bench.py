@@ -48,7 +48,7 @@ def main() -> None:
     # ETL: raw tables -> star schema (Parquet, facts partitioned by year); the
     # planted-defect copy for the data-quality suite derives from it
     t0 = time.perf_counter()
-    write_star(star_from_testdata(spark, sf_dir), f"{scratch}/clean")
+    write_star(star_from_testdata(spark, sf_dir, checkpoint_lines=True), f"{scratch}/clean")
     clean = read_star(spark, f"{scratch}/clean")
     build = time.perf_counter() - t0
     write_star(plant_defects(clean), f"{scratch}/defects")

@@ -150,13 +150,21 @@ def priced_lines(t: dict[str, DataFrame], dim_product: DataFrame,
             .drop("_rev_c", "_cogs_c", "_pct_bp", "_std_bp", "_price_c", "_disc_c"))
 
 
-def _transactions(t: dict[str, DataFrame], dim_product: DataFrame, cust: DataFrame) -> DataFrame:
-    """Customer attributes are joined to orders first, so line-level rows are
-    shuffled once (by order key) rather than again by customer key."""
-    d = F.col("odate")
+def lines_with_customers(t: dict[str, DataFrame], dim_product: DataFrame, cust: DataFrame) -> DataFrame:
+    """Priced line-level rows of every order, with the customer attributes of
+    the order (NULL when the customer is unknown).  Customer attributes are
+    LEFT-joined to orders first, so line-level rows are shuffled by order key
+    only, and both facts derive from this one frame: transactions keep the
+    rows with a customer (the inner join of the mapping), the budget uses all
+    lines."""
     c = cust.select("customer_key", "plan", "segment", "region")
-    orders = _orders(t).join(c, F.col("o_custkey") == F.col("customer_key"))
-    x = priced_lines(t, dim_product, orders)
+    orders = _orders(t).join(c, F.col("o_custkey") == F.col("customer_key"), "left")
+    return priced_lines(t, dim_product, orders)
+
+
+def _transactions(lines: DataFrame) -> DataFrame:
+    d = F.col("odate")
+    x = lines.filter(F.col("customer_key").isNotNull())
     return x.select(
         F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
                    "l_extendedprice").alias("transaction_key"),
@@ -274,18 +282,29 @@ def plant_defects(star: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
-def star_from_testdata(spark: SparkSession, sf_dir: str, defects: bool = False) -> dict[str, DataFrame]:
-    """Lazy star schema over /root/testdata/sf*/ (FIXTURES.md section B/C)."""
+def star_from_testdata(spark: SparkSession, sf_dir: str, defects: bool = False,
+                       checkpoint_lines: bool = False) -> dict[str, DataFrame]:
+    """Lazy star schema over /root/testdata/sf*/ (FIXTURES.md section B/C).
+
+    ``checkpoint_lines`` cuts the shared line-level frame by writing it as a
+    Parquet table to a fresh folder under the shared checkpoint folder, so
+    writing both facts does the line-level joins once (used when the
+    warehouse is materialized)."""
     t = read_tables(spark, sf_dir)
     dim_product = product_seed(spark)
     base = customer_base(t)
     cust = base.select(*DIM_CUSTOMER_COLS)
-    lines = priced_lines(t, dim_product)
+    lines = lines_with_customers(t, dim_product, cust)
+    if checkpoint_lines:
+        from finlake.session import scratch_dir
+        path = scratch_dir(spark, "lines")
+        lines.write.parquet(path)
+        lines = spark.read.parquet(path)
     star = {
         "dim_date": calendar_spanning(t["orders"].select(F.col("o_orderdate").alias("d"))),
         "dim_product": dim_product,
         "dim_customers": cust,
-        "fact_transactions": _transactions(t, dim_product, cust),
+        "fact_transactions": _transactions(lines),
         "fact_churn": _churn(base),
         "fact_budget_vs_actual": _budget(lines),
     }

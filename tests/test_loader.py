@@ -63,3 +63,11 @@ def test_write_table_spread_files(spark):
     assert all(len(glob.glob(f"{y}/*.parquet")) <= 2 for y in years)
     back = read_table(spark, f"{d}/ft").select(*fact.columns)
     assert back.exceptAll(fact).count() == 0 and fact.exceptAll(back).count() == 0
+
+
+def test_materialized_lines_give_the_same_star(spark):
+    lazy = star_from_testdata(spark, SF_SMALL)
+    cut = star_from_testdata(spark, SF_SMALL, checkpoint_lines=True)
+    for name in ["fact_transactions", "fact_budget_vs_actual"]:
+        a, b = lazy[name], cut[name]
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
