@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DecimalType, ShortType
 
 from finlake.functions.dates import date_key, parse_date
+from finlake.functions.enums import canonical_enum
 from finlake.functions.parse import clean_text, parse_decimal, parse_flag, parse_int
 from finlake.operators.keys import with_surrogate_key
 from finlake.operators.quality import domain_violations
-from finlake.schemas import ENUM_DOMAINS, FOREIGN_KEYS, UNIQUE_KEYS, WAREHOUSE
+from finlake.schemas import (CHURN_TYPES, ENUM_DOMAINS, FOREIGN_KEYS, HEALTH_STATUSES, PAYMENT_STATUSES,
+                             PLANS, REGIONS, SEGMENTS, UNIQUE_KEYS, WAREHOUSE)
 
 Star = dict
 
@@ -85,14 +87,15 @@ def load_dim_customers(stg: DataFrame, surrogate: bool = True) -> DataFrame:
     cid = clean_text("CustomerID")
     out = stg.filter(cid.isNotNull() & (cid != "")).select(
         cid.alias("customer_id"), clean_text("CompanyName").alias("company_name"),
-        clean_text("Plan").alias("plan"), clean_text("Segment").alias("segment"),
-        clean_text("Industry").alias("industry"), clean_text("Region").alias("region"),
+        canonical_enum("Plan", PLANS).alias("plan"), canonical_enum("Segment", SEGMENTS).alias("segment"),
+        clean_text("Industry").alias("industry"), canonical_enum("Region", REGIONS).alias("region"),
         parse_date("AcquisitionDate").alias("acquisition_date"),
         clean_text("AcquisitionChannel").alias("acquisition_channel"),
         parse_decimal("MRR_INR", 12, 2).alias("mrr_inr"), parse_decimal("ARR_INR", 14, 2).alias("arr_inr"),
         parse_int("ContractLength_Months", "tinyint").alias("contract_length_months"),
         parse_decimal("HealthScore", 5, 1, strip_commas=False).alias("health_score"),
-        clean_text("HealthStatus").alias("health_status"), clean_text("CSM_Owner").alias("csm_owner"),
+        canonical_enum("HealthStatus", HEALTH_STATUSES).alias("health_status"),
+        clean_text("CSM_Owner").alias("csm_owner"),
         parse_int("NPS_Score", "smallint").alias("nps_score"),
         parse_int("LastLoginDaysAgo", "smallint").alias("last_login_days_ago"),
         parse_decimal("AvgMonthlyLogins", 6, 1, strip_commas=False).alias("avg_monthly_logins"),
@@ -124,7 +127,7 @@ def load_fact_transactions(stg: DataFrame, dim_customers: DataFrame, dim_product
         parse_int("FiscalYear", "smallint").alias("fiscal_year"),
         clean_text("FiscalQuarter").alias("fiscal_quarter"), clean_text("FiscalMonth").alias("fiscal_month"),
         clean_text("Region").alias("region"), clean_text("Segment").alias("segment"),
-        clean_text("Plan").alias("plan"), clean_text("PaymentStatus").alias("payment_status"),
+        clean_text("Plan").alias("plan"), canonical_enum("PaymentStatus", PAYMENT_STATUSES).alias("payment_status"),
         parse_decimal("Revenue_INR", 14, 2).alias("revenue_inr"),
         parse_decimal("COGS_INR", 14, 2).alias("cogs_inr"),
         parse_decimal("GrossProfit_INR", 14, 2).alias("gross_profit_inr"),
@@ -155,7 +158,7 @@ def load_fact_churn(stg: DataFrame, dim_customers: DataFrame, surrogate: bool =
         date_key(parse_date("ChurnDate")).alias("churn_date_key"),
         clean_text("Plan").alias("plan"), clean_text("Segment").alias("segment"),
         clean_text("Region").alias("region"), clean_text("ChurnReason").alias("churn_reason"),
-        clean_text("ChurnType").alias("churn_type"),
+        canonical_enum("ChurnType", CHURN_TYPES).alias("churn_type"),
         parse_flag("WasEscalated").alias("was_escalated"),
         parse_flag("ExitSurveyCompleted").alias("exit_survey_completed"),
         parse_flag("WinBackEligible").alias("win_back_eligible"),

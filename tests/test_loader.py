@@ -31,7 +31,7 @@ def test_hand_rows_quotes_crlf_rejects(spark):
     ids = [r.customer_id for r in cust.orderBy("customer_id").collect()]
     lines = [HEADER_T,
              f'T1,{ids[0]},5-Jan-2022,2022,Q1,Jan-2022,Training,API Suite,North,SMB,Starter,"1,234.50",100.00,1134.50,91.90,Paid,I1',
-             f'T2,{ids[1].lower()} ,05-JAN-2022,2022,Q1,Jan-2022,Subscription, Core Platform ,North,SMB,Starter,10,1,9,90,Paid,I2',
+             f'T2,{ids[1].lower()} ,05-JAN-2022,2022,Q1,Jan-2022,Subscription, Core Platform ,North,SMB,Starter,10,1,9,90,overdue ,I2',
              'T3,NOPE,2022-01-05,2022,Q1,Jan-2022,Training,API Suite,North,SMB,Starter,10,1,9,90,Paid,I3',
              f'T4,{ids[2]},2022-01-05,2022,Q1,Jan-2022,Training,Unknown Line,North,SMB,Starter,10,1,9,90,Paid,I4',
              f'T5,{ids[2]},garbage,2022.7,Q1,Jan-2022,Training,API Suite,North,SMB,Starter,,1,9,90,Paid,I5']
@@ -44,6 +44,7 @@ def test_hand_rows_quotes_crlf_rejects(spark):
     assert set(got) == {"T1", "T2", "T5"}
     assert str(got["T1"].revenue_inr) == "1234.50" and got["T1"].date_key == 20220105
     assert got["T2"].date_key == 20220105 and got["T2"].product_key == 1
+    assert got["T2"].payment_status == "Overdue"      # ENUM stores the declared spelling
     assert got["T5"].date_key is None and got["T5"].revenue_inr is None and got["T5"].fiscal_year == 2022
     assert got["T1"].invoice_id == "I1"          # last column has no stray \r
     rej = {r.TransactionID: r.reject_reason for r in reject_transactions(stg, cust, prod).collect()}
