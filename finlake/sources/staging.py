@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from finlake.schemas import STAGING
 
@@ -12,15 +13,20 @@ PARTITION_COLS = {"fact_transactions": ["fiscal_year"],
                   "fact_budget_vs_actual": ["fiscal_year"]}
 
 
-def read_staging(spark: SparkSession, path: str, table: str) -> DataFrame:
+def read_staging(spark: SparkSession, path: str, table: str, keep_corrupt: bool = False) -> DataFrame:
     """All-string staging scan of a comma-separated file with a header row and
     optional double quotes.  Malformed lines are kept (PERMISSIVE) with NULLs,
-    as a lenient bulk loader would."""
+    as a lenient bulk loader would; ``keep_corrupt=True`` adds the raw text
+    of lines whose field count does not match the schema as
+    ``_corrupt_record`` (NULL for well-formed lines).  Plain (uncompressed or
+    splittable-codec) files are split across tasks."""
     schema = STAGING[table]
-    return (spark.read.schema(schema)
-            .option("header", True).option("quote", '"').option("escape", '"')
-            .option("mode", "PERMISSIVE").option("multiLine", False)
-            .csv(path))
+    r = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
+         .option("mode", "PERMISSIVE").option("multiLine", False))
+    if keep_corrupt:
+        schema = StructType(schema.fields + [StructField("_corrupt_record", StringType(), True)])
+        r = r.option("columnNameOfCorruptRecord", "_corrupt_record")
+    return r.schema(schema).csv(path)
 
 
 def write_table(df: DataFrame, path: str, name: str | None = None,

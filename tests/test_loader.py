@@ -72,3 +72,20 @@ def test_materialized_lines_give_the_same_star(spark):
     for name in ["fact_transactions", "fact_budget_vs_actual"]:
         a, b = lazy[name], cut[name]
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_staging_keeps_corrupt_lines(spark):
+    d = tempfile.mkdtemp(dir=spark.conf.get("spark.checkpoint.dir"))
+    header = ("Period,FiscalYear,FiscalQuarter,Month,Department,BudgetedRevenue_INR,ActualRevenue_INR,"
+              "RevenueVariance_INR,RevenueVariance_Pct,BudgetedOpEx_INR,ActualOpEx_INR,OpExVariance_INR,"
+              "OpExVariance_Pct,BudgetedEBITDA_INR,ActualEBITDA_INR,HeadCount_Budget,HeadCount_Actual")
+    good = "01-Jan-2022,2022,Q1,Jan-2022,Sales,10,11,1,10.00,5,5,0,0.00,2,3,4,4"
+    short = "01-Feb-2022,2022,Q1,Feb-2022,Sales"
+    with open(os.path.join(d, "b.csv"), "w") as f:
+        f.write("\n".join([header, good, short]) + "\n")
+    from finlake.plans.warehouse import load_fact_budget
+    stg = read_staging(spark, d, "budget", keep_corrupt=True)
+    rows = {r.Month: r._corrupt_record for r in stg.collect()}
+    assert rows == {"Jan-2022": None, "Feb-2022": short}
+    loaded = load_fact_budget(read_staging(spark, d, "budget")).collect()
+    assert sorted(r.date_key for r in loaded) == [20220101, 20220201]
