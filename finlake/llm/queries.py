@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import finlake
-from finlake.llm import chat, decontam, packing, rules, secrets_scan
+from finlake.llm import chat, decontam, langid, ngram_join, packing, quality_crf, repeats, rules, secrets_scan
 
 #: folder of the public tokenizers' files, or unset: where the package says
 TOKENIZERS = os.environ.get("FINLAKE_TOKENIZERS")
@@ -63,12 +63,28 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "failed")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_crf.score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return scored.select("doc_id", quality_crf.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = langid.identify(_table(spark, sf_dir, "documents"))
+    return named.select("doc_id", quality_crf.held_out("doc_id").alias("held_out"), "lang_pred", "score", "shares")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -77,6 +93,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (hit > 0).alias("contaminated"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(_table(spark, sf_dir, "documents"))
+
+
 def shipped(f: Callable) -> Callable:
     """`f` with this package sent to the session's Python workers first: a
     cluster's workers need not have it installed."""
@@ -102,6 +122,7 @@ def ship(spark: SparkSession) -> None:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f) for f in (
-        op1_packing, op2_chat_format, op3_secret_scan, op6_quality_rules, op9_decontamination)}
+        op1_packing, op2_chat_format, op3_secret_scan, op4_repeated_bytes, op6_quality_rules,
+        op7_quality_classifier, op8_language_id, op9_decontamination, op10_ngram_join)}
 
 ORACLE: dict[str, str] = {}

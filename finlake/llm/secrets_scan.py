@@ -154,8 +154,6 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **sc
                     texts[i] = "".join(out) + texts[i][at:]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])
 
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("id"), F.col(text_col).alias("text"))
-    found = find_secrets(d, "id", "text", **scan)
+    d = T.rows_beside_text(docs, text_col)
     schema = f"id {d.schema['id'].dataType.simpleString()}, text string"
-    new = found.select("id", "text", "spans").mapInArrow(run, schema)
-    return new.select(*[F.col("text").alias(c) if c == text_col else F.col(f"id.`{c}`") for c in docs.columns])
+    return T.unpacked(find_secrets(d, "id", "text", **scan).mapInArrow(run, schema), docs.columns, text_col)

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 
@@ -135,3 +137,14 @@ def owner(first: np.ndarray) -> np.ndarray:
 
 def lists(values: pa.Array, off: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), values)
+
+
+def rows_beside_text(docs: DataFrame, text_col: str) -> DataFrame:
+    """The documents as two columns: id, a struct of all other columns, and text."""
+    none = F.lit(0).alias("_" * (1 + max(map(len, docs.columns))))  # a struct needs a field
+    return docs.select(F.struct(none, *[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("id"),
+                       F.col(f"`{text_col}`").alias("text"))
+
+
+def unpacked(rows: DataFrame, columns: list[str], text_col: str) -> DataFrame:
+    return rows.select(*[F.col("text").alias(c) if c == text_col else F.col(f"id.`{c}`").alias(c) for c in columns])
