@@ -126,12 +126,19 @@ def _keys(sh: _Shingles, rows: np.ndarray, percent: int, starts: np.ndarray) ->
         out_key.append(key[keep])
     if not out_row:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    row, key = np.concatenate(out_row), np.concatenate(out_key)
-    order = np.argsort(row, kind="stable")
-    return row[order], key[order]
+    return np.concatenate(out_row), np.concatenate(out_key)
 
 
-def _signatures(k: int, percent: int):
+def _nodes(k: int):
+    def run(batches):
+        for chunk in T.chunks(batches):
+            sh = _Shingles(chunk.column("text"), k)
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column("id"), pa.array(sh.n), pa.array(sh.node.view(np.int64), mask=sh.n == 0)], ["id", "n", "node"])
+    return run
+
+
+def _group_keys(k: int, percent: int):
     starts = band_starts(percent)
 
     def run(batches):
@@ -144,11 +151,7 @@ def _signatures(k: int, percent: int):
                     seen.add(x)
                     new.append(i)
             row, key = _keys(sh, np.array(new, np.int64), percent, starts)
-            off = np.searchsorted(row, np.arange(len(sh.n) + 1))
-            node = sh.node.view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [chunk.column("id"), pa.array(sh.n), pa.array(node, mask=sh.n == 0),
-                 T.lists(pa.array(key.view(np.int64)), off)], ["id", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(sh.node[row].view(np.int64)), pa.array(key.view(np.int64))], ["node", "key"])
     return run
 
 
@@ -249,6 +252,29 @@ def _tiles(percent: int):
     return run
 
 
+def verified_links(shared: DataFrame, fetch, percent: int, base: str) -> DataFrame:
+    """A forest (u, v) of the links among candidate nodes.  `shared` are edges
+    between nodes that may be linked; all pairs inside one of their components
+    are decided.  `fetch` takes a broadcast bit filter of nodes and gives
+    (node, tokens) of those it holds, tokens being the sorted set's bytes."""
+    spark = shared.sparkSession
+    components(shared).write.parquet(f"{base}/clusters")
+    clusters = spark.read.parquet(f"{base}/clusters").toDF("node", "cluster")
+    wanted = spark.sparkContext.broadcast(bloom.build(clusters, "node"))
+    sets = fetch(wanted).join(clusters, "node").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("cluster").alias("cluster"))
+    sets.write.parquet(f"{base}/candidates")
+    sets = spark.read.parquet(f"{base}/candidates")
+    size = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LEAF_NODES),
+                                                  F.ceil(F.sum(F.length("tokens")) / LEAF_BYTES)).cast("int").alias("leaves"))
+    leaf = F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")
+    dealt = (sets.join(size, "cluster").withColumn("leaf", leaf)
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
+             .select("cluster", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "node", "tokens",
+                     (F.col("leaf") > F.col("other")).cast("int").alias("side")))
+    return (dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
+            .mapInArrow(_tiles(percent), "u long, v long"))
+
+
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                    percent: int = PERCENT) -> DataFrame:
     """One row per document: id, n_shingles and component_id, the smallest id
@@ -264,31 +290,17 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = scratch_dir(spark, "ngrams")
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    d.mapInArrow(_signatures(shingle, percent), f"id {kind}, n long, node long, keys array<long>").write.parquet(f"{base}/sets")
-    table = spark.read.parquet(f"{base}/sets")
+    d.mapInArrow(_nodes(shingle), f"id {kind}, n long, node long").write.parquet(f"{base}/nodes")
+    table = spark.read.parquet(f"{base}/nodes")
 
-    keyed = table.where("size(keys) > 0").select("node", F.explode("keys").alias("key"))
+    # group keys go straight to the shuffle: written down they would take as much space again
+    keyed = d.select("text").mapInArrow(_group_keys(shingle, percent), "node long, key long")
     first = F.min("node").over(Window.partitionBy("key"))
     shared = keyed.withColumn("first", first).where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-    clusters = components(shared)
-    clusters.write.parquet(f"{base}/clusters")
-    clusters = spark.read.parquet(f"{base}/clusters").toDF("node", "cluster")
+    def fetch(wanted):
+        return d.select("text").mapInArrow(_sets(shingle, wanted), "node long, tokens binary")
 
-    wanted = spark.sparkContext.broadcast(bloom.build(clusters, "node"))
-    sets = d.select("text").mapInArrow(_sets(shingle, wanted), "node long, tokens binary")
-    sets = sets.join(clusters, "node").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("cluster").alias("cluster"))
-    sets.write.parquet(f"{base}/candidates")
-    sets = spark.read.parquet(f"{base}/candidates")
-    size = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LEAF_NODES),
-                                                  F.ceil(F.sum(F.length("tokens")) / LEAF_BYTES)).cast("int").alias("leaves"))
-    leaf = F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")
-    dealt = (sets.join(size, "cluster").withColumn("leaf", leaf)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-             .select("cluster", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "node", "tokens",
-                     (F.col("leaf") > F.col("other")).cast("int").alias("side")))
-    links = (dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-             .mapInArrow(_tiles(percent), "u long, v long"))
-    roots = components(links)
+    roots = components(verified_links(shared, fetch, percent, base))
 
     reps = table.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"))
     linked = reps.join(roots, "node")

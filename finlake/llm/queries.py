@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import finlake
-from finlake.llm import chat, decontam, langid, ngram_join, packing, quality_crf, repeats, rules, secrets_scan
+from finlake.llm import chat, decontam, langid, ngram_join, packing, paragraphs, quality_crf, repeats, rules, secrets_scan
 
 #: folder of the public tokenizers' files, or unset: where the package says
 TOKENIZERS = os.environ.get("FINLAKE_TOKENIZERS")
@@ -69,6 +69,10 @@ def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.duplicate_paragraphs(_table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -122,7 +126,58 @@ def ship(spark: SparkSession) -> None:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f) for f in (
-        op1_packing, op2_chat_format, op3_secret_scan, op4_repeated_bytes, op6_quality_rules,
+        op1_packing, op2_chat_format, op3_secret_scan, op4_repeated_bytes, op5_paragraph_dedup, op6_quality_rules,
         op7_quality_classifier, op8_language_id, op9_decontamination, op10_ngram_join)}
 
-ORACLE: dict[str, str] = {}
+_CONTROL = r"(\||/?s>|/?INST\])"
+_ESCAPED = rf"regexp_replace({{}}, '([<\[])(\\*){_CONTROL}', '\1\\\2\3', 'g')"
+
+# escaping adds a character per control string; each block has its marks, and each further turn of a block one
+_CHATS = f"""
+WITH t AS (
+  SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+m AS (
+  SELECT *, COALESCE(role = lag(role) OVER w, FALSE) AS more, length({_ESCAPED.format('text')}) AS text_chars,
+         length({_ESCAPED.format('role')}) AS role_chars
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+SELECT conv_id, COUNT(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(COALESCE(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(COALESCE(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(SUM(text_chars + IF(more, {len(chat.TURN)}, role_chars + {len(chat.START + chat.MESSAGE + chat.END)})) AS BIGINT) AS formatted_chars
+FROM m GROUP BY conv_id"""
+
+_WORDS = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CONTAMINATION = f"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item, least(10, len(w)) AS m, list_slice(w, i, i + least(10, len(w)) - 1) AS words
+  FROM b, range(1, len(w) - least(10, len(w)) + 2) r(i) WHERE len(w) > 0),
+grams AS (
+  SELECT row, i, m, list_slice(w, i, i + m - 1) AS words
+  FROM d, (SELECT DISTINCT m FROM windows), range(1, len(w) - m + 2) r(i) WHERE len(w) >= m),
+hits AS (SELECT row, i, m, item FROM grams JOIN windows USING (m, words)),
+marked AS (SELECT row, COUNT(*) AS n FROM (SELECT DISTINCT row, unnest(range(i, i + m)) AS at FROM hits) GROUP BY row),
+items AS (SELECT row, COUNT(*) AS n, string_agg(item, ',' ORDER BY item) AS said FROM (SELECT DISTINCT row, item FROM hits) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(marked.n, 0) AS n_hit, COALESCE(items.n, 0) AS n_items,
+       sha256(COALESCE(items.said, '')) AS items_sha256, marked.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN marked USING (row) LEFT JOIN items USING (row)"""
+
+_SPLIT = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+_LINKED = f"""
+WITH RECURSIVE d AS (SELECT ROW_NUMBER() OVER () AS row, doc_id, {_SPLIT} AS w FROM documents),
+s AS (
+  SELECT DISTINCT row, list_slice(w, i, i + least(3, len(w)) - 1) AS gram
+  FROM d, range(1, len(w) - least(3, len(w)) + 2) r(i) WHERE len(w) > 0),
+size AS (SELECT row, COUNT(*) AS n FROM s GROUP BY row),
+links AS (
+  SELECT a.row AS x, b.row AS y FROM s a JOIN s b USING (gram) JOIN size p ON p.row = a.row JOIN size q ON q.row = b.row
+  WHERE a.row <> b.row GROUP BY ALL HAVING 100 * COUNT(*) >= 90 * (any_value(p.n) + any_value(q.n) - COUNT(*))),
+reach AS (SELECT row AS x, row AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y),
+least_id AS (SELECT reach.x AS row, MIN(doc_id) AS component_id FROM reach JOIN d ON d.row = reach.y GROUP BY reach.x)
+SELECT doc_id, COALESCE(n, 0) AS n_shingles, component_id FROM d LEFT JOIN size USING (row) LEFT JOIN least_id USING (row)"""
+
+#: DuckDB SQL by query, where SQL can express it
+ORACLE: dict[str, str] = {"op2_chat_format": _CHATS, "op9_decontamination": _CONTAMINATION, "op10_ngram_join": _LINKED}

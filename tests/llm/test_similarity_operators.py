@@ -165,3 +165,49 @@ def test_repeats_documents(spark, frame):
     assert repeats.remove_repeats(frame([])).collect() == []
     kept = {r.doc_id: (r.kept, r.kept_sha256) for r in repeats.remove_repeats(frame(docs[:5]), with_kept=True).collect()}
     assert all(hashlib.sha256(k).hexdigest() == h for k, h in kept.values())
+
+
+# --- paragraphs
+
+def paragraph_classes(docs, k=5, percent=80, min_words=10):
+    """(doc, line) -> smallest (doc, line) of its class, by all pairs."""
+    places, ss = [], []
+    for d, t in docs:
+        for i, line in enumerate((t or "").split("\n")):
+            w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line))
+            if len(w) >= min_words:
+                places.append((d, i, line))
+                ss.append({tuple(w[x:x + k]) for x in range(max(1, len(w) - k + 1))})
+    links = [(i, j) for i in range(len(ss)) for j in range(i) if 100 * len(ss[i] & ss[j]) >= percent * len(ss[i] | ss[j])]
+    comp = roots(links, range(len(ss)))
+    low, n = {}, Counter()
+    for i, (d, line, _) in enumerate(places):
+        key = (d is None, d or 0, line)
+        low[comp[i]] = min(low.get(comp[i], key), key)
+        n[comp[i]] += 1
+    return Counter((places[i][0], places[i][1], len(places[i][2]), low[comp[i]][1:], (places[i][0] is None, places[i][0] or 0, places[i][1]) != low[comp[i]])
+                   for i in range(len(places)) if n[comp[i]] > 1)
+
+
+def test_paragraphs(spark, frame):
+    from finlake.llm import paragraphs
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passages = [[word() for _ in range(rng.randrange(8, 90))] for _ in range(12)]
+
+    def near(p):
+        p = list(p)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            p[rng.randrange(len(p))] = word()
+        return " ".join(p)
+    docs = [(i, "\n".join(near(rng.choice(passages)) if rng.random() < .5 else " ".join(word() for _ in range(rng.randrange(40)))
+                          for _ in range(rng.randrange(5)))) for i in range(80)]
+    docs += [(90, None), (91, ""), (92, "\n\n"), (3, docs[3][1]), (None, near(passages[0])), (None, " ".join(passages[1])),
+             (93, "x " * 50 + "\n" + "x " * 60 + "\n\n" + "X " * 70), (94, " ".join(passages[2]).upper() + "\r")]
+    for some in (docs, documents(spark)):
+        got = Counter((r.doc_id, r.paragraph, r.end - r.start, (r.kept_id or 0, r.kept_paragraph), r.removed)
+                      for r in paragraphs.duplicate_paragraphs(frame(some)).collect())
+        assert got == paragraph_classes(some)
+    assert paragraphs.duplicate_paragraphs(frame([])).collect() == []
+    cut = paragraphs.without_duplicates(frame([(1, "a\n" + near(passages[4])), (2, "b\n" + " ".join(passages[5]) + "\nc"), (3, " ".join(passages[5])), (4, None)]))
+    assert {r.doc_id: r.text for r in cut.collect() if r.doc_id in (3, 4)} == {3: "", 4: None}
