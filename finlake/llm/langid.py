@@ -22,11 +22,11 @@ from finlake.llm import text as T
 from finlake.llm.quality_crf import held_out
 
 #: labelled documents of each language that the model is fitted on, at most
-PER_LANGUAGE = 300
-STEPS = 60
+PER_LANGUAGE = 200
+STEPS = 45
 BITS = 16
 STRETCH, SEQUENCE = 24, 240  # words of a stretch, and of a training sequence
-CHUNK = 6 << 20
+CHUNK = 4 << 20
 
 _LETTER = T.byte_table(r"[A-Za-z]")
 _WORD = _LETTER.copy()

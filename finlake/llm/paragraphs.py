@@ -25,7 +25,7 @@ from finlake.llm.ngram_join import _sum, verified_links
 from finlake.session import scratch_dir
 
 SHINGLE, PERCENT = 5, 80
-MIN_WORDS = 10
+MIN_WORDS = 20
 BANDS, ROWS = 16, 4
 
 

@@ -18,7 +18,7 @@ from finlake.llm import crf
 from finlake.llm import text as T
 
 #: labelled documents that the model is fitted on, at most: those with the smallest hash of their id
-SAMPLE = 6000
+SAMPLE = 3000
 STEPS = 150
 CUT = 0.7
 
@@ -29,8 +29,8 @@ OWN = 24
 
 
 def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of every line with a visible character, with those of its
-    neighbours; the length of each; the first line of each text."""
+    """Features of every line with a visible character; the length of each; the
+    first line of each text."""
     data, off = T.utf8(column)
     space = T.SPACE[data]
     ls, le, lfirst = T.runs(data != 10, off)
@@ -42,7 +42,7 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     first = np.searchsorted(ldoc, np.arange(len(off)))
     n = len(ls)
     if n == 0:
-        return np.zeros((0, 3 * OWN + 1)), np.zeros(0), first
+        return np.zeros((0, OWN)), np.zeros(0), first
 
     def share(mask: np.ndarray) -> np.ndarray:
         total = np.zeros(len(data) + 1, np.int32)
@@ -68,13 +68,21 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
          share(_PUNCT[data]), share(data >= 128), bang, repeat, fresh, _STOP[last], times[inverse] > 1,
          symbol > 0.01, symbol > 0.05, symbol > 0.2, upper > lower, bang > 0.02, repeat > 0.1, repeat > 0.5,
          (fresh < 0.6) & (count > 8), count < 4, share(data == 124) > 0.02]
-    own = np.stack([np.asarray(x, np.float64) for x in f], 1)
+    return np.stack([np.asarray(x, np.float64) for x in f], 1), chars.astype(np.float64), first
+
+
+def with_neighbours(own: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each line's features, then those of the lines before and after it in its
+    text, and a constant."""
+    n = len(own)
+    if n == 0:
+        return np.zeros((0, 3 * OWN + 1))
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:] = own[:-1]
     after[:-1] = own[1:]
     before[first[:-1][first[:-1] < n]] = 0
     after[first[1:][first[1:] > 0] - 1] = 0
-    return np.concatenate([own, before, after, np.ones((n, 1))], 1), chars.astype(np.float64), first
+    return np.concatenate([own, before, after, np.ones((n, 1))], 1)
 
 
 def fit(features: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +106,8 @@ def fit(features: np.ndarray, first: np.ndarray, label: np.ndarray, steps: int =
 
 def score_texts(column: pa.Array, model: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     w, move = model
-    f, length, first = line_features(column)
+    own, length, first = line_features(column)
+    f = with_neighbours(own, first)
     p, _ = crf.marginals(np.stack([np.zeros(len(f)), f @ w], 1), first, move)
     total = np.concatenate([[0.0], np.cumsum(p[:, 1] * length)])
     weight = np.concatenate([[0.0], np.cumsum(length)])
@@ -120,13 +129,24 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
               .groupBy("id").agg((F.min("q") >= 1).cast("int").alias("q")))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = (texts.join(F.broadcast(chosen), "id").groupBy("id").agg(F.first("text").alias("text"), F.first("q").alias("q"))
-            .orderBy("id").collect())
+    picked = (texts.join(F.broadcast(chosen), "id").groupBy("id")
+              .agg(F.min("text").alias("text"), F.min("q").alias("q")))
+
+    def measure(batches):
+        for chunk in T.chunks(batches):
+            own, _, first = line_features(chunk.column("text"))
+            own = own.astype(np.float32)
+            lines = [own[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+            yield pa.RecordBatch.from_arrays([chunk.column("id"), chunk.column("q"), pa.array(lines, pa.binary())], ["id", "q", "lines"])
+
+    kind = docs.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+    rows = picked.mapInArrow(measure, f"id {kind}, q int, lines binary").orderBy("id").collect()
     label = np.array([r["q"] for r in rows], np.int64)
     if len(set(label.tolist())) < 2:
         return np.zeros(3 * OWN + 1), np.zeros((2, 2))
-    f, _, first = line_features(pa.array([r["text"] for r in rows], pa.large_string()))
-    return fit(f, first, label)
+    own = [np.frombuffer(bytes(r["lines"]), np.float32).reshape(-1, OWN) for r in rows]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+    return fit(with_neighbours(np.concatenate(own).astype(np.float64), first), first, label)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

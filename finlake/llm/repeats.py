@@ -176,7 +176,9 @@ def _cover(length: int, with_kept: bool):
 
 
 class _Tables:
-    """Tables of one run under the shared folder, each written once."""
+    """Tables of one run under the shared folder, each written once.  A table
+    that nothing reads any more makes room: its successor is written down, so no
+    lost executor needs it."""
 
     def __init__(self, spark):
         self.spark, self.base, self.n = spark, scratch_dir(spark, "repeats"), 0
@@ -186,6 +188,11 @@ class _Tables:
         df.write.parquet(f"{self.base}/{self.n}")
         return self.spark.read.parquet(f"{self.base}/{self.n}")
 
+    def drop(self, df: DataFrame) -> None:
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
 
 def _not_unique(rows: DataFrame, rank: list[str]) -> DataFrame:
     twice = rows.groupBy(*rank).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -230,10 +237,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = tables.keep(d.where(F.octet_length("text") >= length).mapInArrow(_anchor_rows(length, spread), head + spans))
 
     # prefix doubling: ranks of the first half, then pairs of ranks at an offset
-    rows = tables.keep(_not_unique(rows, ["k1"]))
-    rows = tables.keep(_not_unique(rows, ["k1", "k2"]).withColumn("known", F.lit(False)))
+    half = tables.keep(_not_unique(rows, ["k1"]))
+    tables.drop(rows)
+    rows = tables.keep(_not_unique(half, ["k1", "k2"]).withColumn("known", F.lit(False)))
+    tables.drop(half)
     found, open_ = _decide(rows, tables)
     found, open_ = [found], tables.keep(open_)
+    tables.drop(rows)
 
     def place(batches):
         for b in batches:
@@ -253,9 +263,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         same = [snippets["id"].eqNullSafe(o["id"]), snippets["th"] == o["th"], snippets["p"] == o["p"]]
         parts = snippets.join(o, same).select(snippets["id"], snippets["th"], "lo", "hi", snippets["p"], "base", "snippet", "known")
         rows = tables.keep(parts.mapInArrow(_split(length, step), head + spans + ", known boolean"))
-        more, open_ = _decide(rows, tables)
+        more, left = _decide(rows, tables)
         found.append(more)
-        open_ = tables.keep(open_)
+        left = tables.keep(left)
+        tables.drop(rows)
+        tables.drop(open_)
+        open_ = left
+    tables.drop(snippets)
 
     ranges = found[0]
     for f in found[1:]:

@@ -206,8 +206,8 @@ def test_paragraphs(spark, frame):
              (93, "x " * 50 + "\n" + "x " * 60 + "\n\n" + "X " * 70), (94, " ".join(passages[2]).upper() + "\r")]
     for some in (docs, documents(spark)):
         got = Counter((r.doc_id, r.paragraph, r.end - r.start, (r.kept_id or 0, r.kept_paragraph), r.removed)
-                      for r in paragraphs.duplicate_paragraphs(frame(some)).collect())
+                      for r in paragraphs.duplicate_paragraphs(frame(some), min_words=10).collect())
         assert got == paragraph_classes(some)
     assert paragraphs.duplicate_paragraphs(frame([])).collect() == []
-    cut = paragraphs.without_duplicates(frame([(1, "a\n" + near(passages[4])), (2, "b\n" + " ".join(passages[5]) + "\nc"), (3, " ".join(passages[5])), (4, None)]))
-    assert {r.doc_id: r.text for r in cut.collect() if r.doc_id in (3, 4)} == {3: "", 4: None}
+    cut = paragraphs.without_duplicates(frame([(1, "a\n" + near(passages[4])), (2, "b\n" + " ".join(passages[5]) + "\nc"), (3, " ".join(passages[5])), (4, None)]), min_words=5)
+    assert {r.doc_id: r.text for r in cut.collect() if r.doc_id > 1} == {2: "b\n" + " ".join(passages[5]) + "\nc", 3: "", 4: None}
