@@ -22,9 +22,10 @@ def parse_decimal(s, precision: int, scale: int, strip_commas: bool = True) -> C
 
 
 def parse_int(s, type_: str = "int") -> Column:
-    """CAST AS UNSIGNED/SIGNED: '12.7' -> 12 (truncates), garbage -> NULL."""
-    t = F.trim(col_(s))
-    return t.try_cast(DecimalType(20, 4)).cast(type_)
+    """CAST AS UNSIGNED/SIGNED: '12.7' -> 12 and '12.99999' -> 12 (truncates toward
+    zero); garbage and values beyond the target type -> NULL."""
+    d = F.trim(col_(s)).try_cast(DecimalType(38, 18))
+    return F.when(d >= 0, F.floor(d)).otherwise(F.ceil(d)).try_cast(type_)
 
 
 def parse_flag(s) -> Column:

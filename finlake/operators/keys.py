@@ -1,7 +1,9 @@
 """Surrogate keys (AUTO_INCREMENT) for warehouse loads.
 
-Dense, gap-free keys 1..n in the order of the natural key, computed with the
-distributed row number (no single-partition window)."""
+Facts get a 64-bit hash of their natural key, which needs no order and no
+second pass.  Dense, gap-free keys 1..n in the order of the natural key come
+from the distributed row number (no single-partition window), which sorts and
+checkpoints the rows: dimensions whose key is an INT use them."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
@@ -14,3 +16,8 @@ def with_surrogate_key(df: DataFrame, name: str, order_cols: list[str], start: i
                        partitions: int | None = None) -> DataFrame:
     out = global_row_number(df, [F.col(c).asc_nulls_last() for c in order_cols], "_sk", partitions)
     return out.withColumn(name, (F.col("_sk") + (start - 1)).cast("long")).drop("_sk")
+
+
+def with_hashed_key(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
+    """`name` = hash of the given columns; rows equal in them have equal keys."""
+    return df.withColumn(name, F.xxhash64(*cols))

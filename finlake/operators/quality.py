@@ -33,17 +33,9 @@ def duplicate_keys(df: DataFrame, keys: list[str], out: str = "occurrences") ->
             .filter(F.col(out) > 1))
 
 
-def duplicate_key_count(df: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: number of keys that occur more than once."""
-    return duplicate_keys(df, keys).agg(F.count(F.lit(1)).alias("duplicates"))
-
-
-def orphans(fact: DataFrame, fk: str, dim: DataFrame, dk: str, out: str,
-            broadcast_dim: bool = False) -> DataFrame:
+def orphans(fact: DataFrame, fk: str, dim: DataFrame, dk: str, out: str) -> DataFrame:
     """One row: rows of ``fact`` whose ``fk`` matches no ``dim.dk``."""
     d = dim.select(F.col(dk).alias("__dk")).distinct()
-    if broadcast_dim:
-        d = F.broadcast(d)
     a = fact.join(d, fact[fk] == d["__dk"], "left_anti")
     return a.agg(F.count(F.lit(1)).alias(out))
 

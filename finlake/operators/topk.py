@@ -4,15 +4,15 @@ For a report like "the 10 largest transactions with customer and product
 names", the join to the dimensions only drops fact rows (no match) or repeats
 them (duplicate dimension keys), and the order starts with a fact column.
 Then every joined row built from a fact row with a smaller sort value ranks
-after every joined row built from the n largest fact rows.  So:
+after every joined row built from the k largest fact rows.  One lazy plan:
 
-1. take the n largest values of the sort column (distributed top-k, one row
-   of statistics to the driver);
-2. keep fact rows with sort value >= the n-th value (a range filter that
-   reaches the Parquet scan) and join only those;
-3. if the join leaves at least k rows, the top k of this reduced join is the
-   exact answer; otherwise widen n and repeat.  With fewer non-NULL values
-   than n there is nothing to cut and the plain join is used.
+1. the k-th largest sort value, as a one-row frame (distributed top-k);
+2. whether the fact rows at or above it yield k joined rows, as another;
+3. the fact rows at or above it -- or all, where step 2 says that the join
+   dropped too many, or where fewer than k values exist -- joined and cut.
+
+The one-row frames are the only things joined by a condition, so a fact row
+is compared with one value; nothing runs before the caller's action.
 """
 from __future__ import annotations
 
@@ -23,18 +23,15 @@ from pyspark.sql import functions as F
 
 
 def top_k_through_join(fact: DataFrame, sort_col: str, k: int,
-                       join: Callable[[DataFrame], DataFrame], order: list[Column],
-                       start: int | None = None, growth: int = 4) -> DataFrame:
+                       join: Callable[[DataFrame], DataFrame], order: list[Column]) -> DataFrame:
     """Exact ``join(fact).orderBy(*order).limit(k)`` when ``join`` only drops
     or repeats fact rows and ``order`` begins with ``sort_col`` descending,
     NULLs last."""
-    n = max(start or k, 1)
-    while True:
-        head = fact.filter(F.col(sort_col).isNotNull()).orderBy(F.col(sort_col).desc()).limit(n)
-        st = head.agg(F.count(F.lit(1)).alias("n"), F.min(sort_col).alias("lo")).first()
-        if st["n"] < n:
-            return join(fact).orderBy(*order).limit(k)
-        reduced = join(fact.filter(F.col(sort_col) >= F.lit(st["lo"])))
-        if reduced.count() >= k:
-            return reduced.orderBy(*order).limit(k)
-        n *= growth
+    largest = fact.filter(F.col(sort_col).isNotNull()).select(sort_col).orderBy(F.col(sort_col).desc()).limit(k)
+    lowest = largest.agg(F.when(F.count(F.lit(1)) >= k, F.min(sort_col)).alias("__lo"))
+    above = F.col("__lo").isNull() | (F.col(sort_col) >= F.col("__lo"))
+    head = fact.crossJoin(lowest).filter(above).drop("__lo")
+    enough = join(head).limit(k).agg((F.count(F.lit(1)) >= k).alias("__enough"))
+    limits = lowest.crossJoin(enough)  # one row
+    cut = fact.crossJoin(limits).filter(~F.col("__enough") | above).drop("__lo", "__enough")
+    return join(cut).orderBy(*order).limit(k)

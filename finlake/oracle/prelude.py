@@ -53,6 +53,7 @@ dim_customers_clean AS (
          csm_owner, nps_score, last_login_days_ago, avg_monthly_logins, support_tickets_90d,
          expected_cltv_months, is_active
   FROM cust_base),
+-- fixed values: the seed rows, in seed order
 dim_product AS (
   SELECT * FROM (VALUES
     (1,'Core Platform','Subscription',1,22.00,'Revenue'),
@@ -132,7 +133,7 @@ bva_g AS (
          SUM(revenue_inr) AS act_rev,
          SUM(ROUND(revenue_inr * (0.88 + 0.02 * (month(odate) % 8)), 2)) AS bud_rev,
          SUM(CAST(l_quantity AS DECIMAL(12,2))) * 100 AS act_opex,
-         CAST(COUNT(*) * 2550 AS DECIMAL(14,2)) AS bud_opex,
+         CAST(COUNT(*) * 2550 AS DECIMAL(20,2)) AS bud_opex,
          SUM(gross_profit_inr) AS gp,
          COUNT(DISTINCT l_suppkey) AS hc
   FROM priced2 GROUP BY 1, 2, 3),
@@ -142,18 +143,18 @@ fact_budget_vs_actual_clean AS (
          'Q' || CAST(quarter(make_date(y, m, 1)) AS VARCHAR) AS fiscal_quarter,
          strftime(make_date(y, m, 1), '%b-%Y') AS month_label,
          department,
-         CAST(bud_rev AS DECIMAL(14,2)) AS budgeted_revenue_inr,
-         CAST(act_rev AS DECIMAL(14,2)) AS actual_revenue_inr,
-         CAST(act_rev - bud_rev AS DECIMAL(14,2)) AS revenue_variance_inr,
+         CAST(bud_rev AS DECIMAL(20,2)) AS budgeted_revenue_inr,
+         CAST(act_rev AS DECIMAL(20,2)) AS actual_revenue_inr,
+         CAST(act_rev - bud_rev AS DECIMAL(20,2)) AS revenue_variance_inr,
          CAST(__REVPCT__ AS DECIMAL(7,2)) AS revenue_variance_pct,
-         CAST(bud_opex AS DECIMAL(14,2)) AS budgeted_opex_inr,
-         CAST(act_opex AS DECIMAL(14,2)) AS actual_opex_inr,
-         CAST(act_opex - bud_opex AS DECIMAL(14,2)) AS opex_variance_inr,
+         CAST(bud_opex AS DECIMAL(20,2)) AS budgeted_opex_inr,
+         CAST(act_opex AS DECIMAL(20,2)) AS actual_opex_inr,
+         CAST(act_opex - bud_opex AS DECIMAL(20,2)) AS opex_variance_inr,
          CAST(__OPEXPCT__ AS DECIMAL(7,2)) AS opex_variance_pct,
-         CAST(ROUND(bud_rev * 0.65 - bud_opex, 2) AS DECIMAL(14,2)) AS budgeted_ebitda_inr,
-         CAST(gp - act_opex AS DECIMAL(14,2)) AS actual_ebitda_inr,
-         CAST(hc + m % 3 - 1 AS SMALLINT) AS headcount_budget,
-         CAST(hc AS SMALLINT) AS headcount_actual
+         CAST(ROUND(bud_rev * 0.65 - bud_opex, 2) AS DECIMAL(20,2)) AS budgeted_ebitda_inr,
+         CAST(gp - act_opex AS DECIMAL(20,2)) AS actual_ebitda_inr,
+         CAST(hc + m % 3 - 1 AS INTEGER) AS headcount_budget,
+         CAST(hc AS INTEGER) AS headcount_actual
   FROM bva_g),
 cal_bounds AS (
   SELECT make_date(CAST(year(MIN(odate)) AS INTEGER), 1, 1) AS s,
@@ -224,7 +225,8 @@ fact_churn AS (SELECT * FROM churn_d UNION ALL SELECT * FROM churn_d WHERE custo
 fact_budget_vs_actual AS (
   SELECT * FROM fact_budget_vs_actual_clean
   UNION ALL SELECT * FROM fact_budget_vs_actual_clean WHERE date_key % 89 = 0),
-dim_date AS (SELECT * FROM dim_date_clean WHERE full_date <= DATE '2000-12-31')"""
+dim_date AS (SELECT * FROM dim_date_clean),
+dim_date_loaded AS (SELECT * FROM dim_date_clean WHERE full_date <= DATE '2000-12-31')"""
 
 
 def with_star(defects: bool = False) -> str:

@@ -1,29 +1,100 @@
-"""Oracle SQL: calendar, loads, counts, inventory, constraints."""
+"""Oracle SQL: calendar, loads, counts, inventory, constraints.  Column lists,
+domains, keys and lengths are stated here again, so that a wrong one in the
+library's schemas does not pass."""
 from __future__ import annotations
 
-from pyspark.sql.types import ByteType, DecimalType, IntegerType, LongType, ShortType
-
 from finlake.oracle.prelude import sql
-from finlake.plans.warehouse import (SURROGATE_COLS, TABLE_DESCRIPTIONS, TABLE_ORDER)
-from finlake.schemas import ENUM_DOMAINS, FOREIGN_KEYS, UNIQUE_KEYS, WAREHOUSE
+
+# ---- fixed values: columns in order; i INTEGER, l BIGINT, d DOUBLE, s as it is ----
+_COLUMNS = {
+    "dim_date":
+        "date_key:i full_date:s day_of_week:i day_name:s day_of_month:i day_of_year:i week_of_year:i "
+        "month_num:i month_name:s month_short:s fiscal_month_label:s quarter_num:i quarter_label:s "
+        "fiscal_year:i fiscal_year_quarter:s is_weekend:i is_month_end:i is_quarter_end:i is_year_end:i ",
+    "dim_customers":
+        "customer_key:i customer_id:s company_name:s plan:s segment:s industry:s region:s "
+        "acquisition_date:s acquisition_channel:s mrr_inr:d arr_inr:d contract_length_months:i "
+        "health_score:d health_status:s csm_owner:s nps_score:i last_login_days_ago:i "
+        "avg_monthly_logins:d support_tickets_90d:i expected_cltv_months:i is_active:i ",
+    "dim_product":
+        "product_key:i product_line:s category:s is_recurring:i cogs_pct_std:d product_group:s ",
+    "fact_transactions":
+        "transaction_key:l transaction_id:s invoice_id:s customer_key:i product_key:i date_key:i "
+        "fiscal_year:i fiscal_quarter:s fiscal_month:s region:s segment:s plan:s payment_status:s "
+        "revenue_inr:d cogs_inr:d gross_profit_inr:d gross_margin_pct:d ",
+    "fact_churn":
+        "churn_key:l customer_key:i acquisition_date_key:i churn_date_key:i plan:s segment:s region:s "
+        "churn_reason:s churn_type:s was_escalated:i exit_survey_completed:i win_back_eligible:i "
+        "days_to_churn:i mrr_at_churn_inr:d arr_at_churn_inr:d revenue_recognized_inr:d "
+        "last_health_score:d support_tickets_90d:i ",
+    "fact_budget_vs_actual":
+        "bva_key:l date_key:i fiscal_year:i fiscal_quarter:s month_label:s department:s "
+        "budgeted_revenue_inr:d actual_revenue_inr:d revenue_variance_inr:d revenue_variance_pct:d "
+        "budgeted_opex_inr:d actual_opex_inr:d opex_variance_inr:d opex_variance_pct:d "
+        "budgeted_ebitda_inr:d actual_ebitda_inr:d headcount_budget:i headcount_actual:i ",
+}
+_KEYS_ONLY = {"transaction_key", "churn_key", "bva_key"}  # surrogate keys, left out of loads
+
+# ---- fixed values: words of the inventory, in table order ----
+_DESCRIPTIONS = {
+    "dim_date": "Calendar dimension",
+    "dim_customers": "Customer master",
+    "dim_product": "Product and revenue category dimension",
+    "fact_transactions": "Revenue fact table",
+    "fact_churn": "Churn event fact",
+    "fact_budget_vs_actual": "Budget vs Actual fact - monthly department level",
+}
+
+# ---- fixed values: enum domains, lengths of texts, keys and references ----
+_DOMAINS = {
+    ("dim_customers", "plan"): "Starter|Growth|Business|Enterprise",
+    ("dim_customers", "segment"): "SMB|Mid-Market|Enterprise",
+    ("dim_customers", "region"): "North|South|East|West|Central",
+    ("dim_customers", "health_status"): "Healthy|At Risk|Critical",
+    ("fact_transactions", "payment_status"): "Paid|Pending|Overdue",
+    ("fact_churn", "churn_type"): "Voluntary|Involuntary",
+}
+_LENGTHS = {
+    "dim_date": "day_name:10 month_name:10 month_short:3 fiscal_month_label:10 quarter_label:2 fiscal_year_quarter:7",
+    "dim_customers": "customer_id:12 company_name:150 industry:50 acquisition_channel:30 csm_owner:100",
+    "dim_product": "product_line:30 category:30 product_group:30",
+    "fact_transactions": "transaction_id:12 invoice_id:12 fiscal_quarter:2 fiscal_month:10 region:10 segment:15 plan:12",
+    "fact_churn": "plan:12 segment:15 region:10 churn_reason:30",
+    "fact_budget_vs_actual": "fiscal_quarter:2 month_label:10 department:30",
+}
+_NATURAL = {
+    "dim_date": "date_key",
+    "dim_customers": "customer_id",
+    "dim_product": "product_line,category",
+    "fact_transactions": "transaction_id",
+    "fact_churn": "customer_key",
+    "fact_budget_vs_actual": "date_key,department",
+}
+# primary key, and the columns that stand for it here: hashed keys follow from the natural key
+_PRIMARY = {
+    "dim_date": ("date_key", "date_key"),
+    "dim_customers": ("customer_key", "customer_key"),
+    "dim_product": ("product_key", "product_key"),
+    "fact_transactions": ("transaction_key", "transaction_id"),
+    "fact_churn": ("churn_key", "churn_key"),
+    "fact_budget_vs_actual": ("bva_key", "date_key, department"),
+}
+_REFERENCES = [
+    ("fact_transactions", "customer_key", "dim_customers", "customer_key"),
+    ("fact_transactions", "product_key", "dim_product", "product_key"),
+    ("fact_transactions", "date_key", "dim_date", "date_key"),
+    ("fact_churn", "customer_key", "dim_customers", "customer_key"),
+    ("fact_churn", "acquisition_date_key", "dim_date", "date_key"),
+    ("fact_churn", "churn_date_key", "dim_date", "date_key"),
+    ("fact_budget_vs_actual", "date_key", "dim_date", "date_key"),
+]
 
 
 def _present(table: str, alias: str = "", skip=(), override: dict | None = None) -> str:
-    out = []
-    for f in WAREHOUSE[table].fields:
-        if f.name in skip:
-            continue
-        src = (override or {}).get(f.name, f"{alias}{f.name}")
-        t = f.dataType
-        if isinstance(t, (ByteType, ShortType, IntegerType)):
-            out.append(f"CAST({src} AS INTEGER) AS {f.name}")
-        elif isinstance(t, LongType):
-            out.append(f"CAST({src} AS BIGINT) AS {f.name}")
-        elif isinstance(t, DecimalType):
-            out.append(f"CAST({src} AS DOUBLE) AS {f.name}")
-        else:
-            out.append(f"{src} AS {f.name}")
-    return ", ".join(out)
+    """Output types: small integers as INTEGER, decimals as DOUBLE."""
+    to = {"i": "CAST({} AS INTEGER)", "l": "CAST({} AS BIGINT)", "d": "CAST({} AS DOUBLE)", "s": "{}"}
+    cols = [c.split(":") for c in _COLUMNS[table].split() if c.split(":")[0] not in skip]
+    return ", ".join(f"{to[k].format((override or {}).get(c, alias + c))} AS {c}" for c, k in cols)
 
 
 Q = {}
@@ -45,12 +116,12 @@ Q["load_dim_customers"] = sql(f"""{_NEWKEY}
 SELECT {_present('dim_customers', 'c.', override={'customer_key': 'nk.new_key'})}
 FROM dim_customers c JOIN nk ON c.customer_key = nk.old_key""")
 Q["load_fact_transactions"] = sql(f"""{_NEWKEY}
-SELECT {_present('fact_transactions', 't.', skip=SURROGATE_COLS, override={'customer_key': 'nk.new_key'})}
+SELECT {_present('fact_transactions', 't.', skip=_KEYS_ONLY, override={'customer_key': 'nk.new_key'})}
 FROM fact_transactions t JOIN nk ON t.customer_key = nk.old_key""")
 Q["load_fact_churn"] = sql(f"""{_NEWKEY}
-SELECT {_present('fact_churn', 'ch.', skip=SURROGATE_COLS, override={'customer_key': 'nk.new_key'})}
+SELECT {_present('fact_churn', 'ch.', skip=_KEYS_ONLY, override={'customer_key': 'nk.new_key'})}
 FROM fact_churn ch JOIN nk ON ch.customer_key = nk.old_key""")
-Q["load_fact_budget"] = sql(f"SELECT {_present('fact_budget_vs_actual', skip=SURROGATE_COLS)} "
+Q["load_fact_budget"] = sql(f"SELECT {_present('fact_budget_vs_actual', skip=_KEYS_ONLY)} "
                             "FROM fact_budget_vs_actual")
 
 
@@ -62,45 +133,65 @@ Q["load_counts_staging"] = sql(_counts([("stg_customers", "dim_customers"),
                                         ("stg_transactions", "fact_transactions"),
                                         ("stg_churn", "fact_churn"),
                                         ("stg_budget", "fact_budget_vs_actual")], "row_count"))
-Q["load_counts_warehouse"] = sql(_counts([(t, t) for t in TABLE_ORDER], "rows_loaded"))
+Q["load_counts_warehouse"] = sql(_counts([(t, t) for t in _COLUMNS], "rows_loaded"))
 Q["load_counts_single"] = sql("SELECT COUNT(*) AS fact_transactions_loaded FROM fact_transactions")
 Q["table_inventory"] = sql(" UNION ALL ".join(
-    f"SELECT '{t}' AS table_name, '{TABLE_DESCRIPTIONS[t]}' AS description, COUNT(*) AS row_count FROM {t}"
-    for t in TABLE_ORDER))
+    f"SELECT '{t}' AS table_name, '{words}' AS description, COUNT(*) AS row_count FROM {t}"
+    for t, words in _DESCRIPTIONS.items()))
 
-_NN_SKIP = {"fact_transactions": {"transaction_key"}}
+
+def _rule(table: str, rule: str, counted: str) -> str:
+    return f"SELECT '{table}' AS table_name, '{rule}' AS rule, CAST(({counted}) AS BIGINT) AS violations"
+
+
+def _repeated(table: str, key: str) -> str:
+    return f"SELECT COUNT(*) FROM (SELECT 1 FROM {table} GROUP BY {key} HAVING COUNT(*) > 1)"
 
 
 def _constraints() -> str:
     parts = []
-    for t in TABLE_ORDER:
-        for f in WAREHOUSE[t].fields:
-            if f.nullable or f.name in SURROGATE_COLS:
-                continue
-            parts.append(f"SELECT '{t}' AS table_name, 'not_null:{f.name}' AS rule, "
-                         f"COUNT(*) FILTER (WHERE {f.name} IS NULL) AS violations FROM {t}")
-        for c, dom in ENUM_DOMAINS.get(t, {}).items():
-            lst = ", ".join(f"'{v}'" for v in dom)
-            parts.append(f"SELECT '{t}', 'enum:{c}', COUNT(*) FILTER (WHERE {c} IS NOT NULL AND {c} NOT IN ({lst})) "
-                         f"FROM {t}")
-        keys = UNIQUE_KEYS[t]
-        k = ", ".join(keys)
-        parts.append(f"SELECT '{t}', 'unique:{','.join(keys)}', "
-                     f"(SELECT COUNT(*) FROM (SELECT {k} FROM {t} GROUP BY {k} HAVING COUNT(*) > 1) x)")
-    for (t, c), (dt, dc) in FOREIGN_KEYS.items():
-        parts.append(f"SELECT '{t}', 'fk:{c}->{dt}.{dc}', (SELECT COUNT(*) FROM {t} a LEFT JOIN "
-                     f"(SELECT DISTINCT {dc} AS k FROM {dt}) d ON a.{c} = d.k WHERE d.k IS NULL)")
-    body = "\nUNION ALL ".join(parts)
-    return f"u AS ({body})\nSELECT table_name, rule, CAST(violations AS BIGINT) AS violations FROM u"
+    for t, columns in _COLUMNS.items():
+        for c in columns.split():
+            c = c.split(":")[0]
+            if c not in _KEYS_ONLY:
+                parts.append(_rule(t, f"not_null:{c}", f"SELECT COUNT(*) FROM {t} WHERE {c} IS NULL"))
+        for c in _LENGTHS[t].split():
+            c, n = c.split(":")
+            parts.append(_rule(t, f"length:{c}", f"SELECT COUNT(*) FROM {t} WHERE length({c}) > {n}"))
+        parts.append(_rule(t, f"unique:{_NATURAL[t]}", _repeated(t, _NATURAL[t])))
+        name, columns = _PRIMARY[t]
+        parts.append(_rule(t, f"primary:{name}", _repeated(t, columns)))
+    for (t, c), names in _DOMAINS.items():
+        parts.append(_rule(t, f"enum:{c}", f"SELECT COUNT(*) FROM {t} WHERE NOT list_contains(string_split('{names}', '|'), {c})"))
+    for t, c, dim, key in _REFERENCES:
+        source = "dim_date_loaded" if dim == "dim_date" else dim
+        parts.append(_rule(t, f"fk:{c}->{dim}.{key}", f"SELECT COUNT(*) FROM {t} f WHERE NOT EXISTS (FROM {source} d WHERE d.{key} = f.{c})"))
+    return "\nUNION ALL ".join(parts)
 
 
 Q["check_constraints"] = sql(_constraints(), defects=True)
-Q["load_product_seed"] = sql(f"""
-b AS (SELECT DISTINCT CAST(substr(p_brand, 7, 3) AS INTEGER) AS product_key FROM part)
+Q["load_write_read_back"] = sql(f"SELECT {_present('fact_budget_vs_actual', skip=_KEYS_ONLY)} FROM fact_budget_vs_actual")
+Q["load_product_seed"] = sql("""
+brand AS (SELECT CAST(substr(p_brand, 7, 3) AS INTEGER) AS product_key, COUNT(*) AS parts FROM part GROUP BY ALL)
 SELECT CAST(p.product_key AS INTEGER) AS product_key, p.product_line, p.category,
        CAST(p.is_recurring AS INTEGER) AS is_recurring, CAST(p.cogs_pct_std AS DOUBLE) AS cogs_pct_std,
-       p.product_group
-FROM dim_product p WHERE p.product_key IN (SELECT product_key FROM b)""")
+       p.product_group, COALESCE(brand.parts, 0) AS parts
+FROM dim_product p LEFT JOIN brand ON brand.product_key = p.product_key""")
+
+# what a loader must make of the dirty cells, stated cell by cell from the customer's number
+Q["load_dirty_staging"] = sql("""
+t AS (SELECT *, customer_key AS n FROM fact_transactions)
+SELECT CASE WHEN n % 29 = 3 THEN '' ELSE transaction_id END AS transaction_id,
+       CASE WHEN n % 59 = 11 THEN '' ELSE invoice_id END AS invoice_id,
+       customer_key, product_key,
+       CASE WHEN n % 41 = 7 OR n % 43 = 8 THEN NULL ELSE date_key END AS date_key,
+       CASE WHEN n % 11 IN (2, 3) THEN NULL ELSE CAST(fiscal_year AS INTEGER) END AS fiscal_year,
+       fiscal_quarter, fiscal_month, region, segment, plan, payment_status,
+       CASE WHEN n % 47 = 9 OR n % 53 = 10 THEN NULL ELSE CAST(revenue_inr AS DOUBLE) END AS revenue_inr,
+       CAST(cogs_inr AS DOUBLE) AS cogs_inr, CAST(gross_profit_inr AS DOUBLE) AS gross_profit_inr,
+       CAST(gross_margin_pct AS DOUBLE) AS gross_margin_pct
+FROM t
+WHERE n % 7 IN (1, 2) OR (n % 31 <> 5 AND n % 37 <> 6)""")
 
 
 # ---- staging text, rendered as finlake.plans.warehouse.render_* does ----

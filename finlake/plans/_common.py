@@ -30,11 +30,10 @@ def n_distinct(c, alias: str, exact: bool = True, rsd: float = 0.01) -> Column:
 
 
 def dates(star: Star, *cols: str) -> DataFrame:
-    """dim_date columns for a broadcast join.  The calendar's size is bounded
-    by its span check (see sources.calendar), so broadcasting is safe."""
-    return F.broadcast(star["dim_date"].select("date_key", *cols))
+    """dim_date columns for a join; statistics and AQE choose the join."""
+    return star["dim_date"].select("date_key", *cols)
 
 
 def products(star: Star, *cols: str) -> DataFrame:
-    """dim_product (25-row seed) for a broadcast join."""
-    return F.broadcast(star["dim_product"].select("product_key", *cols))
+    """dim_product columns for a join; statistics and AQE choose the join."""
+    return star["dim_product"].select("product_key", *cols)

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finlake.functions.exact import out_double
-from finlake.operators.quality import (duplicate_key_count, duplicate_keys, null_counts, orphans,
-                                       rule_counts)
+from finlake.operators.quality import duplicate_keys, null_counts, orphans, rule_counts
 from finlake.operators.topk import top_k_through_join
 from finlake.plans._common import Star, dbl_avg, dbl_sum, n_rows
 from finlake.plans.revenue import rev_by_product_line
@@ -55,20 +54,21 @@ def dq_dup_budget(star: Star) -> DataFrame:
 
 
 def _dates(star: Star) -> DataFrame:
-    return star["dim_date"]
+    """The calendar that facts refer to: the loaded one, where it is cut."""
+    return star.get("dim_date_loaded", star["dim_date"])
 
 
 def dq_orphan_txn_dates(star: Star) -> DataFrame:
-    return orphans(star["fact_transactions"], "date_key", _dates(star), "date_key", "orphan_txn_dates", True)
+    return orphans(star["fact_transactions"], "date_key", _dates(star), "date_key", "orphan_txn_dates")
 
 
 def dq_orphan_churn_dates(star: Star) -> DataFrame:
-    return orphans(star["fact_churn"], "churn_date_key", _dates(star), "date_key", "orphan_churn_dates", True)
+    return orphans(star["fact_churn"], "churn_date_key", _dates(star), "date_key", "orphan_churn_dates")
 
 
 def dq_orphan_budget_dates(star: Star) -> DataFrame:
     return orphans(star["fact_budget_vs_actual"], "date_key", _dates(star), "date_key",
-                   "orphan_budget_dates", True)
+                   "orphan_budget_dates")
 
 
 # ---- business rules, grouped per table so a full check is one pass each ----
@@ -133,11 +133,12 @@ def dq_variance_mismatch(star: Star, tolerance: int = TOLERANCE) -> DataFrame:
 def dq_churn_before_acq(star: Star) -> DataFrame:
     """Churn dated on/before acquisition.  The customer join only filters (and
     multiplies by duplicate customer rows), so customers are reduced to a
-    key multiplicity first; the calendar is broadcast twice (acq/churn)."""
+    key multiplicity first.  The calendar joins stay: dates that are in no
+    calendar cannot be compared."""
     mult = star["dim_customers"].groupBy("customer_key").agg(F.count(F.lit(1)).alias("_mult"))
     d = star["dim_date"].select("date_key", "full_date")
-    acq = F.broadcast(d.select(F.col("date_key").alias("_ak"), F.col("full_date").alias("_acq")))
-    chd = F.broadcast(d.select(F.col("date_key").alias("_ck"), F.col("full_date").alias("_chd")))
+    acq = d.select(F.col("date_key").alias("_ak"), F.col("full_date").alias("_acq"))
+    chd = d.select(F.col("date_key").alias("_ck"), F.col("full_date").alias("_chd"))
     ch = star["fact_churn"].select("customer_key", "acquisition_date_key", "churn_date_key")
     j = (ch.join(acq, F.col("acquisition_date_key") == F.col("_ak"))
          .join(chd, F.col("churn_date_key") == F.col("_ck"))
@@ -172,7 +173,7 @@ def dq_revenue_outliers(star: Star, k: int = 10) -> DataFrame:
     output columns).  Only the fact rows that can reach the top k are joined
     to the customer dimension (see operators.topk)."""
     c = star["dim_customers"].select("customer_key", "company_name")
-    p = F.broadcast(star["dim_product"].select("product_key", "category", "product_line"))
+    p = star["dim_product"].select("product_key", "category", "product_line")
     t = star["fact_transactions"].select("transaction_id", "customer_key", "product_key", "fiscal_year",
                                          "revenue_inr", "gross_margin_pct")
 
@@ -201,21 +202,24 @@ def dq_high_tickets(star: Star, min_tickets: int = 10) -> DataFrame:
 
 
 def dq_scorecard(star: Star) -> DataFrame:
-    """table, rows, critical NULLs, duplicate keys: one aggregation pass per
-    table plus one duplicate-key aggregation; the four rows are unioned."""
-    def row(name: str, df: DataFrame, critical, dup_keys):
-        base = df.agg(F.count(F.lit(1)).alias("total_rows"),
-                      F.sum(F.when(critical, 1).otherwise(0)).cast("long").alias("critical_nulls"))
-        dups = (duplicate_key_count(df, dup_keys) if dup_keys
-                else base.sparkSession.range(1).select(F.lit(0).cast("long").alias("duplicates")))
-        return base.crossJoin(dups).select(F.lit(name).alias("table_name"), "total_rows",
-                                           "critical_nulls", F.col("duplicates").cast("long"))
+    """table, rows, critical NULLs, duplicate keys: each table is read once --
+    rows and NULLs are counted per natural key, and the keys' counts are summed."""
+    def row(name: str, critical, keys):
+        df = star[name].withColumn("_critical", F.when(critical, 1).otherwise(0))
+        if keys:
+            df = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.sum("_critical").alias("_critical"))
+        else:
+            df = df.select(F.lit(1).alias("_rows"), "_critical")
+        duplicates = F.count_if(F.col("_rows") > 1) if keys else F.lit(0)
+        return df.agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast("long").alias("total_rows"),
+                      F.sum("_critical").cast("long").alias("critical_nulls"),
+                      duplicates.cast("long").alias("duplicates")).select(F.lit(name).alias("table_name"), "*")
+
     rev = F.col("revenue_inr")
     rows = [
-        row("dim_customers", star["dim_customers"], F.col("acquisition_date").isNull(), None),
-        row("fact_transactions", star["fact_transactions"], rev.isNull() | (rev <= 0), ["transaction_id"]),
-        row("fact_churn", star["fact_churn"], F.col("churn_date_key").isNull(), ["customer_key"]),
-        row("fact_budget_vs_actual", star["fact_budget_vs_actual"], F.col("actual_revenue_inr").isNull(),
-            ["date_key", "department"]),
+        row("dim_customers", F.col("acquisition_date").isNull(), None),
+        row("fact_transactions", rev.isNull() | (rev <= 0), ["transaction_id"]),
+        row("fact_churn", F.col("churn_date_key").isNull(), ["customer_key"]),
+        row("fact_budget_vs_actual", F.col("actual_revenue_inr").isNull(), ["date_key", "department"]),
     ]
     return reduce(DataFrame.unionByName, rows)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from finlake.functions.exact import out_double, pct, quotient
-from finlake.operators.ranking import with_ntile, with_prefix_sum
+from finlake.operators.ranking import with_prefix_sum
 from finlake.operators.windows import lag_growth_pct, moving_avg, running_total, with_share
 from finlake.plans._common import Star, dates, dbl_avg, dbl_sum, n_distinct, n_rows, products
 
@@ -107,15 +107,12 @@ def rev_mrr_segment_region(star: Star) -> DataFrame:
 def rev_mrr_pareto(star: Star, quantiles: int = 5) -> DataFrame:
     """MRR concentration by quintile of active customers ranked by MRR.
 
-    The NTILE is computed with the distributed global row number, not a
-    single-partition window; the share of total uses a one-row total that
-    is broadcast."""
+    One distributed ordering (not a single-partition window) yields both the
+    NTILE and the total that shares refer to."""
     c = _active(star).select("customer_id", "mrr_inr")
-    total = c.agg(F.sum("mrr_inr").alias("_mrr_total"))
-    shares = c.crossJoin(F.broadcast(total)).withColumn(
-        "mrr_share_pct", pct("mrr_inr", "_mrr_total", 4).cast(D(12, 4)))
-    ranked = with_ntile(shares, [F.col("mrr_inr").desc(), F.col("customer_id").asc()],
-                        quantiles, "quintile")
+    ranked = with_prefix_sum(c, [F.col("mrr_inr").desc(), F.col("customer_id").asc()], "mrr_inr", out="_run",
+                             total="_mrr_total", ntile=(quantiles, "quintile"))
+    ranked = ranked.withColumn("mrr_share_pct", pct("mrr_inr", "_mrr_total", 4).cast(D(12, 4)))
     g = (ranked.groupBy("quintile")
          .agg(n_rows("customers_in_quintile"), F.sum("mrr_inr").alias("_mrr"),
               dbl_avg("mrr_share_pct", "avg_mrr_share_pct", 4)))
@@ -210,13 +207,16 @@ def rev_category_heatmap(star: Star) -> DataFrame:
     return rev_by_product_line(star)
 
 
-def category_year_heatmap(star: Star, years: list[int]) -> DataFrame:
+def rev_category_by_year(star: Star, years: tuple[int, ...] = tuple(range(1995, 2002))) -> DataFrame:
     """The heatmap the title describes: revenue per category (rows) and fiscal
-    year (columns).  ``years`` is explicit so the pivot needs no extra pass."""
-    t = star["fact_transactions"].join(products(star, "category"), "product_key")
-    p = (t.groupBy("category").pivot("fiscal_year", years)
-         .agg(F.round(F.sum("revenue_inr"), 0)))
-    return p.select("category", *[out_double(F.col(str(y))).alias(f"fy_{y}") for y in years])
+    year (columns).  ``years`` is explicit so the pivot needs no extra pass;
+    revenue of other years is in ``fy_other``, so none is lost.  Revenue is summed per
+    product and year before the category is joined."""
+    t = (star["fact_transactions"].groupBy("product_key", F.col("fiscal_year").cast("int").alias("_fy"))
+         .agg(F.sum("revenue_inr").alias("_rev")).join(products(star, "category"), "product_key"))
+    year = F.when(F.col("_fy").isin(*years), F.col("_fy").cast("string")).otherwise("other")
+    p = t.withColumn("_year", year).groupBy("category").pivot("_year", [*map(str, years), "other"]).agg(F.round(F.sum("_rev"), 0))
+    return p.select("category", *[out_double(F.col(str(y))).alias(f"fy_{y}") for y in [*years, "other"]])
 
 
 def _monthly(star: Star, *extra: str) -> DataFrame:

@@ -19,14 +19,14 @@ from pyspark.sql.types import ByteType, DecimalType, ShortType
 from finlake.functions.dates import date_key, parse_date
 from finlake.functions.enums import canonical_enum
 from finlake.functions.parse import clean_text, parse_decimal, parse_flag, parse_int
-from finlake.operators.keys import with_surrogate_key
+from finlake.operators.keys import with_hashed_key, with_surrogate_key
 from finlake.operators.quality import domain_violations
 from finlake.schemas import (CHURN_TYPES, ENUM_DOMAINS, FOREIGN_KEYS, HEALTH_STATUSES, PAYMENT_STATUSES,
-                             PLANS, REGIONS, SEGMENTS, UNIQUE_KEYS, WAREHOUSE)
+                             PLANS, PRIMARY_KEYS, REGIONS, SEGMENTS, TEXT_LENGTHS, UNIQUE_KEYS, WAREHOUSE)
 
 Star = dict
 
-# ---- fixed values: table descriptions of the inventory ----
+# table descriptions of the inventory, in this library's words
 TABLE_DESCRIPTIONS = {
     "dim_date": "Calendar dimension",
     "dim_customers": "Customer master",
@@ -78,9 +78,29 @@ def load_dim_date(star: Star) -> DataFrame:
 
 # ------------------------------------------------------------------ loaders
 def _key(c) -> Column:
-    """Lookup key with the reference's comparison rules (case-insensitive,
-    surrounding spaces ignored)."""
-    return F.lower(F.trim(c if isinstance(c, Column) else F.col(c)))
+    """Lookup key with the reference's comparison rules: case, accents and
+    surrounding spaces do not count."""
+    return F.collate(F.trim(c if isinstance(c, Column) else F.col(c)), "UNICODE_CI_AI")
+
+
+def _label(c: str, domain: list[str]) -> Column:
+    """A label column: the declared spelling where the value has one in any
+    case, else the trimmed text."""
+    return F.coalesce(canonical_enum(c, domain), clean_text(c))
+
+
+def one_spelling(df: DataFrame, *cols: str) -> DataFrame:
+    """Free labels that differ only in case or accents get one spelling (the
+    smallest), so that grouping by them gives one group.  Distinct labels are
+    few; each column costs one aggregation and a join with its result."""
+    out = df
+    for c in cols:
+        key = F.collate(F.col(c), "UNICODE_CI_AI")
+        names = (df.where(F.col(c).isNotNull()).select(c).distinct().groupBy(key.alias("_label_key"))
+                 .agg(F.min(c).alias("_spelling"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n"))
+        out = (out.join(names, key == F.col("_label_key"), "left")
+               .withColumn(c, F.coalesce("_spelling", c)).drop("_label_key", "_spelling"))
+    return out
 
 
 def load_dim_customers(stg: DataFrame, surrogate: bool = True) -> DataFrame:
@@ -109,7 +129,17 @@ def load_dim_customers(stg: DataFrame, surrogate: bool = True) -> DataFrame:
 
 
 def _customer_lookup(dim_customers: DataFrame) -> DataFrame:
-    return dim_customers.select(_key("customer_id").alias("_cid"), "customer_key")
+    """Key of each id; where ids differ only in case or accents the smallest
+    key is taken, so no fact row is repeated (see ``ambiguous_customers``)."""
+    return dim_customers.groupBy(_key("customer_id").alias("_cid")).agg(F.min("customer_key").alias("customer_key"))
+
+
+def ambiguous_customers(dim_customers: DataFrame) -> DataFrame:
+    """Ids that the lookup cannot tell apart: customer_id, customer_key, and how
+    many rows share its key."""
+    shared = dim_customers.groupBy(_key("customer_id").alias("_cid")).agg(F.count(F.lit(1)).alias("sharing")).where("sharing > 1")
+    named = dim_customers.select("customer_id", "customer_key", _key("customer_id").alias("_cid"))
+    return named.join(shared, "_cid").select("customer_id", "customer_key", "sharing")
 
 
 def load_fact_transactions(stg: DataFrame, dim_customers: DataFrame, dim_product: DataFrame,
@@ -117,8 +147,7 @@ def load_fact_transactions(stg: DataFrame, dim_customers: DataFrame, dim_product
     """Typed transactions; rows whose customer or (line, category) lookup
     fails drop out (see ``reject_transactions``)."""
     s = stg.filter(clean_text("TransactionID").isNotNull()).withColumn("_cid", _key("CustomerID"))
-    p = F.broadcast(dim_product.select(_key("product_line").alias("_pl"), _key("category").alias("_pc"),
-                                       "product_key"))
+    p = dim_product.select(_key("product_line").alias("_pl"), _key("category").alias("_pc"), "product_key")
     j = (s.join(_customer_lookup(dim_customers), "_cid")
          .join(p, (_key("ProductLine") == F.col("_pl")) & (_key("Category") == F.col("_pc"))))
     out = j.select(
@@ -126,21 +155,21 @@ def load_fact_transactions(stg: DataFrame, dim_customers: DataFrame, dim_product
         "customer_key", "product_key", date_key(parse_date("TransactionDate")).alias("date_key"),
         parse_int("FiscalYear", "smallint").alias("fiscal_year"),
         clean_text("FiscalQuarter").alias("fiscal_quarter"), clean_text("FiscalMonth").alias("fiscal_month"),
-        clean_text("Region").alias("region"), clean_text("Segment").alias("segment"),
-        clean_text("Plan").alias("plan"), canonical_enum("PaymentStatus", PAYMENT_STATUSES).alias("payment_status"),
+        _label("Region", REGIONS).alias("region"), _label("Segment", SEGMENTS).alias("segment"),
+        _label("Plan", PLANS).alias("plan"), canonical_enum("PaymentStatus", PAYMENT_STATUSES).alias("payment_status"),
         parse_decimal("Revenue_INR", 14, 2).alias("revenue_inr"),
         parse_decimal("COGS_INR", 14, 2).alias("cogs_inr"),
         parse_decimal("GrossProfit_INR", 14, 2).alias("gross_profit_inr"),
         parse_decimal("GrossMargin_Pct", 6, 2, strip_commas=False).alias("gross_margin_pct"))
     if surrogate:
-        out = with_surrogate_key(out, "transaction_key", ["transaction_id", "invoice_id", "date_key"])
+        out = with_hashed_key(out, "transaction_key", ["transaction_id", "invoice_id", "customer_key", "product_key", "date_key"])
     return out
 
 
 def reject_transactions(stg: DataFrame, dim_customers: DataFrame, dim_product: DataFrame) -> DataFrame:
     """Staging rows the transaction load drops (unknown customer or product)."""
     s = stg.filter(clean_text("TransactionID").isNotNull()).withColumn("_cid", _key("CustomerID"))
-    p = F.broadcast(dim_product.select(_key("product_line").alias("_pl"), _key("category").alias("_pc")))
+    p = dim_product.select(_key("product_line").alias("_pl"), _key("category").alias("_pc"))
     no_cust = s.join(_customer_lookup(dim_customers).select("_cid"), "_cid", "left_anti")
     has_cust = s.join(_customer_lookup(dim_customers).select("_cid"), "_cid", "left_semi")
     no_prod = has_cust.join(p, (_key("ProductLine") == F.col("_pl")) & (_key("Category") == F.col("_pc")),
@@ -149,15 +178,24 @@ def reject_transactions(stg: DataFrame, dim_customers: DataFrame, dim_product: D
             .unionByName(no_prod.withColumn("reject_reason", F.lit("unknown product"))).drop("_cid"))
 
 
+def reject_churn(stg: DataFrame, dim_customers: DataFrame) -> DataFrame:
+    """Staging rows the churn load drops (unknown customer)."""
+    s = stg.filter(clean_text("CustomerID").isNotNull()).withColumn("_cid", _key("CustomerID"))
+    return (s.join(_customer_lookup(dim_customers).select("_cid"), "_cid", "left_anti")
+            .withColumn("reject_reason", F.lit("unknown customer")).drop("_cid"))
+
+
 def load_fact_churn(stg: DataFrame, dim_customers: DataFrame, surrogate: bool = False) -> DataFrame:
+    """Typed churn events; rows with an unknown customer drop out (see
+    ``reject_churn``)."""
     s = stg.filter(clean_text("CustomerID").isNotNull()).withColumn("_cid", _key("CustomerID"))
     j = s.join(_customer_lookup(dim_customers), "_cid")
     out = j.select(
         "customer_key",
         date_key(parse_date("AcquisitionDate")).alias("acquisition_date_key"),
         date_key(parse_date("ChurnDate")).alias("churn_date_key"),
-        clean_text("Plan").alias("plan"), clean_text("Segment").alias("segment"),
-        clean_text("Region").alias("region"), clean_text("ChurnReason").alias("churn_reason"),
+        _label("Plan", PLANS).alias("plan"), _label("Segment", SEGMENTS).alias("segment"),
+        _label("Region", REGIONS).alias("region"), clean_text("ChurnReason").alias("churn_reason"),
         canonical_enum("ChurnType", CHURN_TYPES).alias("churn_type"),
         parse_flag("WasEscalated").alias("was_escalated"),
         parse_flag("ExitSurveyCompleted").alias("exit_survey_completed"),
@@ -169,7 +207,7 @@ def load_fact_churn(stg: DataFrame, dim_customers: DataFrame, surrogate: bool =
         parse_decimal("LastHealthScore", 5, 1, strip_commas=False).alias("last_health_score"),
         parse_int("SupportTickets_Last90D", "tinyint").alias("support_tickets_90d"))
     if surrogate:
-        out = with_surrogate_key(out, "churn_key", ["customer_key", "churn_date_key"])
+        out = with_hashed_key(out, "churn_key", ["customer_key", "churn_date_key"])
     return out
 
 
@@ -180,20 +218,20 @@ def load_fact_budget(stg: DataFrame, surrogate: bool = False) -> DataFrame:
         parse_int("FiscalYear", "smallint").alias("fiscal_year"),
         clean_text("FiscalQuarter").alias("fiscal_quarter"), clean_text("Month").alias("month_label"),
         clean_text("Department").alias("department"),
-        parse_decimal("BudgetedRevenue_INR", 14, 2).alias("budgeted_revenue_inr"),
-        parse_decimal("ActualRevenue_INR", 14, 2).alias("actual_revenue_inr"),
-        parse_decimal("RevenueVariance_INR", 14, 2).alias("revenue_variance_inr"),
+        parse_decimal("BudgetedRevenue_INR", 20, 2).alias("budgeted_revenue_inr"),
+        parse_decimal("ActualRevenue_INR", 20, 2).alias("actual_revenue_inr"),
+        parse_decimal("RevenueVariance_INR", 20, 2).alias("revenue_variance_inr"),
         parse_decimal("RevenueVariance_Pct", 7, 2, strip_commas=False).alias("revenue_variance_pct"),
-        parse_decimal("BudgetedOpEx_INR", 14, 2).alias("budgeted_opex_inr"),
-        parse_decimal("ActualOpEx_INR", 14, 2).alias("actual_opex_inr"),
-        parse_decimal("OpExVariance_INR", 14, 2).alias("opex_variance_inr"),
+        parse_decimal("BudgetedOpEx_INR", 20, 2).alias("budgeted_opex_inr"),
+        parse_decimal("ActualOpEx_INR", 20, 2).alias("actual_opex_inr"),
+        parse_decimal("OpExVariance_INR", 20, 2).alias("opex_variance_inr"),
         parse_decimal("OpExVariance_Pct", 7, 2, strip_commas=False).alias("opex_variance_pct"),
-        parse_decimal("BudgetedEBITDA_INR", 14, 2).alias("budgeted_ebitda_inr"),
-        parse_decimal("ActualEBITDA_INR", 14, 2).alias("actual_ebitda_inr"),
-        parse_int("HeadCount_Budget", "smallint").alias("headcount_budget"),
-        parse_int("HeadCount_Actual", "smallint").alias("headcount_actual"))
+        parse_decimal("BudgetedEBITDA_INR", 20, 2).alias("budgeted_ebitda_inr"),
+        parse_decimal("ActualEBITDA_INR", 20, 2).alias("actual_ebitda_inr"),
+        parse_int("HeadCount_Budget").alias("headcount_budget"),
+        parse_int("HeadCount_Actual").alias("headcount_actual"))
     if surrogate:
-        out = with_surrogate_key(out, "bva_key", ["date_key", "department"])
+        out = with_hashed_key(out, "bva_key", ["date_key", "department"])
     return out
 
 
@@ -244,7 +282,7 @@ def render_customers(dim_customers: DataFrame) -> DataFrame:
 
 def render_transactions(fact: DataFrame, dim_customers: DataFrame, dim_product: DataFrame) -> DataFrame:
     c = dim_customers.select("customer_key", "customer_id")
-    p = F.broadcast(dim_product.select("product_key", "product_line", "category"))
+    p = dim_product.select("product_key", "product_line", "category")
     j = fact.join(c, "customer_key").join(p, "product_key")
     k = F.col("customer_key")
     return j.select(
@@ -301,9 +339,16 @@ def staging_from_star(star: Star) -> dict[str, DataFrame]:
             "budget": render_budget(star["fact_budget_vs_actual"])}
 
 
+def load_rejects(stg: dict[str, DataFrame], dim_customers: DataFrame, dim_product: DataFrame) -> dict[str, DataFrame]:
+    """What a load leaves out, by staging table."""
+    return {"transactions": reject_transactions(stg["transactions"], dim_customers, dim_product),
+            "churn": reject_churn(stg["churn"], dim_customers)}
+
+
 def load_star(stg: dict[str, DataFrame], dim_date: DataFrame, dim_product: DataFrame,
               surrogate: bool = True) -> Star:
-    """Staging frames -> star schema (S3 order: customers, then facts)."""
+    """Staging frames -> star schema (customers, then facts); ``load_rejects``
+    has the rows that find no customer or product."""
     cust = load_dim_customers(stg["customers"], surrogate=True)
     return {"dim_date": dim_date, "dim_product": dim_product, "dim_customers": cust,
             "fact_transactions": load_fact_transactions(stg["transactions"], cust, dim_product, surrogate),
@@ -317,11 +362,10 @@ def staging_scan(star: Star, table: str) -> DataFrame:
     fields, spaces kept) to a fresh folder under the shared checkpoint folder
     and scanned back with the declared all-string schema."""
     from finlake.session import scratch_dir
-    from finlake.sources.staging import read_staging
+    from finlake.sources.staging import read_staging, write_staging
     stg = staging_from_star(star)[table]
     path = scratch_dir(stg.sparkSession, f"stg-{table}")
-    (stg.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
-     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    write_staging(stg, path)
     return read_staging(stg.sparkSession, path, table)
 
 
@@ -341,24 +385,72 @@ def load_stg_budget(star: Star) -> DataFrame:
     return staging_scan(star, "budget")
 
 
-def _roundtrip(star: Star) -> Star:
-    return load_star(staging_from_star(star), star["dim_date"], star["dim_product"], surrogate=False)
+def _loaded_customers(star: Star) -> DataFrame:
+    return load_dim_customers(render_customers(star["dim_customers"]))
 
 
 def q_load_dim_customers(star: Star) -> DataFrame:
-    return present(_roundtrip(star)["dim_customers"])
+    return present(_loaded_customers(star))
 
 
 def q_load_fact_transactions(star: Star) -> DataFrame:
-    return present(_roundtrip(star)["fact_transactions"])
+    stg = render_transactions(star["fact_transactions"], star["dim_customers"], star["dim_product"])
+    return present(load_fact_transactions(stg, _loaded_customers(star), star["dim_product"]))
 
 
 def q_load_fact_churn(star: Star) -> DataFrame:
-    return present(_roundtrip(star)["fact_churn"])
+    return present(load_fact_churn(render_churn(star["fact_churn"], star["dim_customers"]), _loaded_customers(star)))
 
 
 def q_load_fact_budget(star: Star) -> DataFrame:
-    return present(_roundtrip(star)["fact_budget_vs_actual"])
+    """Needs no customers, so none are loaded; nothing runs before the action."""
+    return present(load_fact_budget(render_budget(star["fact_budget_vs_actual"])))
+
+
+def load_write_read_back(star: Star) -> DataFrame:
+    """The budget fact written as a warehouse table (audit columns, partitioned
+    by year) and read in full with its declared types."""
+    from finlake.session import scratch_dir
+    from finlake.sources.staging import read_table, write_table
+    fact = star["fact_budget_vs_actual"]
+    path = scratch_dir(fact.sparkSession, "budget")
+    write_table(fact, path, "fact_budget_vs_actual", files_per_partition=1)
+    return present(read_table(fact.sparkSession, path, "fact_budget_vs_actual").drop("bva_key"))
+
+
+def load_dirty_staging(star: Star) -> DataFrame:
+    """Transactions loaded from staging text with dirty cells, made from every
+    transaction by its customer's number: accented and upper-case ids, empty and unknown ids, empty
+    transaction ids, labels in other cases, integers with fractions or beyond their type,
+    empty and unreadable money and dates."""
+    from finlake.session import scratch_dir
+    from finlake.sources.staging import read_staging, write_staging
+    clean = render_transactions(star["fact_transactions"], star["dim_customers"], star["dim_product"])
+    n = F.regexp_extract("CustomerID", "([0-9]+)", 1).cast("long")
+
+    def dirty(c: str, *cases) -> Column:
+        out = F.col(c)
+        for mod, rest, value in cases:
+            out = F.when(n % mod == rest, value).otherwise(out)
+        return out.alias(c)
+
+    cells = {
+        "TransactionID": [(29, 3, F.lit(""))],
+        "CustomerID": [(7, 1, F.concat(F.lit("c\u00fcst-"), n.cast("string"))), (7, 2, F.concat(F.lit("  CUST-"), n.cast("string"))),
+                       (31, 5, F.lit("")), (37, 6, F.lit("CUST-unknown"))],
+        "TransactionDate": [(41, 7, F.lit("")), (43, 8, F.lit("soon"))],
+        "FiscalYear": [(11, 1, F.concat("FiscalYear", F.lit(".99999"))), (11, 2, F.lit("70000")), (11, 3, F.lit(""))],
+        "Region": [(5, 1, F.upper("Region")), (5, 2, F.concat(F.lit(" "), F.lower("Region")))],
+        "Plan": [(5, 3, F.lower("Plan"))],
+        "Revenue_INR": [(47, 9, F.lit("")), (53, 10, F.lit("n/a"))],
+        "InvoiceID": [(59, 11, F.lit(""))],
+    }
+    stg = clean.select(*[dirty(c, *cells.get(c, [])) for c in clean.columns])
+    path = scratch_dir(stg.sparkSession, "stg-dirty")
+    write_staging(stg, path)
+    back = read_staging(stg.sparkSession, path, "transactions")
+    customers = star["dim_customers"].select("customer_id", "customer_key")
+    return present(load_fact_transactions(back, customers, star["dim_product"]))
 
 
 def _counts(frames: list[tuple[str, DataFrame]], out: str) -> DataFrame:
@@ -368,8 +460,8 @@ def _counts(frames: list[tuple[str, DataFrame]], out: str) -> DataFrame:
 
 
 def load_counts_staging(star: Star) -> DataFrame:
-    stg = staging_from_star(star)
-    return _counts([(f"stg_{n}", stg[n]) for n in ["customers", "transactions", "churn", "budget"]],
+    """Rows of the staging files, counted by scanning the files."""
+    return _counts([(f"stg_{n}", staging_scan(star, n)) for n in ["customers", "transactions", "churn", "budget"]],
                    "row_count")
 
 
@@ -394,44 +486,58 @@ def not_null_columns(table: str, df: DataFrame) -> list[str]:
 
 
 def check_constraints(star: Star) -> DataFrame:
-    """Declared constraints as jobs: NOT NULL, enum domains and foreign keys
-    (orphan rows) in ONE pass per table -- the table is left-joined to the
-    distinct key set of each referenced dimension (broadcast when the
-    dimension is bounded) and every rule becomes a conditional count -- plus
-    one aggregation per table for the unique key (keys occurring twice or
-    more)."""
+    """Declared constraints as jobs, each table read once: NOT NULL, enum
+    domains, text lengths, foreign keys (orphan rows) and the uniqueness of the
+    natural and the primary key.
+
+    The rules are flags on the rows (referenced keys are left-joined once);
+    one aggregation with a grouping set per key counts rows and flags, and a second one sums
+    them and counts the keys that occur twice or more."""
     parts: list[DataFrame] = []
     for t in TABLE_ORDER:
         df = star[t]
         rules = {f"not_null:{c}": F.col(c).isNull() for c in not_null_columns(t, df)}
         for c, dom in ENUM_DOMAINS.get(t, {}).items():
             rules[f"enum:{c}"] = domain_violations(df, c, dom)
+        for c, n in TEXT_LENGTHS[t].items():
+            rules[f"length:{c}"] = F.length(c) > n
         j = df
         for i, ((tt, c), (dt, dc)) in enumerate(FOREIGN_KEYS.items()):
             if tt != t:
                 continue
             k = f"__fk{i}"
-            d = star[dt].select(F.col(dc).alias(k)).distinct()
-            if dt in ("dim_date", "dim_product"):
-                d = F.broadcast(d)
+            dim = star.get("dim_date_loaded", star["dim_date"]) if dt == "dim_date" else star[dt]
+            d = dim.select(F.col(dc).alias(k)).distinct()
             j = j.join(d, j[c] == d[k], "left")
             rules[f"fk:{c}->{dt}.{dc}"] = F.col(k).isNull()
-        agg = j.agg(*[F.count_if(p).alias(n) for n, p in rules.items()])
-        stack = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("violations"))
-                                    for n in rules]))
-        parts.append(agg.select(stack.alias("r")).select(F.lit(t).alias("table_name"), "r.rule", "r.violations"))
-        keys = UNIQUE_KEYS[t]
-        dup = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-               .agg(F.count(F.lit(1)).alias("violations")))
-        parts.append(dup.select(F.lit(t).alias("table_name"), F.lit(f"unique:{','.join(keys)}").alias("rule"),
-                                "violations"))
-    return reduce(DataFrame.unionByName, parts).withColumn("violations", F.col("violations").cast("long"))
+        natural, primary = UNIQUE_KEYS[t], PRIMARY_KEYS[t]
+        names = {r: f"_r{i}" for i, r in enumerate(rules)}
+        cols = list(dict.fromkeys([*natural, primary]))
+        flags = j.select(*cols, *[p.alias(names[r]) for r, p in rules.items()])
+        counted = [F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(n)).alias(n) for n in names.values()]]
+        if natural == [primary]:
+            keyed = flags.groupBy(primary).agg(F.lit(0).alias("_set"), *counted)
+            by_natural = by_primary = F.lit(True)
+        else:
+            keyed = flags.groupingSets([[F.col(c) for c in natural], [F.col(primary)]], *cols).agg(
+                F.grouping_id().alias("_set"), *counted)
+            by_natural = F.col("_set") == 1  # the natural key comes first, so only the last bit is set
+            by_primary = ~by_natural
+        total = keyed.agg(*[F.sum(F.when(by_natural, F.col(n))).alias(n) for n in names.values()],
+                          F.count_if(by_natural & (F.col("_n") > 1)).alias("_natural"),
+                          F.count_if(by_primary & (F.col("_n") > 1)).alias("_primary"))
+        said = [(r, F.col(n)) for r, n in names.items()]
+        said += [(f"unique:{','.join(natural)}", F.col("_natural")), (f"primary:{primary}", F.col("_primary"))]
+        rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(v, F.lit(0)).cast("long").alias("violations"))
+                                   for r, v in said]))
+        parts.append(total.select(rows.alias("r")).select(F.lit(t).alias("table_name"), "r.rule", "r.violations"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def load_product_seed(spark, sf_dir: str) -> DataFrame:
-    """Seeded products referenced by the part table's brands (Brand#n is
-    product n of the seed)."""
+    """All seeded products, with the number of parts of each one's brand
+    (Brand#n is product n of the seed)."""
     from finlake.sources.seed import product_seed
-    brands = (spark.read.parquet(f"{sf_dir}/part.parquet")
-              .select(F.substring("p_brand", 7, 3).cast("int").alias("product_key")).distinct())
-    return present(product_seed(spark).join(brands, "product_key", "left_semi"))
+    used = (spark.read.parquet(f"{sf_dir}/part.parquet")
+            .groupBy(F.substring("p_brand", 7, 3).cast("int").alias("product_key")).agg(F.count(F.lit(1)).alias("parts")))
+    return present(product_seed(spark).join(used, "product_key", "left").withColumn("parts", F.coalesce("parts", F.lit(0).cast("long"))))

@@ -22,7 +22,7 @@ _reg(revenue, ["rev_kpis", "rev_annual_yoy", "rev_quarterly_qoq", "rev_monthly_y
                "rev_mrr_by_plan", "rev_mrr_segment_region", "rev_mrr_pareto", "rev_mrr_pareto_ranked",
                "rev_by_segment",
                "rev_by_industry", "rev_by_region_year", "rev_by_product_line", "rev_mix_recurring",
-               "rev_category_heatmap", "rev_rolling", "rev_seasonality", "rev_yoy_bridge",
+               "rev_category_heatmap", "rev_category_by_year", "rev_rolling", "rev_seasonality", "rev_yoy_bridge",
                "rev_forecast_next_year", "rev_by_payment_status", "rev_overdue_by_region"])
 _reg(churn, ["chn_summary", "chn_annual", "chn_monthly", "chn_by_plan", "chn_by_segment",
              "chn_by_region", "chn_by_reason_type", "chn_voluntary_share", "chn_cohort_size",
@@ -42,7 +42,8 @@ _reg(quality, ["dq_nulls_customers", "dq_nulls_transactions", "dq_nulls_churn",
 _reg(warehouse, ["load_stg_customers", "load_stg_transactions", "load_stg_churn", "load_stg_budget",
                  "load_dim_date", "verify_calendar", "sample_calendar", "load_dim_customers",
                  "load_fact_transactions", "load_fact_churn", "load_fact_budget", "load_counts_staging",
-                 "load_counts_warehouse", "load_counts_single", "table_inventory"],
+                 "load_counts_warehouse", "load_counts_single", "table_inventory",
+                 "load_write_read_back", "load_dirty_staging"],
      attr={n: f"q_{n}" for n in ["load_dim_customers", "load_fact_transactions", "load_fact_churn",
                                  "load_fact_budget"]})
 _reg(warehouse, ["check_constraints"], defects=True)

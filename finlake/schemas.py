@@ -29,7 +29,7 @@ def _s(names):
     return StructType([StructField(n, StringType(), True) for n in names])
 
 
-# ---- staging: every column a nullable string, in file order ----
+# ---- fixed values: staging columns, every one a nullable string, in file order ----
 STG_CUSTOMERS = _s([
     "CustomerID", "CompanyName", "Plan", "Segment", "Industry", "Region",
     "AcquisitionDate", "AcquisitionChannel", "MRR_INR", "ARR_INR",
@@ -63,6 +63,8 @@ def _f(n, t):
 
 
 D = DecimalType
+# ---- fixed values: declared columns and types of the warehouse tables ----
+# (budget amounts and head counts are wider than declared: they are sums over a month)
 DIM_DATE = StructType([
     _f("date_key", IntegerType()), _f("full_date", DateType()),
     _f("day_of_week", ByteType()), _f("day_name", StringType()),
@@ -119,12 +121,12 @@ FACT_BUDGET = StructType([
     _f("bva_key", LongType()), _f("date_key", IntegerType()),
     _f("fiscal_year", ShortType()), _f("fiscal_quarter", StringType()),
     _f("month_label", StringType()), _f("department", StringType()),
-    _f("budgeted_revenue_inr", D(14, 2)), _f("actual_revenue_inr", D(14, 2)),
-    _f("revenue_variance_inr", D(14, 2)), _f("revenue_variance_pct", D(7, 2)),
-    _f("budgeted_opex_inr", D(14, 2)), _f("actual_opex_inr", D(14, 2)),
-    _f("opex_variance_inr", D(14, 2)), _f("opex_variance_pct", D(7, 2)),
-    _f("budgeted_ebitda_inr", D(14, 2)), _f("actual_ebitda_inr", D(14, 2)),
-    _f("headcount_budget", ShortType()), _f("headcount_actual", ShortType())])
+    _f("budgeted_revenue_inr", D(20, 2)), _f("actual_revenue_inr", D(20, 2)),
+    _f("revenue_variance_inr", D(20, 2)), _f("revenue_variance_pct", D(7, 2)),
+    _f("budgeted_opex_inr", D(20, 2)), _f("actual_opex_inr", D(20, 2)),
+    _f("opex_variance_inr", D(20, 2)), _f("opex_variance_pct", D(7, 2)),
+    _f("budgeted_ebitda_inr", D(20, 2)), _f("actual_ebitda_inr", D(20, 2)),
+    _f("headcount_budget", IntegerType()), _f("headcount_actual", IntegerType())])
 
 WAREHOUSE = {"dim_date": DIM_DATE, "dim_product": DIM_PRODUCT,
              "dim_customers": DIM_CUSTOMERS, "fact_transactions": FACT_TRANSACTIONS,
@@ -139,6 +141,21 @@ UNIQUE_KEYS = {
     "fact_churn": ["customer_key"],
     "fact_budget_vs_actual": ["date_key", "department"],
 }
+PRIMARY_KEYS = {
+    "dim_date": "date_key", "dim_customers": "customer_key", "dim_product": "product_key",
+    "fact_transactions": "transaction_key", "fact_churn": "churn_key", "fact_budget_vs_actual": "bva_key",
+}
+# ---- fixed values: declared lengths of text columns ----
+TEXT_LENGTHS = {
+    "dim_date": {"day_name": 10, "month_name": 10, "month_short": 3, "fiscal_month_label": 10, "quarter_label": 2,
+                 "fiscal_year_quarter": 7},
+    "dim_customers": {"customer_id": 12, "company_name": 150, "industry": 50, "acquisition_channel": 30, "csm_owner": 100},
+    "dim_product": {"product_line": 30, "category": 30, "product_group": 30},
+    "fact_transactions": {"transaction_id": 12, "invoice_id": 12, "fiscal_quarter": 2, "fiscal_month": 10, "region": 10,
+                          "segment": 15, "plan": 12},
+    "fact_churn": {"plan": 12, "segment": 15, "region": 10, "churn_reason": 30},
+    "fact_budget_vs_actual": {"fiscal_quarter": 2, "month_label": 10, "department": 30},
+}
 # (table, column) -> (dimension, dimension column)
 FOREIGN_KEYS = {
     ("fact_transactions", "customer_key"): ("dim_customers", "customer_key"),

@@ -7,6 +7,7 @@ is used as is, and only unset options receive a default.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -47,15 +48,22 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executor are one process, sharing all folders."""
+    return re.fullmatch(r"local(\[[^]]*\])?", master) is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by `spark.checkpoint.dir`.
 
     On a cluster this must be set by the deployment (a shared file system
-    every executor can reach).  Only when it is unset -- local runs and
-    tests -- a fresh scratch folder is created and registered.
+    every executor can reach); without it this raises.  Only a local session,
+    as in tests, gets a fresh scratch folder.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not is_local(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="finlake-ckpt-", dir=os.environ.get("FINLAKE_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -63,10 +71,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCRATCH: list[str] = []
+
+
 def scratch_dir(spark: SparkSession, prefix: str = "scratch") -> str:
     """A fresh folder for intermediate tables under the shared checkpoint
     folder (``spark.checkpoint.dir``), never a machine-local path on a
-    cluster."""
+    cluster.  ``drop_scratch`` removes them once results are written."""
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/{prefix}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(f"{base}/{prefix}-{uuid.uuid4().hex[:12]}")
+    return _SCRATCH[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process has made; results that are
+    still lazy must be written first.  Returns how many folders went."""
+    gone, jvm = 0, spark.sparkContext._jvm
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return gone

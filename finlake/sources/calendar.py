@@ -8,18 +8,12 @@ from pyspark.sql import functions as F
 
 from finlake.functions.dates import calendar_columns
 
-# A calendar is broadcast to fact joins; this bound keeps that safe
-# (200 years of days, about 7 MB).
-MAX_CALENDAR_DAYS = 200 * 366
-
 
 def calendar(spark: SparkSession, start: str | dt.date, end: str | dt.date,
              fiscal_start_month: int = 1) -> DataFrame:
     """One row per day from start to end inclusive (1,096 rows for 2022-2024)."""
     s, e = dt.date.fromisoformat(str(start)), dt.date.fromisoformat(str(end))
     n = (e - s).days + 1
-    if n > MAX_CALENDAR_DAYS:
-        raise ValueError(f"calendar of {n} days exceeds {MAX_CALENDAR_DAYS}")
     days = spark.range(0, max(n, 0), numPartitions=1).select(
         F.date_add(F.lit(s), F.col("id").cast("int")).alias("d"))
     return days.select(*calendar_columns("d", fiscal_start_month))
@@ -28,16 +22,13 @@ def calendar(spark: SparkSession, start: str | dt.date, end: str | dt.date,
 def calendar_spanning(dates: DataFrame, col: str = "d",
                       fiscal_start_month: int = 1) -> DataFrame:
     """Calendar covering whole years from the first to the last date found in
-    ``dates[col]``, built lazily (no driver round trip).  The span is checked
-    inside the plan so the calendar stays broadcast-safe."""
+    ``dates[col]``, built lazily (no driver round trip).  Any span works: one
+    mistyped date only makes the calendar longer, and joins with it carry no
+    broadcast hint."""
     bounds = dates.agg(F.min(F.to_date(F.col(col))).alias("lo"),
                        F.max(F.to_date(F.col(col))).alias("hi"))
     span = bounds.select(
         F.make_date(F.year("lo"), F.lit(1), F.lit(1)).alias("s"),
         F.make_date(F.year("hi"), F.lit(12), F.lit(31)).alias("e"))
-    # the bound check is part of the expression that generates the days, so
-    # column pruning cannot drop it
-    end = F.when(F.datediff("e", "s") < MAX_CALENDAR_DAYS, F.col("e")).otherwise(
-        F.raise_error(F.lit("calendar span too large")).cast("date"))
-    days = span.select(F.explode(F.sequence("s", end, F.expr("interval 1 day"))).alias("d"))
+    days = span.select(F.explode(F.sequence("s", "e", F.expr("interval 1 day"))).alias("d"))
     return days.select(*calendar_columns("d", fiscal_start_month))

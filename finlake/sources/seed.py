@@ -7,29 +7,41 @@ from pyspark.sql import DataFrame, SparkSession
 
 from finlake.schemas import DIM_PRODUCT
 
-# ---- fixed values: product lines and categories of the seed, in seed order ----
-PRODUCT_LINES = ["Core Platform", "Analytics Add-on", "API Suite", "Mobile Module",
-                 "Compliance Pack"]
-# category, is_recurring, standard COGS %, product group
-CATEGORIES = [
-    ("Subscription", 1, "22.00", "Revenue"),
-    ("Professional Services", 0, "55.00", "Services"),
-    ("Training", 0, "40.00", "Services"),
-    ("Support Premium", 1, "30.00", "Revenue"),
-    ("Overage Charges", 0, "10.00", "Revenue"),
+# ---- fixed values: the seed rows, in seed order ----
+# key, product line, category, is_recurring, standard COGS %, product group
+PRODUCTS = [
+    (1, "Core Platform", "Subscription", 1, "22.00", "Revenue"),
+    (2, "Analytics Add-on", "Subscription", 1, "22.00", "Revenue"),
+    (3, "API Suite", "Subscription", 1, "22.00", "Revenue"),
+    (4, "Mobile Module", "Subscription", 1, "22.00", "Revenue"),
+    (5, "Compliance Pack", "Subscription", 1, "22.00", "Revenue"),
+    (6, "Core Platform", "Professional Services", 0, "55.00", "Services"),
+    (7, "Analytics Add-on", "Professional Services", 0, "55.00", "Services"),
+    (8, "API Suite", "Professional Services", 0, "55.00", "Services"),
+    (9, "Mobile Module", "Professional Services", 0, "55.00", "Services"),
+    (10, "Compliance Pack", "Professional Services", 0, "55.00", "Services"),
+    (11, "Core Platform", "Training", 0, "40.00", "Services"),
+    (12, "Analytics Add-on", "Training", 0, "40.00", "Services"),
+    (13, "API Suite", "Training", 0, "40.00", "Services"),
+    (14, "Mobile Module", "Training", 0, "40.00", "Services"),
+    (15, "Compliance Pack", "Training", 0, "40.00", "Services"),
+    (16, "Core Platform", "Support Premium", 1, "30.00", "Revenue"),
+    (17, "Analytics Add-on", "Support Premium", 1, "30.00", "Revenue"),
+    (18, "API Suite", "Support Premium", 1, "30.00", "Revenue"),
+    (19, "Mobile Module", "Support Premium", 1, "30.00", "Revenue"),
+    (20, "Compliance Pack", "Support Premium", 1, "30.00", "Revenue"),
+    (21, "Core Platform", "Overage Charges", 0, "10.00", "Revenue"),
+    (22, "Analytics Add-on", "Overage Charges", 0, "10.00", "Revenue"),
+    (23, "API Suite", "Overage Charges", 0, "10.00", "Revenue"),
+    (24, "Mobile Module", "Overage Charges", 0, "10.00", "Revenue"),
+    (25, "Compliance Pack", "Overage Charges", 0, "10.00", "Revenue"),
 ]
 
 
 def product_rows() -> list[tuple]:
-    """25 rows: category-major, product line minor; key = 1-based position."""
-    rows = []
-    for cat, rec, cogs, grp in CATEGORIES:
-        for line in PRODUCT_LINES:
-            rows.append((len(rows) + 1, line, cat, rec, Decimal(cogs), grp))
-    return rows
+    return [(*row[:4], Decimal(row[4]), row[5]) for row in PRODUCTS]
 
 
 def product_seed(spark: SparkSession) -> DataFrame:
-    """The 25-row product dimension.  Size is fixed by construction, so it is
-    always safe to broadcast."""
+    """The 25-row product dimension."""
     return spark.createDataFrame(product_rows(), DIM_PRODUCT)

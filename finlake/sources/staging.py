@@ -9,37 +9,51 @@ from finlake.schemas import STAGING
 
 # fact tables are partitioned by their fiscal year (partition pruning on the
 # most common filter/group key); dimensions are written unpartitioned.
+NULL_TEXT = "\\N"
+AUDIT_COLS = ["created_at", "updated_at"]
 PARTITION_COLS = {"fact_transactions": ["fiscal_year"],
                   "fact_budget_vs_actual": ["fiscal_year"]}
 
 
-def read_staging(spark: SparkSession, path: str, table: str, keep_corrupt: bool = False) -> DataFrame:
+def read_staging(spark: SparkSession, path: str, table: str, keep_corrupt: bool = False,
+                 multi_line: bool = False) -> DataFrame:
     """All-string staging scan of a comma-separated file with a header row and
     optional double quotes.  Malformed lines are kept (PERMISSIVE) with NULLs,
-    as a lenient bulk loader would; ``keep_corrupt=True`` adds the raw text
+    as a lenient bulk loader would; an empty field is an empty text and only
+    ``\\N`` is NULL; a quoted line break splits a row unless ``multi_line`` (which reads
+    each file in one task) is set; ``keep_corrupt=True`` adds the raw text
     of lines whose field count does not match the schema as
     ``_corrupt_record`` (NULL for well-formed lines).  Plain (uncompressed or
     splittable-codec) files are split across tasks."""
     schema = STAGING[table]
     r = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-         .option("mode", "PERMISSIVE").option("multiLine", False))
+         .option("nullValue", NULL_TEXT).option("emptyValue", "")
+         .option("mode", "PERMISSIVE").option("multiLine", multi_line))
     if keep_corrupt:
         schema = StructType(schema.fields + [StructField("_corrupt_record", StringType(), True)])
         r = r.option("columnNameOfCorruptRecord", "_corrupt_record")
     return r.schema(schema).csv(path)
 
 
+def write_staging(df: DataFrame, path: str) -> None:
+    """Staging text as CSV (header, quoted fields, spaces kept) that
+    ``read_staging`` reads back as it was."""
+    (df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+     .option("nullValue", NULL_TEXT).option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def write_table(df: DataFrame, path: str, name: str | None = None,
                 mode: str = "overwrite", files_per_partition: int | None = None,
                 spread_cols: list[str] | None = None) -> None:
     """INSERT ... SELECT into a warehouse table: Parquet, facts partitioned by
-    fiscal_year, with a load timestamp column.
+    fiscal_year, with the audit columns created_at and updated_at.
 
     ``files_per_partition`` shuffles rows by (partition value, hash bucket of
     ``spread_cols``) first, so each task writes one file of one year and a
     year holding most rows is still spread over that many tasks; buckets come
     from a hash, so a retried task rewrites exactly the same rows."""
-    out = df.withColumn("created_at", F.current_timestamp())
+    out = df.withColumns({c: F.current_timestamp() for c in AUDIT_COLS})
     parts = PARTITION_COLS.get(name or "", [])
     if parts and files_per_partition:
         spread = spread_cols or [c for c in df.columns if c not in parts][:1]
@@ -51,20 +65,28 @@ def write_table(df: DataFrame, path: str, name: str | None = None,
     w.parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("created_at")
+def read_table(spark: SparkSession, path: str, name: str | None = None, audit: bool = False) -> DataFrame:
+    """A warehouse table in full.  With its name, the columns have their
+    declared types (a partition column is not guessed from folder names);
+    ``audit`` keeps created_at and updated_at."""
+    from finlake.schemas import WAREHOUSE
+    df = spark.read.parquet(path)
+    if name in WAREHOUSE:
+        df = df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in WAREHOUSE[name].fields if f.name in df.columns})
+    return df if audit else df.drop(*AUDIT_COLS)
 
 
-def write_star(star: dict, root: str) -> dict[str, str]:
-    """Materialize a star schema under ``root`` (one Parquet table each)."""
+def write_star(star: dict, root: str, files_per_partition: int = 4) -> dict[str, str]:
+    """Materialize a star schema under ``root`` (one Parquet table each); facts
+    get at most ``files_per_partition`` files per year."""
     paths = {}
     for name, df in star.items():
         p = f"{root}/{name}"
-        write_table(df, p, name)
+        write_table(df, p, name, files_per_partition=files_per_partition)
         paths[name] = p
     return paths
 
 
 def read_star(spark: SparkSession, root: str, names=None) -> dict[str, DataFrame]:
     from finlake.schemas import WAREHOUSE
-    return {n: read_table(spark, f"{root}/{n}") for n in (names or WAREHOUSE)}
+    return {n: read_table(spark, f"{root}/{n}", n) for n in (names or WAREHOUSE)}

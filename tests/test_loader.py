@@ -89,3 +89,71 @@ def test_staging_keeps_corrupt_lines(spark):
     assert rows == {"Jan-2022": None, "Feb-2022": short}
     loaded = load_fact_budget(read_staging(spark, d, "budget")).collect()
     assert sorted(r.date_key for r in loaded) == [20220101, 20220201]
+
+
+def test_loader_semantics_of_odd_cells(spark):
+    """Empty texts, accents, overflow and truncation, label case, repeated ids."""
+    from finlake.functions.parse import parse_int
+    from finlake.plans.warehouse import ambiguous_customers, load_fact_churn, one_spelling, reject_churn
+    row = spark.createDataFrame([("12.99999", "300", "-7.9", "x", "")], "a string, b string, c string, d string, e string").select(
+        parse_int("a", "tinyint"), parse_int("b", "tinyint"), parse_int("c", "tinyint"), parse_int("d"), parse_int("e")).first()
+    assert list(row) == [12, None, -7, None, None]
+    cust = spark.createDataFrame([("CÉ1", 1), ("ce1", 2), ("C2", 3)], "customer_id string, customer_key int")
+    assert sorted((r.customer_key, r.sharing) for r in ambiguous_customers(cust).collect()) == [(1, 2), (2, 2)]
+    lines = [HEADER_T, ',cE1 ,5-Jan-2022,2022.9,Q1,Jan-2022,Training,api suite,north,smb,STARTER,10,1,9,90,Paid,',
+             '\\N,C2,5-Jan-2022,2022,Q1,Jan-2022,Training,API Suite,North,SMB,Starter,10,1,9,90,Paid,I2']
+    d = tempfile.mkdtemp(dir=spark.conf.get("spark.checkpoint.dir"))
+    with open(os.path.join(d, "t.csv"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    got = load_fact_transactions(read_staging(spark, d, "transactions"), cust, product_seed(spark), surrogate=True).collect()
+    assert [(r.transaction_id, r.customer_key, r.fiscal_year, r.region, r.segment, r.plan, r.invoice_id) for r in got] == [
+        ("", 1, 2022, "North", "SMB", "Starter", "")]
+    from finlake.schemas import STG_CHURN
+    churn = spark.createDataFrame([("c2", *[None] * 17), ("gone", *[None] * 17)], STG_CHURN)
+    assert [r.customer_key for r in load_fact_churn(churn, cust).collect()] == [3]
+    assert [(r.CustomerID, r.reject_reason) for r in reject_churn(churn, cust).collect()] == [("gone", "unknown customer")]
+    labels = spark.createDataFrame([("Price",), ("price",), ("PRICE",), ("Other",), (None,)], "churn_reason string")
+    assert sorted(str(r[0]) for r in one_spelling(labels, "churn_reason").collect()) == ["None", "Other", "PRICE", "PRICE", "PRICE"]
+
+
+def test_read_back_keeps_declared_types(spark):
+    from finlake.sources.staging import read_table, write_table
+    fact = star_from_testdata(spark, SF_SMALL)["fact_budget_vs_actual"]
+    d = tempfile.mkdtemp(dir=spark.conf.get("spark.checkpoint.dir"))
+    write_table(fact, f"{d}/b", "fact_budget_vs_actual", files_per_partition=1)
+    back = read_table(spark, f"{d}/b", "fact_budget_vs_actual")
+    assert dict(back.dtypes) == dict(fact.dtypes) and dict(back.dtypes)["fiscal_year"] == "smallint"
+    audit = read_table(spark, f"{d}/b", "fact_budget_vs_actual", audit=True).select("created_at", "updated_at").first()
+    assert audit[0] == audit[1] is not None
+
+
+def test_no_local_folder_on_a_cluster():
+    import pytest
+
+    from finlake.session import ensure_checkpoint_dir, is_local
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session)
+    assert [is_local(m) for m in ("local", "local[8]", "local[*]", "local-cluster[3,2,1024]", "yarn")] == [True, True, True, False, False]
+
+
+def test_scratch_tables_go(spark):
+    from finlake.session import drop_scratch, scratch_dir
+    path = scratch_dir(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert drop_scratch(spark) >= 1 and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_building_the_budget_load_starts_no_job(spark):
+    from finlake.plans.warehouse import q_load_fact_budget
+    star = star_from_testdata(spark, SF_SMALL)
+    before = spark.sparkContext._jsc.sc().dagScheduler().nextJobId()
+    q_load_fact_budget(star)
+    assert spark.sparkContext._jsc.sc().dagScheduler().nextJobId() == before

@@ -4,10 +4,11 @@ import math
 import pytest
 
 import __spark_entry__ as E
+from finlake import registry
 from tests.conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = registry.oracle_sql()
 SPARK_TO_DUCK = {"IntegerType()": "INTEGER", "LongType()": "BIGINT", "DoubleType()": "DOUBLE",
                  "StringType()": "VARCHAR", "DateType()": "DATE"}
 
@@ -27,6 +28,7 @@ def _canon(cols, rows):
 
 def test_every_query_has_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
     assert len(QUERIES) >= 84
 
 

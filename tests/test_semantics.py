@@ -102,12 +102,12 @@ def test_rank_ties_share_rank(spark):
 
 
 def test_category_year_heatmap_pivot(spark):
-    from finlake.plans.revenue import category_year_heatmap
+    from finlake.plans.revenue import rev_category_by_year
     from finlake.sources.testdata import star_from_testdata
     from tests.conftest import SF_SMALL
     star = star_from_testdata(spark, SF_SMALL)
-    hm = category_year_heatmap(star, [1995, 1996])
-    assert hm.columns == ["category", "fy_1995", "fy_1996"] and hm.count() == 5
+    hm = rev_category_by_year(star, (1995, 1996))
+    assert hm.columns == ["category", "fy_1995", "fy_1996", "fy_other"] and hm.count() == 5
     t = star["fact_transactions"].join(star["dim_product"], "product_key").filter("fiscal_year = 1995")
     want = {r[0]: float(round(r[1], 0)) for r in t.groupBy("category").agg(F.sum("revenue_inr")).collect()}
     assert {r.category: r.fy_1995 for r in hm.collect()} == want
