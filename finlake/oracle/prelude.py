@@ -83,7 +83,7 @@ dim_product AS (
     (25,'Compliance Pack','Overage Charges',0,10.00,'Revenue')
   ) v(product_key, product_line, category, is_recurring, cogs_pct_std, product_group)),
 lines AS (
-  SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_quantity, o.o_orderkey, o.o_custkey,
+  SELECT l.l_orderkey, l.l_linenumber, l.l_suppkey, l.l_quantity, l.l_partkey, l.l_shipdate, l.l_extendedprice, o.o_orderkey, o.o_custkey,
          o.o_orderstatus, o.odate, p.p_type, dp.product_key, dp.cogs_pct_std,
          CAST(l.l_tax AS DECIMAL(4,2)) AS tax,
          CAST(ROUND(CAST(l.l_extendedprice AS DECIMAL(14,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2))), 2)
@@ -111,6 +111,8 @@ fact_transactions_clean AS (
          CASE x.o_orderstatus WHEN 'F' THEN 'Paid' WHEN 'O' THEN 'Pending' WHEN 'P' THEN 'Overdue' END
            AS payment_status,
          x.revenue_inr, x.cogs_inr, x.gross_profit_inr, x.gross_margin_pct,
+         concat_ws('/', x.l_orderkey, x.l_linenumber, x.l_partkey, x.l_suppkey, x.l_shipdate, x.l_extendedprice)
+           AS transaction_key,
          x.l_orderkey AS _ok
   FROM priced2 x JOIN dim_customers_clean c ON x.o_custkey = c.customer_key),
 fact_churn_clean AS (

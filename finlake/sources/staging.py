@@ -27,12 +27,14 @@ def read_staging(spark: SparkSession, path: str, table: str, keep_corrupt: bool
     splittable-codec) files are split across tasks."""
     schema = STAGING[table]
     r = (spark.read.option("header", True).option("quote", '"').option("escape", '"')
-         .option("nullValue", NULL_TEXT).option("emptyValue", "")
          .option("mode", "PERMISSIVE").option("multiLine", multi_line))
     if keep_corrupt:
         schema = StructType(schema.fields + [StructField("_corrupt_record", StringType(), True)])
         r = r.option("columnNameOfCorruptRecord", "_corrupt_record")
-    return r.schema(schema).csv(path)
+    # the scan gives NULL for an empty field; only the NULL mark is one
+    return r.schema(schema).csv(path).withColumns({
+        f.name: F.when(F.col(f.name) == NULL_TEXT, F.lit(None)).otherwise(F.coalesce(F.col(f.name), F.lit("")))
+        for f in STAGING[table].fields})
 
 
 def write_staging(df: DataFrame, path: str) -> None:
