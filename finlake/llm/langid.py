@@ -160,16 +160,21 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     def run(batches):
         for chunk in T.chunks(batches, size=CHUNK):
+            if not names:
+                n = chunk.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [chunk.column("id"), pa.array(["und"] * n), pa.array([0.0] * n), pa.array([[]] * n, pa.list_(pa.float64()))],
+                    ["id", "lang_pred", "score", "shares"])
+                continue
             words, p = label_words(chunk.column("text"), *model.value)
             total = np.zeros((len(words.word) + 1, len(names)))
             np.cumsum(p * words.length[:, None], axis=0, out=total[1:])
             share = total[words.first[1:]] - total[words.first[:-1]]
             weight = share.sum(1, keepdims=True)
             share = np.divide(share, weight, out=np.zeros_like(share), where=weight > 0)
-            known = words.letter & (len(names) > 0) & (weight[:, 0] > 0)
-            best = share.argmax(1) if len(names) else np.zeros(len(share), np.int64)
-            lang = [names[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
-            score = np.where(known, share.max(1) if len(names) else 0.0, 0.0)
+            known = words.letter & (weight[:, 0] > 0)
+            lang = [names[b] if k else "und" for b, k in zip(share.argmax(1).tolist(), known.tolist())]
+            score = np.where(known, share.max(1), 0.0)
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("id"), pa.array(lang, pa.string()), pa.array(np.clip(score, 0, 1)),
                  T.lists(pa.array(share.ravel()), np.arange(len(lang) + 1) * len(names))], ["id", "lang_pred", "score", "shares"])
