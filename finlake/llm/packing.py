@@ -13,6 +13,7 @@ counts, so no length is gathered into one task however many pieces have it.
 """
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -27,42 +28,100 @@ from finlake.session import scratch_dir
 
 SIZE = 1024
 #: words whose ids a task remembers; a full memory is emptied (results do not change)
-CACHE_WORDS = 400_000
+CACHE_WORDS = 700_000
+
+
+#: a space that ends a text, starts it, or stands before white space
+_ODD_SPACE = re.compile(r" (?=\s|\Z)|\A ")
+#: letters, then signs without an apostrophe (which may start a suffix of its own)
+_WORD_SIGNS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
+_SPACE = re.compile(r"\s")
+_JOINED = 4096  # words encoded at once
 
 
 class _Ids:
     """Token ids as little-endian 32-bit bytes.  A text is cut before every
     single space that a visible character follows; no token crosses such a
-    place, so the ids of the parts, each encoded once, make up the text's."""
+    place, so the ids of the parts, each encoded once, make up the text's.  Nor does one
+    cross from a letter to a sign or hold a single line break and its neighbours, so a
+    new word with signs at its end or with a line break is made of its pieces.  New
+    pieces are encoded many at a time, told apart by the space or line break before each."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # part after its space -> ids, space included
+        self.signs: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][0]
+        self.lines: dict[str, bytes] = {}  # part after its line break -> ids, line break included
+        size = max(vocabulary.values()) + 1
+        self.spaced, self.broken = np.zeros(size, bool), np.zeros(size, bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        self.broken[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [self._parts(t) for t in texts]
-        known = self.known
-        new = list({p for t in parts for p in t if p not in known})
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = list({p for t in parts for p in t})
-            for word, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, t)) for t in parts]
-
-    @staticmethod
-    def _parts(text: str) -> list[str]:
-        if not text:
-            return []
-        out = text.split(" ")
-        if "" in out or any(p[0].isspace() for p in out):
-            import re
-            out = re.split(r" (?=\S)", text)
-        return [out[0], *[" " + p for p in out[1:]]] if out[0] else [" " + p for p in out[1:]]
+        parts = [re.split(r" (?=\S)", t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        heads = self._each([p.pop(0) for p in parts])
+        new = set().union(*parts).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS:
+            self.known.clear()
+            self.signs.clear()
+            self.lines.clear()
+            new = set().union(*parts)
+        self._learn(new)
+        get = self.known.__getitem__
+        return [h + b"".join(map(get, p)) for h, p in zip(heads, parts)]
+
+    def _learn(self, words: set[str]) -> None:
+        whole, letters, signed, broken = [], set(), [], []
+        for w in words:
+            if w.isalpha():
+                letters.add(w)
+                continue
+            left, _, right = w.partition("\n")
+            if right and left and not left[-1].isspace() and not right[0].isspace() and not _SPACE.search(right):
+                broken.append((w, left, right))
+                if left in self.known or left in words:
+                    continue
+                w = left
+            m = _WORD_SIGNS.fullmatch(w)
+            if m and m[1].isalpha() and m[1][-1] < "\u0250":
+                signed.append((w, *m.groups()))
+                letters.add(m[1])
+            elif w.isalpha():
+                letters.add(w)
+            else:
+                whole.append(w)
+        whole += self._joined(" ", [w for w in letters if w not in self.known], self.spaced, self.known)
+        self.known.update(zip(whole, self._each([" " + w for w in whole])))
+        signs = list({c[2] for c in signed}.difference(self.signs))
+        self.signs.update(zip(signs, self._each(signs)))
+        for w, base, sign in signed:
+            self.known[w] = self.known[base] + self.signs[sign]
+        rest = self._joined("\n", list({c[2] for c in broken}.difference(self.lines)), self.broken, self.lines)
+        self.lines.update(zip(rest, self._each(["\n" + w for w in rest])))
+        for w, left, right in broken:
+            self.known[w] = self.known[left] + self.lines[right]
+
+    def _joined(self, before: str, words: list[str], marks: np.ndarray, out: dict[str, bytes]) -> list[str]:
+        """Encode words many at a time, each after the character `before`, whose
+        token marks where it starts; returns those where that is not so."""
+        rest = []
+        for i in range(0, len(words), _JOINED):
+            some = words[i:i + _JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([before + before.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            first = np.flatnonzero(marks[ids])
+            if len(first) != len(some):
+                rest += some
+                continue
+            raw, at = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
+            out.update(zip(some, (raw[a:b] for a, b in zip(at, at[1:]))))
+        return rest
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def _pieces(path: str, size: int, end_id: int):

@@ -74,6 +74,8 @@ def test_ids_of_parts_are_ids_of_texts():
     rng = np.random.default_rng(7)
     alphabet = list(" \n\t  'stvreaé中1.!  \x1c") + ["'s", "'re", "  ", " \n", "<|endoftext|>"]
     texts = ["".join(rng.choice(alphabet, rng.integers(0, 40))) for _ in range(3000)] + ["", " ", "  ", " a", "a ", "a  b"]
+    words = ["é.", "ab,", "中文。", "x***", "Ab's.", "A\u0301!", "no²", "z_", "'s", "don't", "\U0001F600", "½", "q…", "a.b", "W" * 30]
+    texts += [" ".join(rng.choice(words, rng.integers(1, 30))) for _ in range(500)]
     for t, raw in zip(texts, ids.encode(texts)):
         assert np.frombuffer(raw, "<u4").tolist() == ids.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
@@ -169,14 +171,14 @@ def test_exact_bound():
 
 def test_rules_reject_junk_and_keep_good(spark):
     rows = [(i, " ".join(f"a{i}b{j}" for j in range(80)), "en") for i in range(900)]
-    rows += [(1000 + i, "".join(f"w{i}x{j} $$$ &&& *** " for j in range(30)), "en") for i in range(50)]
+    rows += [(1000 + i, "".join(f"w{i}x{j}$*& " for j in range(60)), "en") for i in range(50)]
     rows += [(2000, rows[-1][1], None), (2001, None, "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1) for i in range(900)] + [(1000, 0), (None, 1), (5, None), (7, 1)], "doc_id long, quality int")
     out = {r.doc_id: r for r in rules.judge(docs, labels).collect()}
     assert all(out[i].kept for i in range(900))
     assert not any(out[1000 + i].kept for i in range(50))
-    assert out[1000].failed == ["symbols"]
+    assert "symbols" in out[1000].failed
     assert out[2000].kept and not out[2001].kept and out[2001].base_failed
     assert rules.judge(docs, labels.limit(0)).where("kept").count() == 951
 
