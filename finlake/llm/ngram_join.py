@@ -5,23 +5,28 @@ equal sets are one node, so copies are never compared.
 
 1. Shingles are hashed into groups.  A pair within the threshold differs in at
    most t shingles, so of t + 3 groups three at least are equal in both sets;
-   each node is sent out once per group, with the hash of the group's members.
-   Nodes that share a group are candidates, and their components are clusters.
-   t depends on the size, so nodes use the group number of their size band and of the
-   next; the bands are such that no pair spans more than two.
-2. A cluster is one tile, or, when it is large, its nodes are dealt into leaves
-   and each pair of leaves is a tile, so no task gets more than two leaves.
-3. In a tile the nodes' group counts are points.  An R-tree packs them into
-   pages by size; the overlap of two pages, and then of two points, is at most
-   the sum of the smaller counts.  Pairs that this bound leaves are verified
-   on the sets, unless they are already linked through others.
-4. The links that join something make a forest; its components are the result.
+   each node is sent out once per group, with the hash of the group's members, and
+   nodes that agree in a group meet in a block.  t depends on the size, so nodes
+   use the group number of their size band and of the next; the bands are such
+   that no pair spans more than two.
+2. In a block the nodes' counts over `DIMENSIONS` groups are points.  An R-tree
+   packs them into pages by size; the overlap of two pages, and then of two
+   points, is at most the sum of the smaller counts.  Pairs that this bound leaves
+   connect their nodes; the components are clusters.
+3. In a cluster the same search is run on the sets themselves: pairs that the
+   bound leaves are verified, unless they are already linked through others.
+   The links that join something make a forest; its components are the result.
+
+A block or cluster is one tile, or, when it is large, its nodes are dealt into
+leaves and each pair of leaves is a tile, so no task gets more than two leaves.
 
 Every document whose set is equal to or linked with another's is found, at any
 number of copies: there is no cap on groups, clusters, or candidates.
 """
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +41,7 @@ from finlake.session import scratch_dir
 SHINGLE = 3
 PERCENT = 90
 SPARE = 3              # groups that any linked pair has equal, at least
-DIMENSIONS = 64        # counts of a point
+DIMENSIONS = 64        # counts of a point, a byte each; 255 stands for any larger count
 PAGE = 32              # points of a page
 LEAF_NODES, LEAF_BYTES = 1024, 8 << 20
 
@@ -129,12 +134,32 @@ def _keys(sh: _Shingles, rows: np.ndarray, percent: int, starts: np.ndarray) ->
     return np.concatenate(out_row), np.concatenate(out_key)
 
 
+def points_of(tokens: np.ndarray, first: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Group counts of the sets that lie one after another in `tokens`."""
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    group = (T.mix(tokens) % np.uint64(dimensions)).astype(np.int64)
+    counts = np.bincount(row * dimensions + group, minlength=(len(first) - 1) * dimensions)
+    return np.minimum(counts, 255).astype(np.uint8).reshape(-1, dimensions)
+
+
+def binary(rows: np.ndarray) -> pa.Array:
+    off = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """Rows of a binary column whose values have one length."""
+    off = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[off[0]:off[-1]].reshape(len(column), -1)
+
+
 def _nodes(k: int):
     def run(batches):
         for chunk in T.chunks(batches):
             sh = _Shingles(chunk.column("text"), k)
             yield pa.RecordBatch.from_arrays(
-                [chunk.column("id"), pa.array(sh.n), pa.array(sh.node.view(np.int64), mask=sh.n == 0)], ["id", "n", "node"])
+                [chunk.column("id"), pa.array(sh.n), pa.array(sh.node.view(np.int64), mask=sh.n == 0),
+                 binary(points_of(sh.tokens, sh.first))], ["id", "n", "node", "point"])
     return run
 
 
@@ -187,13 +212,11 @@ class _Union:
         return a != b
 
 
-def join_tile(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A forest of the links between sets of a tile; with two sides only pairs
-    across are looked at (pairs within a side have a tile of their own)."""
-    n = np.array([len(s) for s in sets], np.int64)
-    points = np.zeros((len(sets), DIMENSIONS), np.int32)
-    for i, s in enumerate(sets):
-        points[i] = np.bincount((T.mix(s) % np.uint64(DIMENSIONS)).astype(np.int64), minlength=DIMENSIONS)
+def forest(points: np.ndarray, n: np.ndarray, side: np.ndarray, percent: int, decide=None) -> list[tuple[int, int]]:
+    """A forest of the pairs whose overlap bound allows a link and, if given,
+    that `decide` accepts; pairs that are connected already are left out.  With two sides
+    only pairs across are looked at (pairs within one have a tile of their own)."""
+    points = np.where(points == 255, np.int32(1 << 24), points.astype(np.int32))
     two = side.any() and not side.all()
     pages = []
     for x in (0, 1) if two else (None,):
@@ -205,7 +228,7 @@ def join_tile(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tu
     least = np.array([n[p].min() for p, _ in pages])
     most = np.array([n[p].max() for p, _ in pages])
     of_side = np.array([-1 if x is None else x for _, x in pages])
-    union, links = _Union(len(sets)), []
+    union, links = _Union(len(n)), []
     for i, (p, x) in enumerate(pages):
         others = np.arange(i, len(pages))
         if two:
@@ -218,61 +241,128 @@ def join_tile(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tu
             q = pages[j][0]
             apart = (np.array([union.find(a) for a in p.tolist()])[:, None]
                      != np.array([union.find(b) for b in q.tolist()]))
+            apart &= (100 * n[p][:, None] >= percent * n[q]) & (100 * n[q] >= percent * n[p][:, None])
             if not apart.any():
                 continue
             bound = np.minimum(points[p][:, None, :], points[q][None, :, :]).sum(2)
             a, b = np.nonzero(apart & ((100 + percent) * bound >= percent * (n[p][:, None] + n[q][None, :])))
             for a, b in zip(p[a].tolist(), q[b].tolist()):
-                if union.find(a) != union.find(b):
-                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                    if 100 * both >= percent * (n[a] + n[b] - both):
-                        union.join(a, b)
-                        links.append((a, b))
+                if union.find(a) != union.find(b) and (decide is None or decide(a, b)):
+                    union.join(a, b)
+                    links.append((a, b))
     return links
 
 
-def _tiles(percent: int):
-    def close(rows):
-        node = [r[0] for r in rows]
-        sets = [np.frombuffer(r[1], np.uint64) for r in rows]
-        links = join_tile(sets, np.array([r[2] for r in rows]), percent)
-        return [(node[a], node[b]) for a, b in links]
+def verified_forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """The forest of the links between the sets of a tile."""
+    n = np.array([len(x) for x in sets], np.int64)
+
+    def linked(a: int, b: int) -> bool:
+        both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        return 100 * both >= percent * (n[a] + n[b] - both)
+
+    points = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+    return forest(points, n, side, percent, linked)
+
+
+def _groups(batches):
+    """Record batches of whole tiles: (batch, first row of each tile, one more)."""
+    rest = None
+    for b in itertools.chain(batches, [None]):
+        parts = [x for x in (rest, b) if x is not None and x.num_rows]
+        if not parts:
+            continue
+        t = parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        key = np.stack([t.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "i", "j")])
+        first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0)]))
+        if b is None:
+            yield t, np.append(first, t.num_rows)
+        else:
+            rest = t.slice(first[-1])
+            if len(first) > 1:
+                yield t.slice(0, first[-1]), first
+
+
+def _edges(node: np.ndarray, pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a = np.array(pairs, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(node[a[:, 0]]), pa.array(node[a[:, 1]])], ["u", "v"])
+
 
+def _bounded_tiles(percent: int):
     def run(batches):
-        key, rows, out = None, [], []
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("cluster", "i", "j", "node", "tokens", "side")]
-            for c, i, j, node, tokens, side in zip(*cols):
-                if (c, i, j) != key:
-                    out += close(rows) if len(rows) > 1 else []
-                    key, rows = (c, i, j), []
-                rows.append((node, tokens, side))
-        out += close(rows) if len(rows) > 1 else []
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["u", "v"])
+        for t, first in _groups(batches):
+            node, n, side = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "n", "side"))
+            points, size = _bytes_of(t.column("point")), np.diff(first)
+            # most tiles are pairs: all at once
+            a = first[:-1][size == 2]
+            p, q = (np.where(points[x] == 255, np.int32(1 << 24), points[x].astype(np.int32)) for x in (a, a + 1))
+            total = n[a] + n[a + 1]
+            near = ((100 + percent) * np.minimum(p, q).sum(1) >= percent * total) & (
+                100 * np.minimum(n[a], n[a + 1]) >= percent * np.maximum(n[a], n[a + 1]))
+            pairs = list(zip(a[near].tolist(), (a[near] + 1).tolist()))
+            for g in np.flatnonzero(size > 2).tolist():
+                x, y = int(first[g]), int(first[g + 1])
+                pairs += [(x + u, x + v) for u, v in forest(points[x:y], n[x:y], side[x:y], percent)]
+            yield _edges(node, pairs)
+    return run
+
+
+def _verified_tiles(percent: int):
+    def run(batches):
+        for t, first in _groups(batches):
+            node, side = (t.column(c).to_numpy(zero_copy_only=False) for c in ("node", "side"))
+            tokens = t.column("tokens")
+            for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
+                if y - x > 1:
+                    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in tokens[x:y]]
+                    yield _edges(node, [(x + u, x + v) for u, v in verified_forest(sets, side[x:y], percent)])
     return run
 
 
-def verified_links(shared: DataFrame, fetch, percent: int, base: str) -> DataFrame:
-    """A forest (u, v) of the links among candidate nodes.  `shared` are edges
-    between nodes that may be linked; all pairs inside one of their components
-    are decided.  `fetch` takes a broadcast bit filter of nodes and gives
-    (node, tokens) of those it holds, tokens being the sorted set's bytes."""
-    spark = shared.sparkSession
-    components(shared).write.parquet(f"{base}/clusters")
+def _deal(rows: DataFrame, tile: str, leaves: F.Column, run) -> DataFrame:
+    """Run `run` over the tiles of `rows`: one per value of column `tile`, or one
+    per pair of its leaves; gives (u, v)."""
+    rest = [c for c in rows.columns if c != tile]
+    dealt = (rows.withColumn("leaves", leaves.cast("int")).withColumn("leaf", F.pmod(F.xxhash64("node"), "leaves").cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
+             .select(F.col(tile).alias("tile"), F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"),
+                     (F.col("leaf") > F.col("other")).cast("int").alias("side"), *[c for c in rest if c != "size"]))
+    return dealt.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j").mapInArrow(run, "u long, v long")
+
+
+def verified_links(keyed: DataFrame, points: DataFrame, fetch, percent: int, base: str) -> DataFrame:
+    """A forest (u, v) of the links between nodes.
+
+    keyed: (node, key), nodes that may be linked share a key; points: (node, n,
+    point), repeated rows allowed; `fetch` takes a broadcast bit filter of
+    nodes and gives (node, tokens) of those it holds, tokens being the sorted
+    set's bytes.  `base` is a fresh folder for tables.
+    """
+    spark = keyed.sparkSession
+    by_key = Window.partitionBy("key")
+    met = (keyed.withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key),
+                              "size": F.count(F.lit(1)).over(by_key)}).where("low != high").select("node", "key", "size"))
+    met.write.parquet(f"{base}/met")
+    met = spark.read.parquet(f"{base}/met")
+    here = spark.sparkContext.broadcast(bloom.build(met.select("node").distinct(), "node"))
+
+    def held(batches):
+        for b in batches:
+            yield b.filter(pa.array(bloom.contains(here.value, b.column("node").to_numpy(zero_copy_only=False))))
+
+    points = points.where("node is not null").mapInArrow(held, points.schema)
+    points = points.groupBy("node").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    near = _deal(met.join(points, "node"), "key", F.ceil(F.col("size") / LEAF_NODES), _bounded_tiles(percent))
+    components(near).write.parquet(f"{base}/clusters")
     clusters = spark.read.parquet(f"{base}/clusters").toDF("node", "cluster")
+
     wanted = spark.sparkContext.broadcast(bloom.build(clusters, "node"))
     sets = fetch(wanted).join(clusters, "node").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("cluster").alias("cluster"))
     sets.write.parquet(f"{base}/candidates")
     sets = spark.read.parquet(f"{base}/candidates")
     size = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LEAF_NODES),
-                                                  F.ceil(F.sum(F.length("tokens")) / LEAF_BYTES)).cast("int").alias("leaves"))
-    leaf = F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")
-    dealt = (sets.join(size, "cluster").withColumn("leaf", leaf)
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("leaves") - 1)))
-             .select("cluster", F.least("leaf", "other").alias("i"), F.greatest("leaf", "other").alias("j"), "node", "tokens",
-                     (F.col("leaf") > F.col("other")).cast("int").alias("side")))
-    return (dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-            .mapInArrow(_tiles(percent), "u long, v long"))
+                                                  F.ceil(F.sum(F.length("tokens")) / LEAF_BYTES)).alias("size"))
+    return _deal(sets.join(size, "cluster"), "cluster", F.col("size"), _verified_tiles(percent))
 
 
 def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
@@ -290,17 +380,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = scratch_dir(spark, "ngrams")
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = d.schema["id"].dataType.simpleString()
-    d.mapInArrow(_nodes(shingle), f"id {kind}, n long, node long").write.parquet(f"{base}/nodes")
+    d.mapInArrow(_nodes(shingle), f"id {kind}, n long, node long, point binary").write.parquet(f"{base}/nodes")
     table = spark.read.parquet(f"{base}/nodes")
 
     # group keys go straight to the shuffle: written down they would take as much space again
     keyed = d.select("text").mapInArrow(_group_keys(shingle, percent), "node long, key long")
-    first = F.min("node").over(Window.partitionBy("key"))
-    shared = keyed.withColumn("first", first).where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+
     def fetch(wanted):
         return d.select("text").mapInArrow(_sets(shingle, wanted), "node long, tokens binary")
 
-    roots = components(verified_links(shared, fetch, percent, base))
+    roots = components(verified_links(keyed, table.select("node", "n", "point"), fetch, percent, base))
 
     reps = table.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"))
     linked = reps.join(roots, "node")

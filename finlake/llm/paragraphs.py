@@ -4,10 +4,9 @@ A paragraph is a line with `min_words` words or more; its set is its five-word
 shingles.  Paragraphs with equal sets are one node.  A node's signature has
 `bands * rows` minimum hashes; nodes that agree in all rows of a band collide.
 With 16 bands of 4 rows a pair of similarity 0.8 collides with probability
-0.9998.  Colliding nodes are joined into clusters, inside which every pair is
-decided on the exact Jaccard similarity (bounded first by the group counts of
-the n-gram join, whose helpers are used), and the links' components are the
-classes.  Of a class the paragraph of the smallest document id, then of the
+0.9998.  Colliding nodes whose group counts allow a link (the helpers of the
+n-gram join are used) are joined into clusters, inside which every pair is decided on
+the exact Jaccard similarity, and the links' components are the classes.  Of a class the paragraph of the smallest document id, then of the
 smallest number, stays.
 """
 from __future__ import annotations
@@ -16,17 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from finlake.llm import bloom
 from finlake.llm import text as T
 from finlake.llm.components import components
-from finlake.llm.ngram_join import _sum, verified_links
+from finlake.llm.ngram_join import _sum, binary, points_of, verified_links
 from finlake.session import scratch_dir
 
 SHINGLE, PERCENT = 5, 80
 MIN_WORDS = 20
 BANDS, ROWS = 16, 4
+DIMENSIONS = 32
 
 
 class _Paragraphs:
@@ -74,7 +73,8 @@ def _nodes(k: int, min_words: int):
             p = _Paragraphs(chunk.column("text"), k, min_words)
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("id").take(pa.array(p.doc)), *[pa.array(x.astype(np.int64)) for x in (p.number, p.start, p.end, p.words)],
-                 pa.array(p.node.view(np.int64))], ["id", "paragraph", "start", "end", "n_words", "node"])
+                 pa.array(p.node.view(np.int64)), pa.array(np.diff(p.first)), binary(points_of(p.tokens, p.first, DIMENSIONS))],
+                ["id", "paragraph", "start", "end", "n_words", "node", "n", "point"])
     return run
 
 
@@ -139,16 +139,13 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     base = scratch_dir(spark, "paragraphs")
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     kind = d.schema["id"].dataType.simpleString()
-    d.mapInArrow(_nodes(shingle, min_words), f"id {kind}, paragraph long, start long, end long, n_words long, node long").write.parquet(f"{base}/nodes")
+    d.mapInArrow(_nodes(shingle, min_words), f"id {kind}, paragraph long, start long, end long, n_words long, node long, n long, point binary").write.parquet(f"{base}/nodes")
     table = spark.read.parquet(f"{base}/nodes")
     keyed = d.select("text").mapInArrow(_band_keys(shingle, min_words, bands, rows), "node long, key long")
-    first = F.min("node").over(Window.partitionBy("key"))
-    shared = keyed.withColumn("first", first).where("node != first").select(F.col("node").alias("u"), F.col("first").alias("v"))
-
     def fetch(wanted):
         return d.select("text").mapInArrow(_sets(shingle, min_words, wanted), "node long, tokens binary")
 
-    roots = components(verified_links(shared, fetch, percent, base))
+    roots = components(verified_links(keyed, table.select("node", "n", "point"), fetch, percent, base))
     # per node first, so copies are counted before anything is joined
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("paragraph"))
     nodes = table.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one"))
