@@ -12,9 +12,10 @@ equal sets are one node, so copies are never compared.
 2. In a block the nodes' counts over `DIMENSIONS` groups are points.  An R-tree
    packs them into pages by size; the overlap of two pages, and then of two
    points, is at most the sum of the smaller counts.  Pairs that this bound leaves
-   connect their nodes; the components are clusters.
-3. In a cluster the same search is run on the sets themselves: pairs that the
-   bound leaves are verified, unless they are already linked through others.
+   connect their nodes; the components are clusters.  In a cluster the search is
+   run again on points with `WIDE` counts, which part long sets, too.
+3. In what is left of a cluster pairs are verified on the sets themselves, unless they
+   are already linked through others.
    The links that join something make a forest; its components are the result.
 
 A block or cluster is one tile, or, when it is large, its nodes are dealt into
@@ -42,8 +43,10 @@ SHINGLE = 3
 PERCENT = 90
 SPARE = 3              # groups that any linked pair has equal, at least
 DIMENSIONS = 64        # counts of a point, a byte each; 255 stands for any larger count
+WIDE = 1024            # the same for the second search: long sets look alike in few counts
 PAGE = 32              # points of a page
-LEAF_NODES, LEAF_BYTES = 1024, 8 << 20
+LEAF_NODES, LEAF_BYTES = 1024, 16 << 20
+SET_ROWS, WIDE_ROWS = "node long, tokens binary", "node long, n long, point binary"
 
 
 def band_starts(percent: int, most: int = 1 << 31) -> np.ndarray:
@@ -180,7 +183,8 @@ def _group_keys(k: int, percent: int):
     return run
 
 
-def _sets(k: int, wanted):
+def _sets(k: int, wanted, wide: bool = False):
+    """(node, tokens) of the wanted sets, or (node, n, point) with wide points."""
     def run(batches):
         seen: set[int] = set()
         for chunk in T.chunks(batches):
@@ -191,12 +195,21 @@ def _sets(k: int, wanted):
                 if int(node[i]) not in seen:
                     seen.add(int(node[i]))
                     pick.append(i)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[pick]), pa.array([sh.tokens[sh.first[i]:sh.first[i + 1]].tobytes() for i in pick], pa.binary())],
-                ["node", "tokens"])
+            yield set_rows(node, sh.tokens, sh.first, np.array(pick, np.int64), wide)
     return run
 
 
+def set_rows(node: np.ndarray, tokens: np.ndarray, first: np.ndarray, pick: np.ndarray, wide: bool) -> pa.RecordBatch:
+    sets = [tokens[first[i]:first[i + 1]] for i in pick.tolist()]
+    if not wide:
+        return pa.RecordBatch.from_arrays([pa.array(node[pick]), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "tokens"])
+    n = np.array([len(x) for x in sets], np.int64)
+    points = [points_of(x, np.array([0, len(x)]), WIDE) for x in sets]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(node[pick]), pa.array(n), binary(np.concatenate(points) if points else np.zeros((0, WIDE), np.uint8))],
+        ["node", "n", "point"])
+
+
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -261,7 +274,7 @@ def verified_forest(sets: list[np.ndarray], side: np.ndarray, percent: int) -> l
         both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
         return 100 * both >= percent * (n[a] + n[b] - both)
 
-    points = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]))
+    points = points_of(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]), WIDE if n.max() > 500 else DIMENSIONS)
     return forest(points, n, side, percent, linked)
 
 
@@ -334,9 +347,9 @@ def verified_links(keyed: DataFrame, points: DataFrame, fetch, percent: int, bas
     """A forest (u, v) of the links between nodes.
 
     keyed: (node, key), nodes that may be linked share a key; points: (node, n,
-    point), repeated rows allowed; `fetch` takes a broadcast bit filter of
-    nodes and gives (node, tokens) of those it holds, tokens being the sorted
-    set's bytes.  `base` is a fresh folder for tables.
+    point), repeated rows allowed; `fetch` takes a broadcast bit filter of nodes
+    and whether wide points are wanted, and gives ``set_rows`` of those it
+    holds.  `base` is a fresh folder for tables.
     """
     spark = keyed.sparkSession
     by_key = Window.partitionBy("key")
@@ -357,7 +370,16 @@ def verified_links(keyed: DataFrame, points: DataFrame, fetch, percent: int, bas
     clusters = spark.read.parquet(f"{base}/clusters").toDF("node", "cluster")
 
     wanted = spark.sparkContext.broadcast(bloom.build(clusters, "node"))
-    sets = fetch(wanted).join(clusters, "node").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("cluster").alias("cluster"))
+    wide = fetch(wanted, True).join(clusters, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "point", "cluster")])
+    wide.write.parquet(f"{base}/wide")
+    wide = spark.read.parquet(f"{base}/wide")
+    size = wide.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    near = _deal(wide.join(size, "cluster"), "cluster", F.ceil(F.col("size") / LEAF_NODES), _bounded_tiles(percent))
+    components(near).write.parquet(f"{base}/parted")
+    clusters = spark.read.parquet(f"{base}/parted").toDF("node", "cluster")
+
+    wanted = spark.sparkContext.broadcast(bloom.build(clusters, "node"))
+    sets = fetch(wanted, False).join(clusters, "node").groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("cluster").alias("cluster"))
     sets.write.parquet(f"{base}/candidates")
     sets = spark.read.parquet(f"{base}/candidates")
     size = sets.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / LEAF_NODES),
@@ -386,8 +408,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # group keys go straight to the shuffle: written down they would take as much space again
     keyed = d.select("text").mapInArrow(_group_keys(shingle, percent), "node long, key long")
 
-    def fetch(wanted):
-        return d.select("text").mapInArrow(_sets(shingle, wanted), "node long, tokens binary")
+    def fetch(wanted, wide):
+        return d.select("text").mapInArrow(_sets(shingle, wanted, wide), WIDE_ROWS if wide else SET_ROWS)
 
     roots = components(verified_links(keyed, table.select("node", "n", "point"), fetch, percent, base))
 

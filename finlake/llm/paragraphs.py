@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from finlake.llm import bloom
 from finlake.llm import text as T
 from finlake.llm.components import components
-from finlake.llm.ngram_join import _sum, binary, points_of, verified_links
+from finlake.llm.ngram_join import SET_ROWS, WIDE_ROWS, _sum, binary, points_of, set_rows, verified_links
 from finlake.session import scratch_dir
 
 SHINGLE, PERCENT = 5, 80
@@ -110,16 +110,14 @@ def _band_keys(k: int, min_words: int, bands: int, rows: int):
     return run
 
 
-def _sets(k: int, min_words: int, wanted):
+def _sets(k: int, min_words: int, wanted, wide: bool):
     def run(batches):
         seen: set[int] = set()
         for chunk in T.chunks(batches):
             p = _Paragraphs(chunk.column("text"), k, min_words)
             pick = np.flatnonzero(bloom.contains(wanted.value, p.node.view(np.int64)))
             pick = pick[_new(p.node[pick], seen)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(p.node[pick].view(np.int64)),
-                 pa.array([p.tokens[p.first[i]:p.first[i + 1]].tobytes() for i in pick.tolist()], pa.binary())], ["node", "tokens"])
+            yield set_rows(p.node.view(np.int64), p.tokens, p.first, pick, wide)
     return run
 
 
@@ -142,8 +140,8 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str
     d.mapInArrow(_nodes(shingle, min_words), f"id {kind}, paragraph long, start long, end long, n_words long, node long, n long, point binary").write.parquet(f"{base}/nodes")
     table = spark.read.parquet(f"{base}/nodes")
     keyed = d.select("text").mapInArrow(_band_keys(shingle, min_words, bands, rows), "node long, key long")
-    def fetch(wanted):
-        return d.select("text").mapInArrow(_sets(shingle, min_words, wanted), "node long, tokens binary")
+    def fetch(wanted, wide):
+        return d.select("text").mapInArrow(_sets(shingle, min_words, wanted, wide), WIDE_ROWS if wide else SET_ROWS)
 
     roots = components(verified_links(keyed, table.select("node", "n", "point"), fetch, percent, base))
     # per node first, so copies are counted before anything is joined
