@@ -12,6 +12,7 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from finlake import registry  # noqa: E402
+from finlake.schemas import WAREHOUSE  # noqa: E402
 from finlake.session import get_spark, scratch_dir  # noqa: E402
 from finlake.sources.staging import read_star, write_star  # noqa: E402
 from finlake.sources.testdata import plant_defects, star_from_testdata  # noqa: E402
@@ -36,7 +37,7 @@ def main():
     write_star(star_from_testdata(spark, sf), f"{root}/clean")
     clean = read_star(spark, f"{root}/clean")
     write_star(plant_defects(clean), f"{root}/defects")
-    dirty = read_star(spark, f"{root}/defects")
+    dirty = read_star(spark, f"{root}/defects", [*WAREHOUSE, "dim_date_loaded"])
     print("| query | scans | hash | range | single | broadcast | BHJ | SMJ | pushed filters |")
     print("|---|---|---|---|---|---|---|---|---|")
     for n in names:
