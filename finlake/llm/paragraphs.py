@@ -23,7 +23,7 @@ from finlake.llm.ngram_join import SET_ROWS, WIDE_ROWS, _sum, binary, points_of,
 from finlake.session import scratch_dir
 
 SHINGLE, PERCENT = 5, 80
-MIN_WORDS = 20
+MIN_WORDS = 10
 BANDS, ROWS = 16, 4
 DIMENSIONS = 32
 

@@ -211,3 +211,13 @@ def test_paragraphs(spark, frame):
     assert paragraphs.duplicate_paragraphs(frame([])).collect() == []
     cut = paragraphs.without_duplicates(frame([(1, "a\n" + near(passages[4])), (2, "b\n" + " ".join(passages[5]) + "\nc"), (3, " ".join(passages[5])), (4, None)]), min_words=5)
     assert {r.doc_id: r.text for r in cut.collect() if r.doc_id > 1} == {2: "b\n" + " ".join(passages[5]) + "\nc", 3: "", 4: None}
+
+
+def test_paragraphs_of_ten_words_by_default(spark, frame):
+    from finlake.llm import paragraphs
+    rng = random.Random(9)
+    lines = [" ".join(f"w{rng.randrange(3000)}" for _ in range(n)) for n in (9, 10, 12, 19, 30) for _ in range(4)]
+    docs = [(i, "\n".join(rng.sample(lines, 6) + [f"only {i}"])) for i in range(30)]
+    got = Counter((r.doc_id, r.paragraph, r.end - r.start, (r.kept_id or 0, r.kept_paragraph), r.removed)
+                  for r in paragraphs.duplicate_paragraphs(frame(docs)).collect())
+    assert got == paragraph_classes(docs, min_words=10) and any(n[2] < 100 for n in got)
