@@ -2,10 +2,11 @@
 
 Patterns (kinds assign, access, hex) are found leftmost and non-overlapping.
 The entropy kind looks at every maximal run of token characters
-``[A-Za-z0-9+/_.=-]``: it belongs to the character class hex, alphanumeric or
-base64, the narrowest that holds all its characters, and a window of `width`
-characters slides over it.  The window's Shannon entropy comes from character counts that
-change by one character in and one out per step; windows at or above the
+``[A-Za-z0-9+/_.=-]``: a window of `width` characters slides over it and belongs
+to the character class hex, alphanumeric or base64, the narrowest that holds all
+the window's characters, so what stands before or after a secret does not
+change its class.  The window's Shannon entropy comes from character counts that
+change by one character in and one out per step; windows at or above their
 class's threshold are joined into spans.  Allow-listed spans (no digit, no
 letter, paths and file names, dates and versions, UUIDs) are suppressed.
 
@@ -50,12 +51,17 @@ def _class(s: str) -> str:
     return "alnum" if s.isalnum() else "base64"
 
 
+#: by character, whether it is outside of lower-case hex, upper-case hex, and alphanumeric
+_OUTSIDE = {c: (c not in "0123456789abcdef", c not in "0123456789ABCDEF", not c.isalnum()) for c in map(chr, range(128))}
+
+
 def entropy_spans(run: str, width: int = WIDTH, thresholds: dict[str, float] = THRESHOLDS) -> list[tuple[int, int]]:
     """Joined windows of one run of token characters whose entropy reaches the
-    threshold of the run's class."""
-    need = thresholds[_class(run)]
+    threshold of the window's class (`_class`)."""
     # H = log2(w) - sum(c log2 c) / w, so a sum of c log2 c of at most this
-    most = width * (math.log2(width) - need) + 1e-9
+    hexed, alnum, base64 = (width * (math.log2(width) - thresholds[c]) + 1e-9 for c in ("hex", "alnum", "base64"))
+    # last places of characters outside of the classes
+    lower = upper = other = -1
     count: dict[str, int] = {}
     total, out = 0.0, []
     if run.isalpha():  # on the allow list, as any part of it
@@ -64,13 +70,20 @@ def entropy_spans(run: str, width: int = WIDTH, thresholds: dict[str, float] = T
         n = count.get(c, 0)
         total += _LOG[n + 1] - _LOG[n]
         count[c] = n + 1
+        not_lower, not_upper, not_alnum = _OUTSIDE[c]
+        if not_lower:
+            lower = i
+        if not_upper:
+            upper = i
+        if not_alnum:
+            other = i
         if i >= width:
             c = run[i - width]
             n = count[c]
             total += _LOG[n - 1] - _LOG[n]
             count[c] = n - 1
-        if i >= width - 1 and total <= most:
-            s = i - width + 1
+        s = i - width + 1
+        if s >= 0 and total <= (hexed if lower < s or upper < s else alnum if other < s else base64):
             if out and s <= out[-1][1]:
                 out[-1] = out[-1][0], i + 1
             else:

@@ -1,5 +1,7 @@
 """Operators on whole texts against plain re-computations."""
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -132,6 +134,27 @@ def test_entropy_is_incremental_and_allow_listed():
     assert secrets_scan.entropy_spans("/usr/share/some/long/path/name-2024.1.2") == []
 
 
+def test_entropy_class_is_that_of_the_window(spark, frame):
+    rng = random.Random(3)
+    docs = []
+    for width in (32, 40, 64):
+        for before in ("", "SESSION=", "sig/", "v1.", "Z-", "a_b="):
+            for after in ("", ".sig", "/x="):
+                docs.append((len(docs), before + "".join(rng.choice("0123456789ABCDEF") for _ in range(width)) + after))
+    masked = {r.doc_id: r.text for r in secrets_scan.redact(frame(docs)).collect()}
+    for i, text in docs:
+        assert not re.search("[0-9A-F]{8}", masked[i]), (text, masked[i])
+        w, hot = secrets_scan.WIDTH, set()
+        for at in range(len(text) - w + 1):
+            n = Counter(text[at:at + w]).values()
+            if math.log2(w) - sum(x * math.log2(x) for x in n) / w >= secrets_scan.THRESHOLDS[secrets_scan._class(text[at:at + w])]:
+                hot |= set(range(at, at + w))
+        assert {p for s, e in secrets_scan.entropy_spans(text) for p in range(s, e)} == hot
+    # numbers, paths and names stay allowed behind a prefix
+    for text in ("id=20240102030405060708091011121314", "/usr/share/some/long/path/name-2024.1.2", "ID-123e4567-e89b-12d3-a456-426614174000"):
+        assert secrets_scan.entropy_spans(text) == []
+
+
 def test_redaction_masks_and_keeps_columns(spark, frame):
     docs = [(1, "é token=abcdefghijklmnop end"), (2, None), (3, "clean"), (3, "clean"), (4, "deadbeef" * 4)]
     out = secrets_scan.redact(frame(docs))
