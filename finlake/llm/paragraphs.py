@@ -8,6 +8,12 @@ With 16 bands of 4 rows a pair of similarity 0.8 collides with probability
 n-gram join are used) are joined into clusters, inside which every pair is decided on
 the exact Jaccard similarity, and the links' components are the classes.  Of a class the paragraph of the smallest document id, then of the
 smallest number, stays.
+
+Passages do not depend on line breaks.  Of each window of `window` words the place
+with the smallest hash of three words is an anchor, and the `words` words from an
+anchor on, wherever lines end, are a unit; units of equal words are a class.  A run
+of ``window + words - 1`` words (50) that occurs twice has an equal window, so an equal
+anchor and unit, in both places; near copies share the units between their edits.
 """
 from __future__ import annotations
 
@@ -26,6 +32,7 @@ SHINGLE, PERCENT = 5, 80
 MIN_WORDS = 10
 BANDS, ROWS = 16, 4
 DIMENSIONS = 32
+PASSAGE_WORDS, WINDOW, ANCHOR = 26, 25, 3
 
 
 class _Paragraphs:
@@ -156,9 +163,70 @@ def duplicate_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str
                       F.col("one.paragraph").alias("kept_paragraph"), (~stays).alias("removed"))
 
 
+def _anchors(h: np.ndarray, first: np.ndarray, words: int, window: int) -> np.ndarray:
+    """Places of words that are the (leftmost) least of a window, from which
+    `words` words are left in the text."""
+    value = T.grams(h, ANCHOR)
+    end = np.repeat(first[1:], np.diff(first))
+    start = np.flatnonzero(np.arange(len(h)) + window + words - 1 <= end)
+    best, size = np.arange(len(value)), 1
+    while size < window:
+        step = min(size, window - size)
+        a, b = best[:-step], best[step:]
+        best = np.where(value[b] < value[a], b, a)
+        size += step
+    return np.unique(best[start])
+
+
+def _passages(words: int, window: int):
+    def run(batches):
+        for chunk in T.chunks(batches):
+            data, off = T.utf8(chunk.column("text"))
+            low = data.copy()
+            low[(data >= 65) & (data <= 90)] += 32
+            s, e, first = T.runs(~T.SPACE[data], off)
+            h = T.Rolling(low).span(s, e)
+            at = _anchors(h, first, words, window) if len(h) >= words + window - 1 else np.zeros(0, np.int64)
+            doc = T.owner(first)[at]
+            code = np.zeros(len(data) + 1, np.int32)
+            np.cumsum((data & 0xC0) != 0x80, out=code[1:])
+            node = np.zeros(len(at), np.uint64)
+            for j in range(words):
+                node = T.mix(node * np.uint64(T._BASE_2) + h[at + j])
+            begin, end = code[s[at]] - code[off[doc]], code[e[at + words - 1]] - code[off[doc]]
+            yield pa.RecordBatch.from_arrays(
+                [chunk.column("id").take(pa.array(doc)), *[pa.array(x.astype(np.int64)) for x in (at - first[doc], begin, end, np.full(len(at), words))],
+                 pa.array(node.view(np.int64))], ["id", "paragraph", "start", "end", "n_words", "node"])
+    return run
+
+
+def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = PASSAGE_WORDS,
+                       window: int = WINDOW) -> DataFrame:
+    """One row per unit of `words` words that occurs again, in any line layout
+    and ASCII case; columns as in ``duplicate_paragraphs``, `paragraph` being the number
+    of the unit's first word in its text.  Units overlap.  Of a longer repeated run up to
+    ``window - 1`` words at either end may lie outside of its units.
+    """
+    if window < 1 or words < ANCHOR:
+        raise ValueError(f"needs a window and at least {ANCHOR} words")
+    spark = docs.sparkSession
+    base = scratch_dir(spark, "passages")
+    d = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    kind = d.schema["id"].dataType.simpleString()
+    d.mapInArrow(_passages(words, window), f"id {kind}, paragraph long, start long, end long, n_words long, node long").write.parquet(f"{base}/units")
+    table = spark.read.parquet(f"{base}/units")
+    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("paragraph"))
+    classes = table.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("one")).where("n > 1")
+    stays = F.col("id").eqNullSafe(F.col("one.id")) & (F.col("paragraph") == F.col("one.paragraph"))
+    return table.join(classes, "node").select(
+        F.col("id").alias(id_col), "paragraph", "start", "end", "n_words", F.col("one.id").alias("kept_id"),
+        F.col("one.paragraph").alias("kept_paragraph"), (~stays).alias("removed"))
+
+
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns kept, with the removed paragraphs cut from
-    their texts (a paragraph's line break goes with it)."""
+    their texts (a paragraph's line break goes with it).  Passages within
+    lines are only reported, by ``duplicate_passages``."""
     gone = (duplicate_paragraphs(docs, id_col, text_col, **options).where("removed")
             .groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("paragraph").alias("_gone")))
     lines = F.split(F.col(text_col), "\n", -1)

@@ -70,7 +70,9 @@ def op4_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.duplicate_paragraphs(_table(spark, sf_dir, "documents"))
+    docs = _table(spark, sf_dir, "documents")
+    lines, passages = paragraphs.duplicate_paragraphs(docs), paragraphs.duplicate_passages(docs)
+    return lines.withColumn("kind", F.lit("line")).unionByName(passages.withColumn("kind", F.lit("passage")))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

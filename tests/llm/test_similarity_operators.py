@@ -221,3 +221,43 @@ def test_paragraphs_of_ten_words_by_default(spark, frame):
     got = Counter((r.doc_id, r.paragraph, r.end - r.start, (r.kept_id or 0, r.kept_paragraph), r.removed)
                   for r in paragraphs.duplicate_paragraphs(frame(docs)).collect())
     assert got == paragraph_classes(docs, min_words=10) and any(n[2] < 100 for n in got)
+
+
+def test_passages_in_any_line_layout(spark, frame):
+    from finlake.llm import paragraphs
+    rng = random.Random(10)
+    word = lambda: f"x中{rng.randrange(100000)}"
+    fill = lambda n: [word() for _ in range(n)]
+    docs, runs = [], []
+    for i in range(40):
+        run = fill(50)
+        wrapped = [" ".join(run[a:a + 7]) for a in range(0, 50, 7)]
+        runs.append(run)
+        docs += [(4 * i, " ".join(fill(rng.randrange(70)) + run + fill(70))),               # inside a long line
+                 (4 * i + 1, " ".join(fill(30)) + "\n" + " ".join(run) + "\n" + "z " * 3),   # a line of its own
+                 (4 * i + 2, "\n".join(fill(rng.randrange(4)) + wrapped + fill(3))),         # lines of seven words
+                 (4 * i + 3, " ".join(fill(20) + [x.upper() for x in run[:25]]) + "\r\n\t" + " ".join(run[25:] + fill(90)))]
+    docs += [(900, None), (901, ""), (902, " ".join(fill(300))), (None, docs[0][1]), (903, "short text")]
+    texts = dict(docs)
+    rows = paragraphs.duplicate_passages(frame(docs)).collect()
+    found = {(r.doc_id, r.kept_id) for r in rows}
+    for i in range(40):
+        assert {(4 * i + k, 4 * i) for k in range(4)} <= found, i
+    assert not {r.doc_id for r in rows} & {900, 901, 902, 903}
+    for r in rows:
+        said = texts[r.doc_id][r.start:r.end].lower().split()
+        assert len(said) == r.n_words == 26 and said == texts[r.doc_id].lower().split()[r.paragraph:r.paragraph + 26]
+        assert texts[r.kept_id].lower().split()[r.kept_paragraph:r.kept_paragraph + 26] == said
+        assert r.removed == ((r.doc_id, r.paragraph) != (r.kept_id, r.kept_paragraph))
+    assert paragraphs.duplicate_passages(frame([])).collect() == []
+
+
+def test_registered_paragraph_query_has_passages(spark, tmp_path):
+    from finlake.llm import queries
+    rng = random.Random(11)
+    fill = lambda n: [f"w{rng.randrange(100000)}" for _ in range(n)]
+    run = fill(57)
+    docs = [(15, " ".join(fill(40) + run + fill(43))), (2837, " ".join(run + fill(8)))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op5_paragraph_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows if r.kind == "passage" and r.kept_id == 15} == {15, 2837}
