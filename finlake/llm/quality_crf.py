@@ -151,14 +151,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   quality_col: str = "quality", sample: int = SAMPLE, cut: float = CUT,
-                  keep: list[str] | None = None) -> DataFrame:
-    """The documents with score (0 to 1) and predicted (1 if score >= cut).
+                  keep: list[str] | None = None, model: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """The documents with score (0 to 1) and predicted (1 if score >= cut), by
+    `model` or one trained here.
 
     All columns are kept, or those in `keep`; columns named score or predicted are replaced.
     NULL, empty and blank texts have no line and score 0.  Repeated rows are
     scored one by one.  Rows never leave their partition.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, quality_col, sample))
+    model = docs.sparkSession.sparkContext.broadcast(model or train(docs, labels, id_col, text_col, quality_col, sample))
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     back = text_col in names
 

@@ -160,3 +160,10 @@ def test_pipeline_keeps_columns(spark):
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0)], docs.schema)
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, odd, SF).collect()
+
+
+def test_quality_stage_keeps_documents_without_both_labels(spark, tmp_path):
+    docs, labels = table(spark, "documents").limit(40), table(spark, "labels")
+    for name, some in (("none", labels.limit(0)), ("good", labels.where("quality = 1"))):
+        some.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.keep_quality(spark, docs, f"{tmp_path}/{name}").count() == 40
