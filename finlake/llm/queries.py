@@ -3,6 +3,7 @@ whole table and derives the result columns that are compared."""
 from __future__ import annotations
 
 import functools
+import hashlib
 import os
 import tempfile
 import zipfile
@@ -13,11 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import finlake
-from finlake.llm import chat, decontam, langid, ngram_join, packing, paragraphs, quality_crf, repeats, rules, secrets_scan
+from finlake.llm import (bpe_trie, chat, decontam, langid, lexical_search, ngram_join, packing, paragraphs, quality_crf, repeats,
+                         rules, secrets_scan, vector_codes)
 
 #: folder of the public tokenizers' files, or unset: where the package says
 TOKENIZERS = os.environ.get("FINLAKE_TOKENIZERS")
 
+_LABEL_SALTS = 16
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -103,6 +107,29 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path("word_bpe_49k.json")
+    back = bpe_trie.decode(bpe_trie.encode(_table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress(_table(spark, sf_dir, "embeddings"), keep=("label",))
+    digest = hashlib.sha256(",".join(str(c) for b in books for c in b.ravel().tolist()).encode()).hexdigest()
+    # a label may hold most rows: its sum is joined back once per salt
+    total = (rows.groupBy(F.col("label").alias("of")).agg(F.sum(F.col("error").cast("decimal(38,0)")).alias("total"))
+             .select("of", F.least("total", F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long").alias("label_error"),
+                     F.explode(F.sequence(F.lit(0), F.lit(_LABEL_SALTS - 1))).alias("deal")))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("vec_id", "code"), F.lit(_LABEL_SALTS)).cast("int"))
+    both = dealt.join(total, dealt["label"].eqNullSafe(total["of"]) & (dealt["salt"] == total["deal"]))
+    return both.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def shipped(f: Callable) -> Callable:
     """`f` with this package sent to the session's Python workers first: a
     cluster's workers need not have it installed."""
@@ -129,7 +156,8 @@ def ship(spark: SparkSession) -> None:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: shipped(f) for f in (
         op1_packing, op2_chat_format, op3_secret_scan, op4_repeated_bytes, op5_paragraph_dedup, op6_quality_rules,
-        op7_quality_classifier, op8_language_id, op9_decontamination, op10_ngram_join)}
+        op7_quality_classifier, op8_language_id, op9_decontamination, op10_ngram_join,
+        op11_lexical_search, op12_bpe_round_trip, op13_vector_codes)}
 
 _CONTROL = r"(\||/?s>|/?INST\])"
 _ESCAPED = rf"regexp_replace({{}}, '([<\[])(\\*){_CONTROL}', '\1\\\2\3', 'g')"
@@ -181,5 +209,57 @@ reach AS (SELECT row AS x, row AS y FROM d UNION SELECT reach.x, links.y FROM re
 least_id AS (SELECT reach.x AS row, MIN(doc_id) AS component_id FROM reach JOIN d ON d.row = reach.y GROUP BY reach.x)
 SELECT doc_id, COALESCE(n, 0) AS n_shingles, component_id FROM d LEFT JOIN size USING (row) LEFT JOIN least_id USING (row)"""
 
+_TERMS = r"regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_RANKED = f"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS row, doc_id, {_TERMS} AS t FROM documents),
+total AS (SELECT COUNT(*) AS docs, CAST(SUM(len(t)) AS BIGINT) AS words FROM d WHERE len(t) > 0),
+q AS (SELECT DISTINCT item, item_id, unnest(t) AS term FROM (SELECT ROW_NUMBER() OVER () AS item, item_id, {_TERMS} AS t FROM benchmark)),
+tf AS (
+  SELECT row, term, COUNT(*) AS tf FROM (SELECT row, unnest(t) AS term FROM d) SEMI JOIN (SELECT DISTINCT term FROM q) USING (term) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term),
+m AS (SELECT row, doc_id, 100 - 50 + ((50 * len(t) * docs) // words) AS m FROM d, total),
+part AS (SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS s FROM tf JOIN w USING (term) JOIN m USING (row)),
+scored AS (
+  SELECT item, item_id, row, doc_id, CAST(SUM(s) AS BIGINT) AS score FROM q JOIN part USING (term) GROUP BY ALL HAVING SUM(s) > 0)
+SELECT item_id, CAST(ROW_NUMBER() OVER best AS INTEGER) AS rank, doc_id, score FROM scored
+WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id) QUALIFY rank <= {lexical_search.BEST}"""
+
+
+def _assigned(vectors: str, book: str) -> str:
+    """Each part's nearest entry, the lowest index among equals."""
+    return f"""
+  SELECT row, pos, any_value(x) AS x, arg_min(entry, (away, entry)) AS entry, CAST(min(away) AS BIGINT) AS away
+  FROM (SELECT row, pos, p.x, entry, list_sum([(p.x[i] - b.x[i]) * (p.x[i] - b.x[i]) for i in range(1, len(p.x) + 1)]) AS away
+        FROM {vectors} p JOIN {book} b USING (pos)) GROUP BY row, pos"""
+
+
+def _replaced(assigned: str, book: str) -> str:
+    return f"""
+  SELECT b.pos, b.entry, COALESCE(m.x, b.x) AS x FROM {book} b LEFT JOIN (
+    SELECT pos, entry, list(mean ORDER BY i) AS x FROM (
+      SELECT pos, entry, i, CAST(floor(SUM(x[i])::HUGEINT / COUNT(*)) AS BIGINT) AS mean FROM {assigned}, range(1, len(x) + 1) r(i) GROUP BY ALL)
+    GROUP BY ALL) m USING (pos, entry)"""
+
+
+_CODES = f"""
+WITH kept AS (
+  SELECT ROW_NUMBER() OVER (ORDER BY vec_id NULLS LAST, embedding) AS row, vec_id, label,
+         [CAST(floor(CAST(c AS DOUBLE) * 256) AS BIGINT) for c in embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len([1 for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0),
+parts AS MATERIALIZED (SELECT row, pos, v[pos * (len(v) // 16) + 1:(pos + 1) * (len(v) // 16)] AS x FROM kept, range(16) r(pos)),
+book0 AS MATERIALIZED (SELECT pos, row - 1 AS entry, x FROM parts WHERE row <= 64),
+seen1 AS MATERIALIZED ({_assigned('parts', 'book0')}),
+book1 AS MATERIALIZED ({_replaced('seen1', 'book0')}),
+seen2 AS MATERIALIZED ({_assigned('parts', 'book1')}),
+book2 AS MATERIALIZED ({_replaced('seen2', 'book1')}),
+coded AS (
+  SELECT row, string_agg(printf('%02x', entry), '' ORDER BY pos) AS code, CAST(SUM(away) AS BIGINT) AS error
+  FROM ({_assigned('parts', 'book2')}) GROUP BY row),
+digest AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY pos, entry)) AS said FROM book2)
+SELECT vec_id, code, error, CAST(SUM(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, said AS codebooks_sha256
+FROM kept JOIN coded USING (row), digest"""
+
 #: DuckDB SQL by query, where SQL can express it
-ORACLE: dict[str, str] = {"op2_chat_format": _CHATS, "op9_decontamination": _CONTAMINATION, "op10_ngram_join": _LINKED}
+ORACLE: dict[str, str] = {"op2_chat_format": _CHATS, "op9_decontamination": _CONTAMINATION, "op10_ngram_join": _LINKED,
+                          "op11_lexical_search": _RANKED, "op13_vector_codes": _CODES}
