@@ -16,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, DecimalType, ShortType
 
-from finlake.functions.dates import date_key, parse_date
-from finlake.functions.enums import canonical_enum
-from finlake.functions.parse import clean_text, parse_decimal, parse_flag, parse_int
-from finlake.operators.keys import with_hashed_key, with_surrogate_key
+from finlake.functions.parse import clean_text
+from finlake.operators import cells
+from finlake.operators.cells import Cell
+from finlake.operators.keys import with_stored_keys, with_surrogate_key
 from finlake.operators.quality import domain_violations
+from finlake.operators.spelling import collated, learn, unify
 from finlake.schemas import (CHURN_TYPES, ENUM_DOMAINS, FOREIGN_KEYS, HEALTH_STATUSES, PAYMENT_STATUSES,
                              PLANS, PRIMARY_KEYS, REGIONS, SEGMENTS, TEXT_LENGTHS, UNIQUE_KEYS, WAREHOUSE)
 
@@ -80,19 +81,103 @@ def load_dim_date(star: Star) -> DataFrame:
 def _key(c) -> Column:
     """Lookup key with the reference's comparison rules: case, accents and
     surrounding spaces do not count."""
-    return F.collate(F.trim(c if isinstance(c, Column) else F.col(c)), "UNICODE_CI_AI")
-
-
-def _label(c: str, domain: list[str]) -> Column:
-    """A label column: the declared spelling where the value has one in any
-    case, else the trimmed text."""
-    return F.coalesce(canonical_enum(c, domain), clean_text(c))
+    return collated(c)
+
+
+def staging_cells(table: str) -> list[Cell]:
+    """How each column of a warehouse table is read from its staging text."""
+    length = {"transactions": TEXT_LENGTHS["fact_transactions"], "customers": TEXT_LENGTHS["dim_customers"],
+              "churn": TEXT_LENGTHS["fact_churn"], "budget": TEXT_LENGTHS["fact_budget_vs_actual"]}[table]
+
+    def text(column, source):
+        return cells.text(column, source, length.get(column))
+
+    def label(column, source, domain):
+        return cells.label(column, source, domain, length.get(column))
+
+    if table == "customers":
+        return [text("customer_id", "CustomerID"), text("company_name", "CompanyName"),
+                cells.enum("plan", "Plan", PLANS), cells.enum("segment", "Segment", SEGMENTS),
+                text("industry", "Industry"), cells.enum("region", "Region", REGIONS),
+                cells.date("acquisition_date", "AcquisitionDate"), text("acquisition_channel", "AcquisitionChannel"),
+                cells.decimal("mrr_inr", "MRR_INR", 12, 2), cells.decimal("arr_inr", "ARR_INR", 14, 2),
+                cells.integer("contract_length_months", "ContractLength_Months", "tinyint"),
+                cells.decimal("health_score", "HealthScore", 5, 1, commas=False),
+                cells.enum("health_status", "HealthStatus", HEALTH_STATUSES), text("csm_owner", "CSM_Owner"),
+                cells.integer("nps_score", "NPS_Score", "smallint"),
+                cells.integer("last_login_days_ago", "LastLoginDaysAgo", "smallint"),
+                cells.decimal("avg_monthly_logins", "AvgMonthlyLogins", 6, 1, commas=False),
+                cells.integer("support_tickets_90d", "SupportTickets_Last90D", "tinyint"),
+                cells.integer("expected_cltv_months", "ExpectedCLTV_Months", "tinyint"),
+                cells.flag("is_active", "IsActive")]
+    if table == "transactions":
+        return [text("transaction_id", "TransactionID"), text("invoice_id", "InvoiceID"),
+                cells.day_key("date_key", "TransactionDate"), cells.integer("fiscal_year", "FiscalYear", "smallint"),
+                text("fiscal_quarter", "FiscalQuarter"), text("fiscal_month", "FiscalMonth"),
+                label("region", "Region", REGIONS), label("segment", "Segment", SEGMENTS), label("plan", "Plan", PLANS),
+                cells.enum("payment_status", "PaymentStatus", PAYMENT_STATUSES),
+                cells.decimal("revenue_inr", "Revenue_INR", 14, 2), cells.decimal("cogs_inr", "COGS_INR", 14, 2),
+                cells.decimal("gross_profit_inr", "GrossProfit_INR", 14, 2),
+                cells.decimal("gross_margin_pct", "GrossMargin_Pct", 6, 2, commas=False)]
+    if table == "churn":
+        return [cells.day_key("acquisition_date_key", "AcquisitionDate"), cells.day_key("churn_date_key", "ChurnDate"),
+                label("plan", "Plan", PLANS), label("segment", "Segment", SEGMENTS), label("region", "Region", REGIONS),
+                text("churn_reason", "ChurnReason"), cells.enum("churn_type", "ChurnType", CHURN_TYPES),
+                cells.flag("was_escalated", "WasEscalated"), cells.flag("exit_survey_completed", "ExitSurveyCompleted"),
+                cells.flag("win_back_eligible", "WinBackEligible"), cells.integer("days_to_churn", "DaysToChurn", "smallint"),
+                cells.decimal("mrr_at_churn_inr", "MRR_AtChurn_INR", 12, 2),
+                cells.decimal("arr_at_churn_inr", "ARR_AtChurn_INR", 14, 2),
+                cells.decimal("revenue_recognized_inr", "RevenueRecognized_INR", 14, 2),
+                cells.decimal("last_health_score", "LastHealthScore", 5, 1, commas=False),
+                cells.integer("support_tickets_90d", "SupportTickets_Last90D", "tinyint")]
+    return [cells.day_key("date_key", "Period"), cells.integer("fiscal_year", "FiscalYear", "smallint"),
+            text("fiscal_quarter", "FiscalQuarter"), text("month_label", "Month"), text("department", "Department"),
+            *[cells.decimal(f"{c}_inr", f"{s}_INR", 20, 2) for c, s in BUDGET_REVENUE],
+            cells.decimal("revenue_variance_pct", "RevenueVariance_Pct", 7, 2, commas=False),
+            *[cells.decimal(f"{c}_inr", f"{s}_INR", 20, 2) for c, s in BUDGET_OPEX],
+            cells.decimal("opex_variance_pct", "OpExVariance_Pct", 7, 2, commas=False),
+            *[cells.decimal(f"{c}_inr", f"{s}_INR", 20, 2) for c, s in BUDGET_EBITDA],
+            cells.integer("headcount_budget", "HeadCount_Budget"), cells.integer("headcount_actual", "HeadCount_Actual")]
+
+
+BUDGET_REVENUE = [("budgeted_revenue", "BudgetedRevenue"), ("actual_revenue", "ActualRevenue"), ("revenue_variance", "RevenueVariance")]
+BUDGET_OPEX = [("budgeted_opex", "BudgetedOpEx"), ("actual_opex", "ActualOpEx"), ("opex_variance", "OpExVariance")]
+BUDGET_EBITDA = [("budgeted_ebitda", "BudgetedEBITDA"), ("actual_ebitda", "ActualEBITDA")]
+
+# labels without a declared domain: (staging table, its column) -> (warehouse table, its column)
+FREE_LABELS = {("customers", "Industry"): ("dim_customers", "industry"),
+               ("customers", "AcquisitionChannel"): ("dim_customers", "acquisition_channel"),
+               ("customers", "CSM_Owner"): ("dim_customers", "csm_owner"),
+               ("churn", "ChurnReason"): ("fact_churn", "churn_reason"),
+               ("budget", "Department"): ("fact_budget_vs_actual", "department")}
+
+
+def parse_staging(stg: DataFrame, table: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed columns of a staging table and its faulty cells (``operators.cells``)."""
+    return cells.parse_cells(stg, staging_cells(table), keep)
+
+
+def _typed(df: DataFrame, table: str, target: str, *keys: str) -> DataFrame:
+    """The loaded columns of `target`, keys included, in declared order."""
+    value = {c.column: c.value for c in staging_cells(table)}
+    order = [f.name for f in WAREHOUSE[target].fields]
+    return df.select(*[F.col(n) if n in keys else value[n].alias(n) for n in order if n in keys or n in value])
+
+
+def _spelled(df: DataFrame, target: str, spellings: DataFrame | None) -> DataFrame:
+    return df if spellings is None else unify(df, spellings, *[c for t, c in FREE_LABELS.values() if t == target])
+
+
+def learn_spellings(spark, path: str, stg: dict[str, DataFrame]) -> DataFrame:
+    """Adds the free labels of staging tables to the dictionary at `path`."""
+    return learn(spark, path, [(stg[t], source, column) for (t, source), (_, column) in FREE_LABELS.items() if t in stg])
 
 
 def one_spelling(df: DataFrame, *cols: str) -> DataFrame:
     """Free labels that differ only in case or accents get one spelling (the
     smallest), so that grouping by them gives one group.  Distinct labels are
-    few; each column costs one aggregation and a join with its result."""
+    few; each column costs one aggregation and a join with its result.  Within one
+    frame only; ``operators.spelling`` keeps spellings across loads."""
     out = df
     for c in cols:
         key = F.collate(F.col(c), "UNICODE_CI_AI")
@@ -103,25 +188,11 @@ def one_spelling(df: DataFrame, *cols: str) -> DataFrame:
     return out
 
 
-def load_dim_customers(stg: DataFrame, surrogate: bool = True) -> DataFrame:
+def load_dim_customers(stg: DataFrame, surrogate: bool = True, spellings: DataFrame | None = None) -> DataFrame:
+    """Typed customers; rows without an id drop out.  ``spellings`` unifies the
+    free labels (``learn_spellings``)."""
     cid = clean_text("CustomerID")
-    out = stg.filter(cid.isNotNull() & (cid != "")).select(
-        cid.alias("customer_id"), clean_text("CompanyName").alias("company_name"),
-        canonical_enum("Plan", PLANS).alias("plan"), canonical_enum("Segment", SEGMENTS).alias("segment"),
-        clean_text("Industry").alias("industry"), canonical_enum("Region", REGIONS).alias("region"),
-        parse_date("AcquisitionDate").alias("acquisition_date"),
-        clean_text("AcquisitionChannel").alias("acquisition_channel"),
-        parse_decimal("MRR_INR", 12, 2).alias("mrr_inr"), parse_decimal("ARR_INR", 14, 2).alias("arr_inr"),
-        parse_int("ContractLength_Months", "tinyint").alias("contract_length_months"),
-        parse_decimal("HealthScore", 5, 1, strip_commas=False).alias("health_score"),
-        canonical_enum("HealthStatus", HEALTH_STATUSES).alias("health_status"),
-        clean_text("CSM_Owner").alias("csm_owner"),
-        parse_int("NPS_Score", "smallint").alias("nps_score"),
-        parse_int("LastLoginDaysAgo", "smallint").alias("last_login_days_ago"),
-        parse_decimal("AvgMonthlyLogins", 6, 1, strip_commas=False).alias("avg_monthly_logins"),
-        parse_int("SupportTickets_Last90D", "tinyint").alias("support_tickets_90d"),
-        parse_int("ExpectedCLTV_Months", "tinyint").alias("expected_cltv_months"),
-        parse_flag("IsActive").alias("is_active"))
+    out = _spelled(_typed(stg.filter(cid.isNotNull() & (cid != "")), "customers", "dim_customers"), "dim_customers", spellings)
     if surrogate:
         out = with_surrogate_key(out, "customer_key", ["customer_id"]).withColumn(
             "customer_key", F.col("customer_key").cast("int"))
@@ -150,20 +221,8 @@ def load_fact_transactions(stg: DataFrame, dim_customers: DataFrame, dim_product
     p = dim_product.select(_key("product_line").alias("_pl"), _key("category").alias("_pc"), "product_key")
     j = (s.join(_customer_lookup(dim_customers), "_cid")
          .join(p, (_key("ProductLine") == F.col("_pl")) & (_key("Category") == F.col("_pc"))))
-    out = j.select(
-        clean_text("TransactionID").alias("transaction_id"), clean_text("InvoiceID").alias("invoice_id"),
-        "customer_key", "product_key", date_key(parse_date("TransactionDate")).alias("date_key"),
-        parse_int("FiscalYear", "smallint").alias("fiscal_year"),
-        clean_text("FiscalQuarter").alias("fiscal_quarter"), clean_text("FiscalMonth").alias("fiscal_month"),
-        _label("Region", REGIONS).alias("region"), _label("Segment", SEGMENTS).alias("segment"),
-        _label("Plan", PLANS).alias("plan"), canonical_enum("PaymentStatus", PAYMENT_STATUSES).alias("payment_status"),
-        parse_decimal("Revenue_INR", 14, 2).alias("revenue_inr"),
-        parse_decimal("COGS_INR", 14, 2).alias("cogs_inr"),
-        parse_decimal("GrossProfit_INR", 14, 2).alias("gross_profit_inr"),
-        parse_decimal("GrossMargin_Pct", 6, 2, strip_commas=False).alias("gross_margin_pct"))
-    if surrogate:
-        out = with_hashed_key(out, "transaction_key", ["transaction_id", "invoice_id", "customer_key", "product_key", "date_key"])
-    return out
+    out = _typed(j, "transactions", "fact_transactions", "customer_key", "product_key")
+    return with_stored_keys(out, "transaction_key") if surrogate else out
 
 
 def reject_transactions(stg: DataFrame, dim_customers: DataFrame, dim_product: DataFrame) -> DataFrame:
@@ -185,54 +244,20 @@ def reject_churn(stg: DataFrame, dim_customers: DataFrame) -> DataFrame:
             .withColumn("reject_reason", F.lit("unknown customer")).drop("_cid"))
 
 
-def load_fact_churn(stg: DataFrame, dim_customers: DataFrame, surrogate: bool = False) -> DataFrame:
+def load_fact_churn(stg: DataFrame, dim_customers: DataFrame, surrogate: bool = False,
+                    spellings: DataFrame | None = None) -> DataFrame:
     """Typed churn events; rows with an unknown customer drop out (see
     ``reject_churn``)."""
     s = stg.filter(clean_text("CustomerID").isNotNull()).withColumn("_cid", _key("CustomerID"))
-    j = s.join(_customer_lookup(dim_customers), "_cid")
-    out = j.select(
-        "customer_key",
-        date_key(parse_date("AcquisitionDate")).alias("acquisition_date_key"),
-        date_key(parse_date("ChurnDate")).alias("churn_date_key"),
-        _label("Plan", PLANS).alias("plan"), _label("Segment", SEGMENTS).alias("segment"),
-        _label("Region", REGIONS).alias("region"), clean_text("ChurnReason").alias("churn_reason"),
-        canonical_enum("ChurnType", CHURN_TYPES).alias("churn_type"),
-        parse_flag("WasEscalated").alias("was_escalated"),
-        parse_flag("ExitSurveyCompleted").alias("exit_survey_completed"),
-        parse_flag("WinBackEligible").alias("win_back_eligible"),
-        parse_int("DaysToChurn", "smallint").alias("days_to_churn"),
-        parse_decimal("MRR_AtChurn_INR", 12, 2).alias("mrr_at_churn_inr"),
-        parse_decimal("ARR_AtChurn_INR", 14, 2).alias("arr_at_churn_inr"),
-        parse_decimal("RevenueRecognized_INR", 14, 2).alias("revenue_recognized_inr"),
-        parse_decimal("LastHealthScore", 5, 1, strip_commas=False).alias("last_health_score"),
-        parse_int("SupportTickets_Last90D", "tinyint").alias("support_tickets_90d"))
-    if surrogate:
-        out = with_hashed_key(out, "churn_key", ["customer_key", "churn_date_key"])
-    return out
+    out = _typed(s.join(_customer_lookup(dim_customers), "_cid"), "churn", "fact_churn", "customer_key")
+    out = _spelled(out, "fact_churn", spellings)
+    return with_stored_keys(out, "churn_key") if surrogate else out
 
 
-def load_fact_budget(stg: DataFrame, surrogate: bool = False) -> DataFrame:
-    s = stg.filter(clean_text("Period").isNotNull())
-    out = s.select(
-        date_key(parse_date("Period")).alias("date_key"),
-        parse_int("FiscalYear", "smallint").alias("fiscal_year"),
-        clean_text("FiscalQuarter").alias("fiscal_quarter"), clean_text("Month").alias("month_label"),
-        clean_text("Department").alias("department"),
-        parse_decimal("BudgetedRevenue_INR", 20, 2).alias("budgeted_revenue_inr"),
-        parse_decimal("ActualRevenue_INR", 20, 2).alias("actual_revenue_inr"),
-        parse_decimal("RevenueVariance_INR", 20, 2).alias("revenue_variance_inr"),
-        parse_decimal("RevenueVariance_Pct", 7, 2, strip_commas=False).alias("revenue_variance_pct"),
-        parse_decimal("BudgetedOpEx_INR", 20, 2).alias("budgeted_opex_inr"),
-        parse_decimal("ActualOpEx_INR", 20, 2).alias("actual_opex_inr"),
-        parse_decimal("OpExVariance_INR", 20, 2).alias("opex_variance_inr"),
-        parse_decimal("OpExVariance_Pct", 7, 2, strip_commas=False).alias("opex_variance_pct"),
-        parse_decimal("BudgetedEBITDA_INR", 20, 2).alias("budgeted_ebitda_inr"),
-        parse_decimal("ActualEBITDA_INR", 20, 2).alias("actual_ebitda_inr"),
-        parse_int("HeadCount_Budget").alias("headcount_budget"),
-        parse_int("HeadCount_Actual").alias("headcount_actual"))
-    if surrogate:
-        out = with_hashed_key(out, "bva_key", ["date_key", "department"])
-    return out
+def load_fact_budget(stg: DataFrame, surrogate: bool = False, spellings: DataFrame | None = None) -> DataFrame:
+    out = _typed(stg.filter(clean_text("Period").isNotNull()), "budget", "fact_budget_vs_actual")
+    out = _spelled(out, "fact_budget_vs_actual", spellings)
+    return with_stored_keys(out, "bva_key") if surrogate else out
 
 
 # --------------------------------------------------------------- renderers
@@ -346,14 +371,16 @@ def load_rejects(stg: dict[str, DataFrame], dim_customers: DataFrame, dim_produc
 
 
 def load_star(stg: dict[str, DataFrame], dim_date: DataFrame, dim_product: DataFrame,
-              surrogate: bool = True) -> Star:
+              surrogate: bool = True, spelling_path: str | None = None) -> Star:
     """Staging frames -> star schema (customers, then facts); ``load_rejects``
-    has the rows that find no customer or product."""
-    cust = load_dim_customers(stg["customers"], surrogate=True)
+    has the rows that find no customer or product.  With ``spelling_path``, a
+    folder kept across loads, free labels get one spelling each."""
+    spellings = learn_spellings(stg["customers"].sparkSession, spelling_path, stg) if spelling_path else None
+    cust = load_dim_customers(stg["customers"], surrogate=True, spellings=spellings)
     return {"dim_date": dim_date, "dim_product": dim_product, "dim_customers": cust,
             "fact_transactions": load_fact_transactions(stg["transactions"], cust, dim_product, surrogate),
-            "fact_churn": load_fact_churn(stg["churn"], cust, surrogate),
-            "fact_budget_vs_actual": load_fact_budget(stg["budget"], surrogate)}
+            "fact_churn": load_fact_churn(stg["churn"], cust, surrogate, spellings),
+            "fact_budget_vs_actual": load_fact_budget(stg["budget"], surrogate, spellings)}
 
 
 # ---------------------------------------------------- registered load checks
@@ -418,8 +445,8 @@ def load_write_read_back(star: Star) -> DataFrame:
     return present(read_table(fact.sparkSession, path, "fact_budget_vs_actual").drop("bva_key"))
 
 
-def load_dirty_staging(star: Star) -> DataFrame:
-    """Transactions loaded from staging text with dirty cells, made from every
+def dirty_staging(star: Star) -> DataFrame:
+    """Staging text of transactions with dirty cells, made from every
     transaction by its customer's number: accented and upper-case ids, empty and unknown ids, empty
     transaction ids, labels in other cases, integers with fractions or beyond their type,
     empty and unreadable money and dates."""
@@ -448,9 +475,13 @@ def load_dirty_staging(star: Star) -> DataFrame:
     stg = clean.select(*[dirty(c, *cells.get(c, [])) for c in clean.columns])
     path = scratch_dir(stg.sparkSession, "stg-dirty")
     write_staging(stg, path)
-    back = read_staging(stg.sparkSession, path, "transactions")
+    return read_staging(stg.sparkSession, path, "transactions")
+
+
+def load_dirty_staging(star: Star) -> DataFrame:
+    """Transactions loaded from staging text with dirty cells."""
     customers = star["dim_customers"].select("customer_id", "customer_key")
-    return present(load_fact_transactions(back, customers, star["dim_product"]))
+    return present(load_fact_transactions(dirty_staging(star), customers, star["dim_product"]))
 
 
 def _counts(frames: list[tuple[str, DataFrame]], out: str) -> DataFrame:

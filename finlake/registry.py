@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from finlake.plans import churn, profitability, quality, revenue, warehouse
+from finlake.plans import churn, ingest, profitability, quality, revenue, warehouse
 
 # name -> (plan, source): source "star" = clean star, "defects" = planted-
 # defect star, "raw" = plan takes (spark, sf_dir) itself
@@ -46,6 +46,8 @@ _reg(warehouse, ["load_stg_customers", "load_stg_transactions", "load_stg_churn"
                  "load_write_read_back", "load_dirty_staging"],
      attr={n: f"q_{n}" for n in ["load_dim_customers", "load_fact_transactions", "load_fact_churn",
                                  "load_fact_budget"]})
+_reg(ingest, ["load_keyed_appends", "load_quarantine", "load_fault_counts", "load_whole_rows", "load_reload_changes",
+              "load_label_spelling"])
 _reg(warehouse, ["check_constraints"], defects=True)
 PLANS["load_product_seed"] = (warehouse.load_product_seed, "raw")
 
@@ -72,11 +74,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     from finlake.oracle import churn as o_chn
+    from finlake.oracle import ingest as o_ing
     from finlake.oracle import profitability as o_prf
     from finlake.oracle import quality as o_dq
     from finlake.oracle import warehouse as o_wh
     from finlake.oracle import revenue as o_rev
     out: dict[str, str] = {}
-    for mod in (o_rev, o_chn, o_prf, o_dq, o_wh):
+    for mod in (o_rev, o_chn, o_prf, o_dq, o_wh, o_ing):
         out.update(mod.Q)
     return {k: v for k, v in out.items() if k in PLANS}

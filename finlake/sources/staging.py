@@ -67,6 +67,18 @@ def write_table(df: DataFrame, path: str, name: str | None = None,
     w.parquet(path)
 
 
+def append_keyed(df: DataFrame, path: str, name: str, key: str, **how) -> None:
+    """Appends rows to a warehouse table, each with a key of its own that
+    follows the largest one there; one load runs at a time."""
+    from finlake.operators.keys import with_stored_keys
+    spark = df.sparkSession
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    last = None
+    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        last = spark.read.parquet(path).agg(F.max(key)).first()[0]  # reads one column
+    write_table(with_stored_keys(df, key, last or 0), path, name, mode="append", **how)
+
+
 def read_table(spark: SparkSession, path: str, name: str | None = None, audit: bool = False) -> DataFrame:
     """A warehouse table in full.  With its name, the columns have their
     declared types (a partition column is not guessed from folder names);
