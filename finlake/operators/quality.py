@@ -33,6 +33,20 @@ def duplicate_keys(df: DataFrame, keys: list[str], out: str = "occurrences") ->
             .filter(F.col(out) > 1))
 
 
+def duplicate_key_count(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row, ``duplicates``: how many keys occur more than once.
+
+    Keys that are one number are counted as they are.  Others are screened by
+    a 64-bit hash: 16 bytes a key go through the shuffle, combined by task, and
+    only rows whose hash occurs more than once are counted by the key itself."""
+    if len(keys) == 1 and df.schema[keys[0]].dataType.typeName() in ("byte", "short", "integer", "long"):
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).agg(F.count_if(F.col("__n") > 1).alias("duplicates"))
+    hashed = df.select(*keys, F.xxhash64(*keys).alias("__h"))
+    twice = hashed.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__h")
+    exact = hashed.join(twice, "__h", "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return exact.agg(F.count_if(F.col("__n") > 1).alias("duplicates"))
+
+
 def orphans(fact: DataFrame, fk: str, dim: DataFrame, dk: str, out: str) -> DataFrame:
     """One row: rows of ``fact`` whose ``fk`` matches no ``dim.dk``."""
     d = dim.select(F.col(dk).alias("__dk")).distinct()

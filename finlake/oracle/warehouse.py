@@ -5,33 +5,119 @@ from __future__ import annotations
 
 from finlake.oracle.prelude import sql
 
-# ---- fixed values: columns in order; i INTEGER, l BIGINT, d DOUBLE, s as it is ----
+# ---- fixed values: columns in order, with the type that is shown (None: as it is) ----
 _COLUMNS = {
-    "dim_date":
-        "date_key:i full_date:s day_of_week:i day_name:s day_of_month:i day_of_year:i week_of_year:i "
-        "month_num:i month_name:s month_short:s fiscal_month_label:s quarter_num:i quarter_label:s "
-        "fiscal_year:i fiscal_year_quarter:s is_weekend:i is_month_end:i is_quarter_end:i is_year_end:i ",
-    "dim_customers":
-        "customer_key:i customer_id:s company_name:s plan:s segment:s industry:s region:s "
-        "acquisition_date:s acquisition_channel:s mrr_inr:d arr_inr:d contract_length_months:i "
-        "health_score:d health_status:s csm_owner:s nps_score:i last_login_days_ago:i "
-        "avg_monthly_logins:d support_tickets_90d:i expected_cltv_months:i is_active:i ",
-    "dim_product":
-        "product_key:i product_line:s category:s is_recurring:i cogs_pct_std:d product_group:s ",
-    "fact_transactions":
-        "transaction_key:l transaction_id:s invoice_id:s customer_key:i product_key:i date_key:i "
-        "fiscal_year:i fiscal_quarter:s fiscal_month:s region:s segment:s plan:s payment_status:s "
-        "revenue_inr:d cogs_inr:d gross_profit_inr:d gross_margin_pct:d ",
-    "fact_churn":
-        "churn_key:l customer_key:i acquisition_date_key:i churn_date_key:i plan:s segment:s region:s "
-        "churn_reason:s churn_type:s was_escalated:i exit_survey_completed:i win_back_eligible:i "
-        "days_to_churn:i mrr_at_churn_inr:d arr_at_churn_inr:d revenue_recognized_inr:d "
-        "last_health_score:d support_tickets_90d:i ",
-    "fact_budget_vs_actual":
-        "bva_key:l date_key:i fiscal_year:i fiscal_quarter:s month_label:s department:s "
-        "budgeted_revenue_inr:d actual_revenue_inr:d revenue_variance_inr:d revenue_variance_pct:d "
-        "budgeted_opex_inr:d actual_opex_inr:d opex_variance_inr:d opex_variance_pct:d "
-        "budgeted_ebitda_inr:d actual_ebitda_inr:d headcount_budget:i headcount_actual:i ",
+    "dim_date": {
+        "date_key": "INTEGER",
+        "full_date": None,
+        "day_of_week": "INTEGER",
+        "day_name": None,
+        "day_of_month": "INTEGER",
+        "day_of_year": "INTEGER",
+        "week_of_year": "INTEGER",
+        "month_num": "INTEGER",
+        "month_name": None,
+        "month_short": None,
+        "fiscal_month_label": None,
+        "quarter_num": "INTEGER",
+        "quarter_label": None,
+        "fiscal_year": "INTEGER",
+        "fiscal_year_quarter": None,
+        "is_weekend": "INTEGER",
+        "is_month_end": "INTEGER",
+        "is_quarter_end": "INTEGER",
+        "is_year_end": "INTEGER",
+    },
+    "dim_customers": {
+        "customer_key": "INTEGER",
+        "customer_id": None,
+        "company_name": None,
+        "plan": None,
+        "segment": None,
+        "industry": None,
+        "region": None,
+        "acquisition_date": None,
+        "acquisition_channel": None,
+        "mrr_inr": "DOUBLE",
+        "arr_inr": "DOUBLE",
+        "contract_length_months": "INTEGER",
+        "health_score": "DOUBLE",
+        "health_status": None,
+        "csm_owner": None,
+        "nps_score": "INTEGER",
+        "last_login_days_ago": "INTEGER",
+        "avg_monthly_logins": "DOUBLE",
+        "support_tickets_90d": "INTEGER",
+        "expected_cltv_months": "INTEGER",
+        "is_active": "INTEGER",
+    },
+    "dim_product": {
+        "product_key": "INTEGER",
+        "product_line": None,
+        "category": None,
+        "is_recurring": "INTEGER",
+        "cogs_pct_std": "DOUBLE",
+        "product_group": None,
+    },
+    "fact_transactions": {
+        "transaction_key": "BIGINT",
+        "transaction_id": None,
+        "invoice_id": None,
+        "customer_key": "INTEGER",
+        "product_key": "INTEGER",
+        "date_key": "INTEGER",
+        "fiscal_year": "INTEGER",
+        "fiscal_quarter": None,
+        "fiscal_month": None,
+        "region": None,
+        "segment": None,
+        "plan": None,
+        "payment_status": None,
+        "revenue_inr": "DOUBLE",
+        "cogs_inr": "DOUBLE",
+        "gross_profit_inr": "DOUBLE",
+        "gross_margin_pct": "DOUBLE",
+    },
+    "fact_churn": {
+        "churn_key": "BIGINT",
+        "customer_key": "INTEGER",
+        "acquisition_date_key": "INTEGER",
+        "churn_date_key": "INTEGER",
+        "plan": None,
+        "segment": None,
+        "region": None,
+        "churn_reason": None,
+        "churn_type": None,
+        "was_escalated": "INTEGER",
+        "exit_survey_completed": "INTEGER",
+        "win_back_eligible": "INTEGER",
+        "days_to_churn": "INTEGER",
+        "mrr_at_churn_inr": "DOUBLE",
+        "arr_at_churn_inr": "DOUBLE",
+        "revenue_recognized_inr": "DOUBLE",
+        "last_health_score": "DOUBLE",
+        "support_tickets_90d": "INTEGER",
+    },
+    "fact_budget_vs_actual": {
+        "bva_key": "BIGINT",
+        "date_key": "INTEGER",
+        "fiscal_year": "INTEGER",
+        "fiscal_quarter": None,
+        "month_label": None,
+        "department": None,
+        "budgeted_revenue_inr": "DOUBLE",
+        "actual_revenue_inr": "DOUBLE",
+        "revenue_variance_inr": "DOUBLE",
+        "revenue_variance_pct": "DOUBLE",
+        "budgeted_opex_inr": "DOUBLE",
+        "actual_opex_inr": "DOUBLE",
+        "opex_variance_inr": "DOUBLE",
+        "opex_variance_pct": "DOUBLE",
+        "budgeted_ebitda_inr": "DOUBLE",
+        "actual_ebitda_inr": "DOUBLE",
+        "headcount_budget": "INTEGER",
+        "headcount_actual": "INTEGER",
+    },
 }
 _KEYS_ONLY = {"transaction_key", "churn_key", "bva_key"}  # surrogate keys, left out of loads
 
@@ -47,20 +133,54 @@ _DESCRIPTIONS = {
 
 # ---- fixed values: enum domains, lengths of texts, keys and references ----
 _DOMAINS = {
-    ("dim_customers", "plan"): "Starter|Growth|Business|Enterprise",
-    ("dim_customers", "segment"): "SMB|Mid-Market|Enterprise",
-    ("dim_customers", "region"): "North|South|East|West|Central",
-    ("dim_customers", "health_status"): "Healthy|At Risk|Critical",
-    ("fact_transactions", "payment_status"): "Paid|Pending|Overdue",
-    ("fact_churn", "churn_type"): "Voluntary|Involuntary",
+    ("dim_customers", "plan"): ["Starter", "Growth", "Business", "Enterprise"],
+    ("dim_customers", "segment"): ["SMB", "Mid-Market", "Enterprise"],
+    ("dim_customers", "region"): ["North", "South", "East", "West", "Central"],
+    ("dim_customers", "health_status"): ["Healthy", "At Risk", "Critical"],
+    ("fact_transactions", "payment_status"): ["Paid", "Pending", "Overdue"],
+    ("fact_churn", "churn_type"): ["Voluntary", "Involuntary"],
 }
 _LENGTHS = {
-    "dim_date": "day_name:10 month_name:10 month_short:3 fiscal_month_label:10 quarter_label:2 fiscal_year_quarter:7",
-    "dim_customers": "customer_id:12 company_name:150 industry:50 acquisition_channel:30 csm_owner:100",
-    "dim_product": "product_line:30 category:30 product_group:30",
-    "fact_transactions": "transaction_id:12 invoice_id:12 fiscal_quarter:2 fiscal_month:10 region:10 segment:15 plan:12",
-    "fact_churn": "plan:12 segment:15 region:10 churn_reason:30",
-    "fact_budget_vs_actual": "fiscal_quarter:2 month_label:10 department:30",
+    "dim_date": {
+        "day_name": 10,
+        "month_name": 10,
+        "month_short": 3,
+        "fiscal_month_label": 10,
+        "quarter_label": 2,
+        "fiscal_year_quarter": 7,
+    },
+    "dim_customers": {
+        "customer_id": 12,
+        "company_name": 150,
+        "industry": 50,
+        "acquisition_channel": 30,
+        "csm_owner": 100,
+    },
+    "dim_product": {
+        "product_line": 30,
+        "category": 30,
+        "product_group": 30,
+    },
+    "fact_transactions": {
+        "transaction_id": 12,
+        "invoice_id": 12,
+        "fiscal_quarter": 2,
+        "fiscal_month": 10,
+        "region": 10,
+        "segment": 15,
+        "plan": 12,
+    },
+    "fact_churn": {
+        "plan": 12,
+        "segment": 15,
+        "region": 10,
+        "churn_reason": 30,
+    },
+    "fact_budget_vs_actual": {
+        "fiscal_quarter": 2,
+        "month_label": 10,
+        "department": 30,
+    },
 }
 _NATURAL = {
     "dim_date": "date_key",
@@ -92,9 +212,9 @@ _REFERENCES = [
 
 def _present(table: str, alias: str = "", skip=(), override: dict | None = None) -> str:
     """Output types: small integers as INTEGER, decimals as DOUBLE."""
-    to = {"i": "CAST({} AS INTEGER)", "l": "CAST({} AS BIGINT)", "d": "CAST({} AS DOUBLE)", "s": "{}"}
-    cols = [c.split(":") for c in _COLUMNS[table].split() if c.split(":")[0] not in skip]
-    return ", ".join(f"{to[k].format((override or {}).get(c, alias + c))} AS {c}" for c, k in cols)
+    said = {c: (override or {}).get(c, alias + c) for c in _COLUMNS[table] if c not in skip}
+    kind = _COLUMNS[table]
+    return ", ".join(f"CAST({x} AS {kind[c]}) AS {c}" if kind[c] else f"{x} AS {c}" for c, x in said.items())
 
 
 Q = {}
@@ -151,18 +271,16 @@ def _repeated(table: str, key: str) -> str:
 def _constraints() -> str:
     parts = []
     for t, columns in _COLUMNS.items():
-        for c in columns.split():
-            c = c.split(":")[0]
+        for c in columns:
             if c not in _KEYS_ONLY:
                 parts.append(_rule(t, f"not_null:{c}", f"SELECT COUNT(*) FROM {t} WHERE {c} IS NULL"))
-        for c in _LENGTHS[t].split():
-            c, n = c.split(":")
+        for c, n in _LENGTHS[t].items():
             parts.append(_rule(t, f"length:{c}", f"SELECT COUNT(*) FROM {t} WHERE length({c}) > {n}"))
         parts.append(_rule(t, f"unique:{_NATURAL[t]}", _repeated(t, _NATURAL[t])))
         name, columns = _PRIMARY[t]
         parts.append(_rule(t, f"primary:{name}", _repeated(t, columns)))
     for (t, c), names in _DOMAINS.items():
-        parts.append(_rule(t, f"enum:{c}", f"SELECT COUNT(*) FROM {t} WHERE NOT list_contains(string_split('{names}', '|'), {c})"))
+        parts.append(_rule(t, f"enum:{c}", f"SELECT COUNT(*) FROM {t} WHERE NOT list_contains({names}, {c})"))
     for t, c, dim, key in _REFERENCES:
         source = "dim_date_loaded" if dim == "dim_date" else dim
         parts.append(_rule(t, f"fk:{c}->{dim}.{key}", f"SELECT COUNT(*) FROM {t} f WHERE NOT EXISTS (FROM {source} d WHERE d.{key} = f.{c})"))

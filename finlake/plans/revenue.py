@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from finlake.functions.exact import out_double, pct, quotient
+from finlake.operators.histogram import tile_sums
 from finlake.operators.ranking import with_prefix_sum
 from finlake.operators.windows import lag_growth_pct, moving_avg, running_total, with_share
 from finlake.plans._common import Star, dates, dbl_avg, dbl_sum, n_distinct, n_rows, products
@@ -107,18 +108,17 @@ def rev_mrr_segment_region(star: Star) -> DataFrame:
 def rev_mrr_pareto(star: Star, quantiles: int = 5) -> DataFrame:
     """MRR concentration by quintile of active customers ranked by MRR.
 
-    One distributed ordering (not a single-partition window) yields both the
-    NTILE and the total that shares refer to."""
-    c = _active(star).select("customer_id", "mrr_inr")
-    ranked = with_prefix_sum(c, [F.col("mrr_inr").desc(), F.col("customer_id").asc()], "mrr_inr", out="_run",
-                             total="_mrr_total", ntile=(quantiles, "quintile"))
-    ranked = ranked.withColumn("mrr_share_pct", pct("mrr_inr", "_mrr_total", 4).cast(D(12, 4)))
-    g = (ranked.groupBy("quintile")
-         .agg(n_rows("customers_in_quintile"), F.sum("mrr_inr").alias("_mrr"),
-              dbl_avg("mrr_share_pct", "avg_mrr_share_pct", 4)))
+    Everything shown depends on how often each MRR occurs, so the quintiles
+    are cut from a value histogram (``operators.histogram``): no customer is
+    ordered, and nothing runs before the action."""
+    share = "cast(round(try_divide(cast(v AS decimal(38,2)), cast(total AS decimal(38,2))) * 100, 4) AS decimal(12,4))"
+    g = tile_sums(_active(star), "mrr_inr", quantiles, {
+        "_mrr": "v", "_share": share, "_known": "cast(if(v IS NULL, 0, 1) AS decimal(1,0))"})
+    # AVG of DECIMAL(12,4) keeps 8 digits
+    mean = F.round(F.try_divide(F.col("_share").cast(D(20, 4)), F.col("_known").cast(D(12, 0))), 8)
     g = with_share(g, "_mrr", "_q")
-    return g.select("quintile", "customers_in_quintile",
-                    out_double(F.round("_mrr", 0)).alias("total_mrr"), "avg_mrr_share_pct",
+    return g.select(F.col("tile").alias("quintile"), F.col("n").alias("customers_in_quintile"),
+                    out_double(F.round("_mrr", 0)).alias("total_mrr"), out_double(F.round(mean, 4)).alias("avg_mrr_share_pct"),
                     out_double("_q").alias("quintile_mrr_pct")).orderBy("quintile")
 
 

@@ -20,7 +20,7 @@ from finlake.functions.parse import clean_text
 from finlake.operators import cells
 from finlake.operators.cells import Cell
 from finlake.operators.keys import with_stored_keys, with_surrogate_key
-from finlake.operators.quality import domain_violations
+from finlake.operators.quality import duplicate_key_count
 from finlake.operators.spelling import collated, learn, unify
 from finlake.schemas import (CHURN_TYPES, ENUM_DOMAINS, FOREIGN_KEYS, HEALTH_STATUSES, PAYMENT_STATUSES,
                              PLANS, PRIMARY_KEYS, REGIONS, SEGMENTS, TEXT_LENGTHS, UNIQUE_KEYS, WAREHOUSE)
@@ -517,51 +517,42 @@ def not_null_columns(table: str, df: DataFrame) -> list[str]:
 
 
 def check_constraints(star: Star) -> DataFrame:
-    """Declared constraints as jobs, each table read once: NOT NULL, enum
-    domains, text lengths, foreign keys (orphan rows) and the uniqueness of the
-    natural and the primary key.
-
-    The rules are flags on the rows (referenced keys are left-joined once);
-    one aggregation with a grouping set per key counts rows and flags, and a second one sums
-    them and counts the keys that occur twice or more."""
+    """Declared constraints as jobs: NOT NULL, enum domains, text lengths,
+    foreign keys (orphan rows) and the uniqueness of the natural and the
+    primary key.
+
+    The rules of a table are flags on its rows (referenced keys are left-joined
+    once), counted by one aggregation without a key, so no row is shuffled for
+    them.  Keys are read on their own and screened by a hash
+    (``duplicate_key_count``)."""
     parts: list[DataFrame] = []
     for t in TABLE_ORDER:
         df = star[t]
-        rules = {f"not_null:{c}": F.col(c).isNull() for c in not_null_columns(t, df)}
+        rules = {f"not_null:{c}": f"`{c}` IS NULL" for c in not_null_columns(t, df)}
         for c, dom in ENUM_DOMAINS.get(t, {}).items():
-            rules[f"enum:{c}"] = domain_violations(df, c, dom)
-        for c, n in TEXT_LENGTHS[t].items():
-            rules[f"length:{c}"] = F.length(c) > n
+            rules[f"enum:{c}"] = f"`{c}` NOT IN ({', '.join(repr(v) for v in dom)})"
+        rules |= {f"length:{c}": f"length(`{c}`) > {n}" for c, n in TEXT_LENGTHS[t].items()}
         j = df
         for i, ((tt, c), (dt, dc)) in enumerate(FOREIGN_KEYS.items()):
             if tt != t:
                 continue
-            k = f"__fk{i}"
             dim = star.get("dim_date_loaded", star["dim_date"]) if dt == "dim_date" else star[dt]
-            d = dim.select(F.col(dc).alias(k)).distinct()
-            j = j.join(d, j[c] == d[k], "left")
-            rules[f"fk:{c}->{dt}.{dc}"] = F.col(k).isNull()
+            d = dim.select(F.col(dc).alias(f"__fk{i}")).distinct()
+            j = j.join(d, j[c] == d[f"__fk{i}"], "left")
+            rules[f"fk:{c}->{dt}.{dc}"] = f"__fk{i} IS NULL"
         natural, primary = UNIQUE_KEYS[t], PRIMARY_KEYS[t]
-        names = {r: f"_r{i}" for i, r in enumerate(rules)}
-        cols = list(dict.fromkeys([*natural, primary]))
-        flags = j.select(*cols, *[p.alias(names[r]) for r, p in rules.items()])
-        counted = [F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(n)).alias(n) for n in names.values()]]
-        if natural == [primary]:
-            keyed = flags.groupBy(primary).agg(F.lit(0).alias("_set"), *counted)
-            by_natural = by_primary = F.lit(True)
-        else:
-            keyed = flags.groupingSets([[F.col(c) for c in natural], [F.col(primary)]], *cols).agg(
-                F.grouping_id().alias("_set"), *counted)
-            by_natural = F.col("_set") == 1  # the natural key comes first, so only the last bit is set
-            by_primary = ~by_natural
-        total = keyed.agg(*[F.sum(F.when(by_natural, F.col(n))).alias(n) for n in names.values()],
-                          F.count_if(by_natural & (F.col("_n") > 1)).alias("_natural"),
-                          F.count_if(by_primary & (F.col("_n") > 1)).alias("_primary"))
-        said = [(r, F.col(n)) for r, n in names.items()]
-        said += [(f"unique:{','.join(natural)}", F.col("_natural")), (f"primary:{primary}", F.col("_primary"))]
-        rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.coalesce(v, F.lit(0)).cast("long").alias("violations"))
-                                   for r, v in said]))
-        parts.append(total.select(rows.alias("r")).select(F.lit(t).alias("table_name"), "r.rule", "r.violations"))
+        total = j.selectExpr(*[f"count_if({p}) AS _r{i}" for i, p in enumerate(rules.values())])
+        said = [(r, f"_r{i}") for i, r in enumerate(rules)]
+        for keys, rule in ((natural, f"unique:{','.join(natural)}"), ([primary], f"primary:{primary}")):
+            counted = f"_n{len(said)}"
+            if keys == natural or natural != [primary]:
+                total = total.crossJoin(duplicate_key_count(df, keys).withColumnRenamed("duplicates", counted))  # one row each
+            else:
+                counted = said[-1][1]
+            said.append((rule, counted))
+        rows = ", ".join(f"'{r}', {n}" for r, n in said)
+        parts.append(total.selectExpr(f"stack({len(said)}, {rows}) AS (rule, violations)")
+                     .selectExpr(f"'{t}' AS table_name", "rule", "violations"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -23,3 +23,14 @@ def test_top_k_through_join_matches_plain(spark, seed, k):
     got = [tuple(r) for r in top_k_through_join(fact, "v", k, join, order).collect()]
     want = [tuple(r) for r in join(fact).orderBy(*order).limit(k).collect()]
     assert got == want
+
+
+def test_margin_used_up_reads_the_rest(spark):
+    """The join drops every row of the head: the whole fact decides."""
+    fact = spark.range(300).selectExpr("id", "case when id % 50 = 49 then null else id div 2 end as v")
+    dim = spark.range(40).withColumnRenamed("id", "key")
+    order = [F.col("v").desc_nulls_last(), F.col("id")]
+    for margin in (0, 5, 1000):
+        got = top_k_through_join(fact, "v", 5, lambda f: f.join(dim, f["id"] == dim["key"]), order, margin=margin).collect()
+        want = fact.join(dim, fact["id"] == dim["key"]).orderBy(*order).limit(5).collect()
+        assert got == want
