@@ -27,7 +27,7 @@ from finlake.llm import text as T
 from finlake.session import scratch_dir
 
 SIZE = 1024
-#: words whose ids a task remembers; a full memory is emptied (results do not change)
+#: words whose ids a worker process remembers; a full memory is emptied (results do not change)
 CACHE_WORDS = 700_000
 
 
@@ -45,12 +45,14 @@ class _Ids:
     place, so the ids of the parts, each encoded once, make up the text's.  Nor does one
     cross from a letter to a sign or hold a single line break and its neighbours, so a
     new word with signs at its end or with a line break is made of its pieces.  New
-    pieces are encoded many at a time, told apart by the space or line break before each."""
+    pieces are encoded many at a time, told apart by the space or line break before each.
+    A text that holds the string of a special token is encoded as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special)) if special else None
         self.known: dict[str, bytes] = {}  # part after its space -> ids, space included
         self.signs: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
@@ -62,6 +64,14 @@ class _Ids:
         self.broken[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if self.special:
+            whole = [bool(self.special.search(t)) for t in texts]
+            if any(whole):
+                plain = iter(self._encode([t for t, w in zip(texts, whole) if not w]))
+                return [self._each([t])[0] if w else next(plain) for t, w in zip(texts, whole)]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         parts = [re.split(r" (?=\S)", t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
         heads = self._each([p.pop(0) for p in parts])
         new = set().union(*parts).difference(self.known)
@@ -124,11 +134,22 @@ class _Ids:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+_IDS: dict[str, _Ids] = {}
+
+
+def _ids(path: str) -> _Ids:
+    """The ids of a tokenizer file, made once per worker process."""
+    if path not in _IDS:
+        _IDS.clear()
+        _IDS[path] = _Ids(path)
+    return _IDS[path]
+
+
 def _pieces(path: str, size: int, end_id: int):
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, part = _Ids(path), TaskContext.get().partitionId()
+        ids, part = _ids(path), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         end = np.array([end_id], "<u4").tobytes()
         for chunk in T.chunks(batches):
