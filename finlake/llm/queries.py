@@ -21,6 +21,7 @@ from finlake.llm import (bpe_trie, chat, decontam, langid, lexical_search, ngram
 TOKENIZERS = os.environ.get("FINLAKE_TOKENIZERS")
 
 _LABEL_SALTS = 16
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,6 +152,9 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(name)
     sc._finlake_shipped = True
+    # texts are long: smaller Arrow batches than by default, where none were chosen
+    if spark.conf.get(_BATCH, None) == "67108864b":
+        spark.conf.set(_BATCH, "8m")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
