@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from finlake.llm import bloom
 from finlake.llm import text as T
@@ -352,10 +351,10 @@ def verified_links(keyed: DataFrame, points: DataFrame, fetch, percent: int, bas
     holds.  `base` is a fresh folder for tables.
     """
     spark = keyed.sparkSession
-    by_key = Window.partitionBy("key")
-    met = (keyed.withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key),
-                              "size": F.count(F.lit(1)).over(by_key)}).where("low != high").select("node", "key", "size"))
-    met.write.parquet(f"{base}/met")
+    # one exchange by key serves both: the keys are counted as they stream by, and nothing is held per key
+    keyed = keyed.repartition("key")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
+    keyed.join(shared.where("low != high").select("key", "size"), "key").select("node", "key", "size").write.parquet(f"{base}/met")
     met = spark.read.parquet(f"{base}/met")
     here = spark.sparkContext.broadcast(bloom.build(met.select("node").distinct(), "node"))
 
@@ -425,9 +424,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **join) -> DataFrame:
-    """The documents, all columns kept, without those linked with a smaller id;
-    rows equal in all columns count once.  Rows with a NULL id stay."""
-    links = link_documents(docs, id_col, text_col, **join)
-    keep = links.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_kept"), "leftsemi").dropDuplicates()
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents, all columns kept, without those linked with a smaller id,
+    or with a row of the same id whose text has a smaller hash; rows equal in
+    all columns count once, and rows equal in id and text stay or go together.
+    Rows with a NULL id stay.  Columns may have any name."""
+    mark = "_" * (1 + max(map(len, docs.columns)))  # a name no column has
+    row = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(f"`{text_col}`").alias("text"))
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull()).withColumn(mark, row).dropDuplicates()
+    links = link_documents(rows.select(F.col(mark).alias("row"), F.col(f"`{text_col}`").alias("text")), "row", "text", **join)
+    keep = links.where("row = component_id").select(F.col("row").alias(mark)).distinct()
+    return rows.join(keep, mark, "leftsemi").select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

@@ -261,3 +261,19 @@ def test_registered_paragraph_query_has_passages(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = queries.op5_paragraph_dedup(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in rows if r.kind == "passage" and r.kept_id == 15} == {15, 2837}
+
+
+def test_deduplicate_by_row_with_any_column_names(spark):
+    """Repeated ids are told apart by their texts, and no column name clashes."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(0, b), (5, a), (5, b), (6, b), (7, None), (None, b), (5, a)]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id long, text string, _kept string, row string, component_id string")
+    out = ngram_join.deduplicate(df)
+    assert out.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in out.collect() if r.text) == [("0", b), ("5", a), ("None", b)]
+    assert out.where("text is null").count() == 1
+    from finlake.llm import paragraphs
+    df = df.withColumnsRenamed({"_kept": "_gone", "row": "_gone_id"})
+    cut = paragraphs.without_duplicates(df, min_words=5)
+    assert cut.columns == df.columns and cut.count() == len(rows)
+    assert {str(r.doc_id): r.text for r in cut.where("doc_id in (0, 6, 7)").collect()} == {"0": b, "6": "", "7": None}
