@@ -206,7 +206,11 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and ASCII case; columns as in ``duplicate_paragraphs``, `paragraph` being the number
     of the unit's first word in its text.  Units overlap.  Of a longer repeated run up to
     ``window - 1`` words at either end may lie outside of its units.
-    """
+
+    NULL, empty and short texts have no units; very long ones are handled
+    whole.  Repeated rows repeat each other; NULL ids sort last; of equal units
+    the one with the smallest id and place stays.  No documents give no rows.
+    Other columns are left out."""
     if window < 1 or words < ANCHOR:
         raise ValueError(f"needs a window and at least {ANCHOR} words")
     spark = docs.sparkSession
@@ -226,11 +230,17 @@ def duplicate_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents, all columns kept, with the removed paragraphs cut from
     their texts (a paragraph's line break goes with it).  Passages within
-    lines are only reported, by ``duplicate_passages``."""
+    lines are only reported, by ``duplicate_passages``.
+
+    NULL and empty texts stay as they are, repeated rows stay rows, no
+    documents give none, columns may have any name, and of paragraphs that tie
+    the one with the smallest id and line stays.  Rows of one id share their
+    removed lines' numbers."""
+    mark = "_" * (1 + max(map(len, docs.columns)))  # names no column has
     gone = (duplicate_paragraphs(docs, id_col, text_col, **options).where("removed")
-            .groupBy(F.col(id_col).alias("_gone_id")).agg(F.collect_set("paragraph").alias("_gone")))
-    lines = F.split(F.col(text_col), "\n", -1)
-    left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i.cast("long"))), "\n")
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_gone_id"]), "left")
-    return joined.select(*[F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`")
+            .groupBy(F.col(id_col).alias(f"{mark}id")).agg(F.collect_set("paragraph").alias(mark)))
+    text = F.col(f"`{text_col}`")
+    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(mark, i.cast("long"))), "\n")
+    joined = docs.join(gone, docs[f"`{id_col}`"].eqNullSafe(gone[f"{mark}id"]), "left")
+    return joined.select(*[F.when(F.col(mark).isNull(), text).otherwise(left).alias(c) if c == text_col else F.col(f"`{c}`")
                            for c in docs.columns])
