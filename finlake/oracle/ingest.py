@@ -1,6 +1,7 @@
 """Oracle SQL of repeated and faulty loads, stated from the customer's number."""
 from __future__ import annotations
 
+from finlake.oracle import revenue, warehouse
 from finlake.oracle.prelude import sql
 
 Q = {}
@@ -63,3 +64,10 @@ Q["load_label_spelling"] = sql(" UNION ALL ".join([
     _labels("industry", "dim_customers", "customer_key"), _labels("acquisition_channel", "dim_customers", "customer_key"),
     _labels("csm_owner", "dim_customers", "customer_key"), _labels("churn_reason", "fact_churn", "customer_key"),
     _labels("department", "fact_budget_vs_actual", "((date_key // 100) % 100)")]).strip())
+
+Q["rev_distinct_by_sketch"] = sql(" UNION ALL ".join(
+    f"SELECT CAST(fiscal_year AS INTEGER) AS fiscal_year, '{c}' AS column_name, COUNT(DISTINCT {c}) AS distinct_ids, 1 AS within_bound "
+    "FROM fact_transactions GROUP BY fiscal_year" for c in ("transaction_id", "customer_key")))
+# the same rows as the statements that read the tables themselves
+Q["rev_monthly_from_rollup"] = revenue.Q["rev_monthly_ytd_mom"]
+Q["catalog_inventory"] = warehouse.Q["table_inventory"]

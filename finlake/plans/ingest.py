@@ -1,5 +1,6 @@
-"""Registered checks of repeated and faulty loads: appended keys, quarantined
-cells, reloads by key, and labels of several spellings."""
+"""Registered checks of repeated and faulty loads (appended keys, quarantined
+cells, reloads by key, labels of several spellings) and of what is kept beside
+the tables: distinct sketches, partial sums, the catalog."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -7,12 +8,16 @@ from pyspark.sql import functions as F
 
 from finlake.operators import cells
 from finlake.operators.reload import CREATED, UPDATED, reload_table
-from finlake.plans.warehouse import (dirty_staging, learn_spellings, load_dim_customers, load_fact_budget, load_fact_churn,
+from finlake.operators.rollup import read_rollup, refresh_rollup
+from finlake.operators.sketches import exact_counts, merged_estimates, period_sketches
+from finlake.plans.revenue import rev_monthly_ytd_mom
+from finlake.plans.warehouse import (TABLE_DESCRIPTIONS, dirty_staging, learn_spellings, load_dim_customers, load_fact_budget, load_fact_churn,
                                      load_fact_transactions, parse_staging, present, render_budget, render_churn,
                                      render_customers, render_transactions)
 from finlake.schemas import FACT_TRANSACTIONS
 from finlake.session import scratch_dir
-from finlake.sources.staging import append_keyed, read_staging, read_table, write_staging
+from finlake.sources.catalog import inventory, register_star
+from finlake.sources.staging import append_keyed, read_table, write_staging, write_star
 
 Star = dict
 
@@ -115,3 +120,41 @@ def load_label_spelling(star: Star) -> DataFrame:
             one = df.groupBy(F.col(c).alias("label")).agg(F.count(F.lit(1)).alias("rows_loaded")).select(F.lit(c).alias("column_name"), "label", "rows_loaded")
             out = one if out is None else out.unionByName(one)
     return out
+
+
+def rev_distinct_by_sketch(star: Star, bound: float = 0.03) -> DataFrame:
+    """Distinct transactions and customers per year from monthly sketches that
+    were stored and merged: the exact count, and whether the estimate is within
+    `bound` of it (one more is allowed for small counts)."""
+    fact = star["fact_transactions"].withColumn("month", F.floor(F.col("date_key") / 100))
+    spark, ids = fact.sparkSession, ["transaction_id", "customer_key"]
+    path = scratch_dir(spark, "sketches")
+    period_sketches(fact, ["fiscal_year", "month"], ids).write.parquet(path)
+    merged = merged_estimates(spark.read.parquet(path), "fiscal_year")
+    both = exact_counts(fact, ids, "fiscal_year").join(merged, ["fiscal_year", "column_name"])
+    near = F.abs(F.col("estimate") - F.col("exact")) <= F.col("exact") * bound + 1
+    return both.select(F.col("fiscal_year").cast("int").alias("fiscal_year"), "column_name",
+                       F.col("exact").alias("distinct_ids"), near.cast("int").alias("within_bound"))
+
+
+def rev_monthly_from_rollup(star: Star) -> DataFrame:
+    """The monthly revenue report from stored partial sums: odd years are rolled
+    up first, even years appended, and one of the odd years refreshed again."""
+    fact = star["fact_transactions"]
+    spark = fact.sparkSession
+    path = scratch_dir(spark, "rollup")
+    years = [r[0] for r in star["dim_date"].select("fiscal_year").distinct().orderBy("fiscal_year").collect()]  # calendar years
+    odd = [y for y in years if y % 2]
+    for some in (odd, [y for y in years if y % 2 == 0], odd[:1]):
+        refresh_rollup(fact, path, some)
+    return rev_monthly_ytd_mom({**star, "fact_transactions": read_rollup(spark, path)})
+
+
+def catalog_inventory(star: Star) -> DataFrame:
+    """The warehouse written, registered in the session catalog and listed from it."""
+    spark = star["dim_date"].sparkSession
+    root = scratch_dir(spark, "registered")
+    write_star({n: star[n] for n in TABLE_DESCRIPTIONS}, root, files_per_partition=1)
+    database = "finlake_" + root.rsplit("-", 1)[1]
+    register_star(spark, root, database, TABLE_DESCRIPTIONS)
+    return inventory(spark, database)

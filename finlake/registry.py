@@ -47,7 +47,7 @@ _reg(warehouse, ["load_stg_customers", "load_stg_transactions", "load_stg_churn"
      attr={n: f"q_{n}" for n in ["load_dim_customers", "load_fact_transactions", "load_fact_churn",
                                  "load_fact_budget"]})
 _reg(ingest, ["load_keyed_appends", "load_quarantine", "load_fault_counts", "load_whole_rows", "load_reload_changes",
-              "load_label_spelling"])
+              "load_label_spelling", "rev_distinct_by_sketch", "rev_monthly_from_rollup", "catalog_inventory"])
 _reg(warehouse, ["check_constraints"], defects=True)
 PLANS["load_product_seed"] = (warehouse.load_product_seed, "raw")
 
