@@ -279,21 +279,15 @@ class TrieEncoder:
             return " ".join(self.names[i] for i in numbers if i in self.names)
 
 
-_ENCODERS: dict[str, TrieEncoder] = {}
-
-
 def encoder(path: str) -> TrieEncoder:
-    """The encoder of a file, made once per process."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = TrieEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of a file, made once per worker process."""
+    return T.held(f"trie {path}", lambda: TrieEncoder(path))
 
 
 def _encode(path: str):
     def run(batches):
         e = encoder(path)
-        for c in T.chunks(batches):
+        for c in T.chunks(batches, uses=f"trie {path}"):
             ids = e.encode([t or "" for t in c.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([c.column("id"), pa.array(ids, pa.binary())], ["id", "ids"])
     return run
@@ -302,7 +296,7 @@ def _encode(path: str):
 def _decode(path: str):
     def run(batches):
         e = encoder(path)
-        for c in T.chunks(batches, "ids"):
+        for c in T.chunks(batches, "ids", uses=f"trie {path}"):
             said = [None if i is None else e.decode(i) for i in c.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([c.column("id"), c.column("ids"), pa.array(said, pa.string())], ["id", "ids", "text"])
     return run

@@ -134,25 +134,14 @@ class _Ids:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-_IDS: dict[str, _Ids] = {}
-
-
-def _ids(path: str) -> _Ids:
-    """The ids of a tokenizer file, made once per worker process."""
-    if path not in _IDS:
-        _IDS.clear()
-        _IDS[path] = _Ids(path)
-    return _IDS[path]
-
-
 def _pieces(path: str, size: int, end_id: int):
     def run(batches):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, part = _ids(path), TaskContext.get().partitionId()
+        ids, part = T.held(f"ids {path}", lambda: _Ids(path)), TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         end = np.array([end_id], "<u4").tobytes()
-        for chunk in T.chunks(batches):
+        for chunk in T.chunks(batches, uses=f"ids {path}"):
             doc, start, length, crc, total, rank = [], [], [], [], [], []
             for i, raw in enumerate(ids.encode([t or "" for t in chunk.column("text").to_pylist()])):
                 raw += end

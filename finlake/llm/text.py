@@ -6,7 +6,7 @@ and not the number of rows.  NULL texts count as empty ones.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +20,24 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_2 = 0xD1B54A32D192ED03 | 1
 
 
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]):
+    """What `make` gives, kept in this worker process for its next tasks until
+    one that does not use `key` goes through `chunks`: one thing at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text",
-           size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches with about `size` bytes of text each."""
+           size: int = CHUNK_BYTES, uses: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `size` bytes of text each; `uses` is the
+    key of what the task has `held`."""
+    if uses not in _HELD:
+        _HELD.clear()
     for batch in batches:
         if batch.num_rows == 0:
             continue
