@@ -5,11 +5,14 @@ labelled good documents: for a stratum and rule, a fixed grid is walked from
 the mildest value to the strictest while the exact (Clopper-Pearson) upper
 bound of the share of good documents beyond the value stays at or under
 `risk`; the last such value is the cutoff.  The walk is fixed-sequence testing, which needs no
-correction for the grid; the error probability `delta` is divided by the
-number of strata and rules (Bonferroni).  So with probability 1 - delta no
-stratum loses more than `risk` of its good documents to any rule.  Where the
-labels are too few to show that for the mildest value, the rule rejects
-nothing in that stratum.
+correction for the grid; the error probability `delta` is divided among
+strata and rules by Holm's method: a walk that reaches the strictest value
+passes its share on to the others.  So with probability 1 - delta no
+stratum loses more than `risk` of its good documents to any rule.  Strata with
+too few good labels to show that for any value, even without a single one beyond it,
+are pooled into one; which ones depends on the numbers of labels alone, so the bound
+stays exact, but for them it holds of the pool and not of each.  Where the
+pool's labels are too few as well, the rules reject nothing there.
 
 The labelled counts are sums by (stratum, rule, grid point), made by Spark; the driver sees
 one small row per stratum, so strata must be few (languages, not sources of
@@ -119,14 +122,40 @@ def safe(k: int, n: int, risk: float, delta: float) -> bool:
     return float(np.exp(logs).sum()) <= delta
 
 
+def pool_of(sizes: dict[str, int], risk: float, delta: float) -> list[list[str]]:
+    """Strata by number of good labels -> groups that get cutoffs together: those
+    too small for any cutoff of their own are one group, the last."""
+    least = math.log(delta / max(1, len(sizes) * len(RULES))) / math.log1p(-risk)
+    thin = sorted(s for s, n in sizes.items() if n < least)
+    return [[s] for s in sorted(sizes) if s not in thin] + ([thin] if thin else [])
+
+
+def walk(beyond: dict[tuple, list[int]], n: dict[tuple, int], risk: float, delta: float) -> dict[tuple, float | None]:
+    """Cutoffs by walk.  `beyond` has, for each walk, the good documents beyond
+    each grid value, and `n` all its good documents."""
+    at, open_ = dict.fromkeys(beyond, len(GRID)), set(beyond)
+    while open_:
+        share = delta / len(open_)
+        for w in open_:
+            while at[w] and safe(beyond[w][at[w] - 1], n[w], risk, share):
+                at[w] -= 1
+        ended = {w for w in open_ if not at[w]}
+        if not ended:
+            break
+        open_ -= ended
+    return {w: GRID[i] if i < len(GRID) else None for w, i in at.items()}
+
+
 def fit_cutoffs(signal: DataFrame, labels: DataFrame, id_col: str = "doc_id", quality_col: str = "quality",
                 risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """Cutoffs by stratum: columns stratum, then one per rule (a share, or NULL:
-    the rule rejects nothing there).
+    """Cutoffs by stratum: columns stratum, pooled (whether it shares its cutoffs
+    with other strata), n (good labels they rest on), then one per rule (a
+    share, or NULL: the rule rejects nothing there).
 
     `labels` with quality 1 are the good holdout; other values and NULL are not
     used.  Several labels of a document count once, and as good only if all
     are 1.  Documents that fail the base rules are no evidence: they go anyway.
+    A stratum without good labels has no row.
     """
     good = (labels.where(F.col(id_col).isNotNull() & F.col(quality_col).isNotNull())
             .groupBy(F.col(id_col).alias("_id")).agg(F.min((F.col(quality_col) == 1).cast("int")).alias("_good"))
@@ -135,20 +164,14 @@ def fit_cutoffs(signal: DataFrame, labels: DataFrame, id_col: str = "doc_id", qu
             .select("stratum", *[F.expr(v).alias(r) for r, v in RULES.items()]))
     beyond = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[
         F.sum((F.col(r) > g).cast("long")).alias(f"{r}_{i}") for r in RULES for i, g in enumerate(GRID)])
-    rows = beyond.collect()  # one row per stratum
-    share = delta / max(1, len(rows) * len(RULES))
-    out = []
-    for row in rows:
-        cut = []
-        for r in RULES:
-            best = None
-            for i in range(len(GRID) - 1, -1, -1):
-                if not safe(row[f"{r}_{i}"], row["n"], risk, share):
-                    break
-                best = GRID[i]
-            cut.append(best)
-        out.append((row["stratum"], *cut))
-    schema = "stratum string, " + ", ".join(f"{r} double" for r in RULES)
+    rows = {r["stratum"]: r for r in beyond.collect()}  # one row per stratum
+    groups = pool_of({s: r["n"] for s, r in rows.items()}, risk, delta)
+    size = {g: sum(rows[s]["n"] for s in group) for g, group in enumerate(groups)}
+    cut = walk({(g, r): [sum(rows[s][f"{r}_{i}"] for s in group) for i in range(len(GRID))]
+                for g, group in enumerate(groups) for r in RULES},
+               {(g, r): n for g, n in size.items() for r in RULES}, risk, delta)
+    out = [(s, len(group) > 1, size[g], *[cut[g, r] for r in RULES]) for g, group in enumerate(groups) for s in group]
+    schema = "stratum string, pooled boolean, n long, " + ", ".join(f"{r} double" for r in RULES)
     return signal.sparkSession.createDataFrame(out, schema)
 
 
@@ -159,7 +182,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     of the rules beyond their cutoff) and kept.
 
     NULL and empty texts have no words and fail the base rules.  A NULL
-    stratum is a stratum of its own; a stratum without labelled documents rejects by
+    stratum is a stratum like others; a stratum without good labels rejects by
     the base rules only.  Repeated rows are judged one by one; other columns
     are left out.
     """

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -208,6 +209,76 @@ def test_rules_reject_junk_and_keep_good(spark):
     assert rules.judge(docs, labels.limit(0)).where("kept").count() == 951
 
 
+def plain_cutoffs(good, delta=rules.DELTA, risk=rules.RISK):
+    """Cutoffs by (stratum, rule) from [(stratum, shares by rule)], each bound summed up in exact fractions."""
+    def bounded(k, n, share):
+        p = Fraction(str(risk))
+        return k < n and sum(math.comb(n, i) * p ** i * (1 - p) ** (n - i) for i in range(k + 1)) <= share
+
+    strata = sorted({s for s, _ in good})
+    size = Counter(s for s, _ in good)
+    first = Fraction(str(delta)) / (len(strata) * 4)
+    thin = {s for s in strata if not bounded(0, size[s], first)}
+    name = {s: "thin" if s in thin else s for s in strata}
+    shares = {(g, r): [v[r] for s, v in good if name[s] == g] for g in set(name.values()) for r in rules.RULES}
+    at, left = dict.fromkeys(shares), set(shares)
+    while True:
+        share = Fraction(str(delta)) / len(left)
+        for w in left:
+            best = None
+            for g in reversed(rules.GRID):
+                if not bounded(sum(x > g for x in shares[w]), len(shares[w]), share):
+                    break
+                best = g
+            at[w] = best
+        ended = {w for w in left if at[w] == rules.GRID[0]}
+        left -= ended
+        if not ended or not left:
+            return {(s, r): at[name[s], r] for s in strata for r in rules.RULES}
+
+
+def test_cutoffs_and_verdicts_equal_plain_ones(spark):
+    rng, rows = np.random.default_rng(5), []
+    for lang, n in (("en", 900), ("de", 300), ("fr", 280), ("es", 40), (None, 30), ("xx", 20)):
+        for _ in range(n):
+            words = [f"w{x}" for x in rng.integers(0, 10 ** 6, 60)]
+            for j in range(min(60, int(rng.exponential(2)))):
+                words[j] += "$"
+            if rng.random() < 0.02:
+                words += words[:8] * 2
+            lines = "\n".join(" ".join(words[i:i + 10]) for i in range(0, len(words), 10))
+            rows.append((len(rows), lines + ("\n" + words[0]) * int(rng.random() < 0.3), lang))
+    labels = [(i, int(lang != "xx")) for i, _, lang in rows]
+    rows += [(len(rows) + i, " ".join(f"w{i}x{j}$$" for j in range(60)), lang) for i, lang in enumerate(("de", "xx", "en"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = rules.judge(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    value = {}
+    for r in out:
+        words, chars, symbols, lines, dups, repeats = plain_counts(rows[r.doc_id][1])
+        value[r.doc_id] = {"symbols": symbols / words, "repeats": repeats / words, "duplicate_lines": dups / lines,
+                           "long_words": chars / words / 20}
+    good = [(r.stratum, value[r.doc_id]) for r in out if r.doc_id < len(labels) and r.stratum != "xx" and not r.base_failed]
+    cut = plain_cutoffs(good)
+    assert cut["de", "symbols"] == cut["es", "symbols"] == cut["", "symbols"] is not None  # pooled
+    assert cut["en", "symbols"] != cut["de", "symbols"]
+    for r in out:
+        assert set(r.failed) == {k for k, v in value[r.doc_id].items()
+                                 if cut.get((r.stratum, k)) is not None and v > cut[r.stratum, k]}
+        assert r.kept == (not r.base_failed and not r.failed)
+    assert any(r.failed for r in out if r.stratum == "de") and not any(r.failed for r in out if r.stratum == "xx")
+
+
+def test_ended_walks_pass_their_share_on():
+    n, none = 480, [0] * len(rules.GRID)
+    assert rules.safe(0, n, 0.01, 0.05 / 4) and not rules.safe(0, n, 0.01, 0.05 / 8)
+    walks = {k: none for k in "abcd"} | {k: [n] * len(rules.GRID) for k in "efgh"}
+    size = dict.fromkeys("abcd", 10 * n) | dict.fromkeys("efgh", n)
+    assert rules.walk(walks, size, 0.01, 0.05) == dict.fromkeys("abcd", 0.02) | dict.fromkeys("efgh")
+    walks["e"] = [n] * 40 + [0] * 9
+    assert rules.walk(walks, size, 0.01, 0.05)["e"] == rules.GRID[40]
+    assert rules.walk({"e": walks["e"], "f": walks["f"]} | {k: [n] * 49 for k in "ghijkl"}, dict.fromkeys("efghijkl", n), 0.01, 0.05)["e"] is None
+
+
 # --- decontamination
 
 def plain_hits(text, items):
