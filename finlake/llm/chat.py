@@ -1,7 +1,7 @@
 """Chat formatting with Spark expressions only.
 
 A conversation's turns are collected as structs, sorted by turn, and adjacent
-turns of one role are merged into a block by an array aggregate::
+turns of one role are merged into a block, a slice of the sorted array::
 
     <|start|>role<|message|>text<|turn|>text<|end|>
 
@@ -20,6 +20,7 @@ from pyspark.sql.column import Column
 
 START, MESSAGE, TURN, END = "<|start|>", "<|message|>", "<|turn|>", "<|end|>"
 _CONTROL = r"(\||/?s>|/?INST\])"
+_STEP = 256
 
 
 def escape(c: Column) -> Column:
@@ -47,19 +48,12 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                  F.coalesce(F.col(role_col), F.lit("")).alias("role"),
                  F.coalesce(F.col(text_col), F.lit("")).alias("text")).alias("t"))
     grouped = t.groupBy("conv").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    kind = "array<struct<role:string,texts:array<string>>>"
-
-    def merge(blocks: Column, x: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        one = F.array(F.struct(x["role"].alias("role"), F.array(x["text"]).alias("texts")))
-        # slice, then a longer last block; or a block of its own
-        longer = F.concat(F.slice(blocks, 1, F.size(blocks) - 1),
-                          F.array(F.struct(last["role"].alias("role"),
-                                           F.concat(last["texts"], F.array(x["text"])).alias("texts"))))
-        return F.when((F.size(blocks) > 0) & (F.get(blocks, F.size(blocks) - 1)["role"] == x["role"]), longer).otherwise(
-            F.concat(blocks, one))
-
-    blocks = grouped.select("conv", F.aggregate("ts", F.expr(f"cast(array() as {kind})"), merge).alias("blocks"))
+    # blocks start where the role changes
+    starts = grouped.withColumn("starts", F.expr(
+        "filter(sequence(0, size(ts) - 1), i -> i = 0 or ts[i].role != get(ts, i - 1).role)"))
+    blocks = starts.select("conv", F.expr(
+        "transform(starts, (s, k) -> struct(ts[s].role as role, transform(slice(ts, s + 1, "
+        "coalesce(get(starts, k + 1), size(ts)) - s), t -> t.text) as texts))").alias("blocks"))
     escaped = blocks.select("conv", F.transform("blocks", lambda b: F.struct(
         escape(b["role"]).alias("role"), (b["role"] == loss_role).alias("loss"),
         F.transform(b["texts"], escape).alias("texts"))).alias("blocks"))
@@ -71,12 +65,17 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
             F.array(F.struct(F.lit(TURN).alias("s"), F.lit(False).alias("loss")),
                     F.struct(x.alias("s"), b["loss"].alias("loss")))))),
         F.array(F.struct(F.lit(END).alias("s"), F.lit(False).alias("loss")))))).alias("pieces"))
-    at = F.expr("aggregate(transform(pieces, p -> length(p.s)), cast(array(0) as array<int>), "
-                "(a, n) -> concat(a, array(element_at(a, -1) + n)))")
-    spans = F.expr("transform(filter(zip_with(pieces, slice(at, 1, size(pieces)), "
-                   "(p, a) -> struct(p.loss as loss, a as start, a + length(p.s) as end)), x -> x.loss), "
+    # running sums of the lengths, by steps: an array that grows is copied each time
+    running = "(a, n) -> concat(a, array(element_at(a, -1) + n))"
+    summed = pieces.withColumn("lens", F.expr("transform(pieces, p -> length(p.s))")).withColumn("before", F.expr(
+        f"aggregate(transform(sequence(1, size(lens), {_STEP}), s -> aggregate(slice(lens, s, {_STEP}), 0, (a, n) -> a + n)), "
+        f"array(0), {running})"))
+    at = F.expr(f"flatten(transform(before, (b, k) -> slice(aggregate(slice(lens, k * {_STEP} + 1, {_STEP}), array(b), {running}), "
+                f"1, {_STEP})))")
+    spans = F.expr("transform(filter(zip_with(zip_with(pieces, lens, (p, n) -> struct(p.loss as loss, n as n)), "
+                   "slice(at, 1, size(lens)), (p, a) -> struct(p.loss as loss, a as start, a + p.n as end)), x -> x.loss), "
                    "x -> struct(x.start as start, x.end as end))")
-    return (pieces.withColumn("at", at)
+    return (summed.withColumn("at", at)
             .select(F.col("conv").alias(conv_col), F.array_join(F.transform("pieces", lambda p: p["s"]), "").alias("formatted"),
                     spans.alias("loss_spans")))
 
@@ -94,7 +93,20 @@ def read_turns(formatted: Column) -> Column:
     return F.flatten(F.transform(F.slice(blocks, F.lit(1), F.size(blocks) - 1), block))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), value worked out once also where f uses it for each item of an array."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def loss_text(formatted: Column, loss_spans: Column) -> Column:
-    """The text under the loss mask, unescaped, nothing between."""
-    return F.array_join(F.transform(loss_spans, lambda s: unescape(
-        F.substr(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    """The text under the loss mask, unescaped, nothing between.  Spans are read
+    by steps, each from the part that holds them: code points are counted from a string's start."""
+    def part(text: Column, spans: Column) -> Column:
+        start, end = F.get(spans, F.lit(0))["start"], F.element_at(spans, -1)["end"]
+        return _let(F.struct(F.substr(text, start + 1, end - start).alias("text"), start.alias("start")), lambda p: F.array_join(
+            F.transform(spans, lambda s: unescape(F.substr(p["text"], s["start"] - p["start"] + 1, s["end"] - s["start"]))), ""))
+
+    return _let(F.struct(formatted.alias("text"), loss_spans.alias("spans")), lambda x: F.when(
+        F.size(x["spans"]) == 0, "").otherwise(F.array_join(F.transform(
+            F.sequence(F.lit(1), F.size(x["spans"]), F.lit(_STEP)),
+            lambda i: _let(F.slice(x["spans"], i, _STEP), lambda s: part(x["text"], s))), "")))

@@ -321,10 +321,13 @@ def test_chat_reads_back(spark):
             (1, 3, "assistant", "|end|> é中"), (1, 4, "system", None), (1, 5, "assistant", ""), (2, None, None, "x"), (2, 1, "a<|b", "y"),
             (2, 1, "a<|b", "y"), (None, 0, "assistant", "tie"), (3, 0, "assistant", "[INST]" * 3), (3, 0, "user", "<s>")]
     rows += [(9, i, "user" if i % 3 else "assistant", f"t{i} <|") for i in range(300)]
+    # pieces that fill whole steps of the running sums, many turns of one role, a very long text
+    rows += [(10, i, "assistant", f"u{i}é") for i in range(127)] + [(11, i, "assistant", "v") for i in range(255)]
+    rows += [(12, i, "ab"[i // 700 % 2], f"w{i}") for i in range(3000)] + [(13, 0, "user", "long <|é" * 200_000), (13, 1, "assistant", "end")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, blocks string")
     out = {r.conv_id: r for r in chat.format_chats(df).withColumn("turns", chat.read_turns(F.col("formatted")))
            .withColumn("loss", chat.loss_text(F.col("formatted"), F.col("loss_spans"))).collect()}
-    assert set(out) == {1, 2, 3, 9, None}
+    assert set(out) == {1, 2, 3, 9, 10, 11, 12, 13, None}
     for c, r in out.items():
         mine = sorted([x for x in rows if x[0] == c], key=lambda x: (x[1] is not None, x[1] or 0, x[2] or "", x[3] or ""))
         assert [(t.role, t.text) for t in r.turns] == [(x[2] or "", x[3] or "") for x in mine]
