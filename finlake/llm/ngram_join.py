@@ -45,6 +45,7 @@ DIMENSIONS = 64        # counts of a point, a byte each; 255 stands for any larg
 WIDE = 1024            # the same for the second search: long sets look alike in few counts
 PAGE = 32              # points of a page
 LEAF_NODES, LEAF_BYTES = 1024, 16 << 20
+CHUNK_BYTES = 1 << 20  # texts at once: arrays of hashes take some 50 times as much
 SET_ROWS, WIDE_ROWS = "node long, tokens binary", "node long, n long, point binary"
 
 
@@ -157,7 +158,7 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
 
 def _nodes(k: int):
     def run(batches):
-        for chunk in T.chunks(batches):
+        for chunk in T.chunks(batches, size=CHUNK_BYTES):
             sh = _Shingles(chunk.column("text"), k)
             yield pa.RecordBatch.from_arrays(
                 [chunk.column("id"), pa.array(sh.n), pa.array(sh.node.view(np.int64), mask=sh.n == 0),
@@ -170,7 +171,7 @@ def _group_keys(k: int, percent: int):
 
     def run(batches):
         seen: set[int] = set()  # nodes of this task whose keys are out: copies need none
-        for chunk in T.chunks(batches):
+        for chunk in T.chunks(batches, size=CHUNK_BYTES):
             sh = _Shingles(chunk.column("text"), k)
             new = []
             for i, x in enumerate(sh.node.tolist()):
@@ -186,7 +187,7 @@ def _sets(k: int, wanted, wide: bool = False):
     """(node, tokens) of the wanted sets, or (node, n, point) with wide points."""
     def run(batches):
         seen: set[int] = set()
-        for chunk in T.chunks(batches):
+        for chunk in T.chunks(batches, size=CHUNK_BYTES):
             sh = _Shingles(chunk.column("text"), k)
             node = sh.node.view(np.int64)
             pick = []
