@@ -1,7 +1,7 @@
 """Oracle SQL of repeated and faulty loads, stated from the customer's number."""
 from __future__ import annotations
 
-from finlake.oracle import revenue, warehouse
+from finlake.oracle import profitability, revenue, warehouse
 from finlake.oracle.prelude import sql
 
 Q = {}
@@ -71,3 +71,8 @@ Q["rev_distinct_by_sketch"] = sql(" UNION ALL ".join(
 # the same rows as the statements that read the tables themselves
 Q["rev_monthly_from_rollup"] = revenue.Q["rev_monthly_ytd_mom"]
 Q["catalog_inventory"] = warehouse.Q["table_inventory"]
+Q["rev_by_industry_colocated"] = revenue.Q["rev_by_industry"]
+Q["prf_clv_plan_colocated"] = profitability.Q["prf_clv_plan"]
+Q["prf_clv_top20_colocated"] = profitability.Q["prf_clv_top20"]
+for _t in ("dim_date", "dim_customers", "dim_product", "fact_transactions", "fact_churn"):
+    Q[f"load_read_back_{_t}"] = warehouse.read_in_full(_t)

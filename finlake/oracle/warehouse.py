@@ -288,7 +288,13 @@ def _constraints() -> str:
 
 
 Q["check_constraints"] = sql(_constraints(), defects=True)
-Q["load_write_read_back"] = sql(f"SELECT {_present('fact_budget_vs_actual', skip=_KEYS_ONLY)} FROM fact_budget_vs_actual")
+
+
+def read_in_full(table: str) -> str:
+    return sql(f"SELECT {_present(table, skip=_KEYS_ONLY)} FROM {table}")
+
+
+Q["load_write_read_back"] = read_in_full("fact_budget_vs_actual")
 Q["load_product_seed"] = sql("""
 brand AS (SELECT CAST(substr(p_brand, 7, 3) AS INTEGER) AS product_key, COUNT(*) AS parts FROM part GROUP BY ALL)
 SELECT CAST(p.product_key AS INTEGER) AS product_key, p.product_line, p.category,

@@ -1,6 +1,6 @@
 """Registered checks of repeated and faulty loads (appended keys, quarantined
 cells, reloads by key, labels of several spellings) and of what is kept beside
-the tables: distinct sketches, partial sums, the catalog."""
+the tables: distinct sketches, partial sums, the catalog, a layout by customer."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -10,14 +10,16 @@ from finlake.operators import cells
 from finlake.operators.reload import CREATED, UPDATED, reload_table
 from finlake.operators.rollup import read_rollup, refresh_rollup
 from finlake.operators.sketches import exact_counts, merged_estimates, period_sketches
-from finlake.plans.revenue import rev_monthly_ytd_mom
+from finlake.plans.profitability import prf_clv_plan, prf_clv_top20
+from finlake.plans.revenue import rev_by_industry, rev_monthly_ytd_mom
 from finlake.plans.warehouse import (TABLE_DESCRIPTIONS, dirty_staging, learn_spellings, load_dim_customers, load_fact_budget, load_fact_churn,
                                      load_fact_transactions, parse_staging, present, render_budget, render_churn,
                                      render_customers, render_transactions)
-from finlake.schemas import FACT_TRANSACTIONS
+from finlake.schemas import FACT_TRANSACTIONS, WAREHOUSE
 from finlake.session import scratch_dir
 from finlake.sources.catalog import inventory, register_star
-from finlake.sources.staging import append_keyed, read_table, write_staging, write_star
+from finlake.sources.colocated import read_colocated, write_colocated
+from finlake.sources.staging import append_keyed, read_star, read_table, write_staging, write_star
 
 Star = dict
 
@@ -158,3 +160,43 @@ def catalog_inventory(star: Star) -> DataFrame:
     database = "finlake_" + root.rsplit("-", 1)[1]
     register_star(spark, root, database, TABLE_DESCRIPTIONS)
     return inventory(spark, database)
+
+
+def _by_customer(star: Star) -> Star:
+    """The star with customers and transactions written bucketed by customer,
+    as many buckets as the session has shuffle partitions."""
+    spark = star["dim_customers"].sparkSession
+    root = scratch_dir(spark, "colocated")
+    database = "finlake_" + root.rsplit("-", 1)[1]
+    write_colocated(star, root, database, int(spark.conf.get("spark.sql.shuffle.partitions")), names=("fact_transactions",))
+    return {**star, **read_colocated(spark, database)}
+
+
+def rev_by_industry_colocated(star: Star) -> DataFrame:
+    """Revenue by industry from tables laid out by customer."""
+    return rev_by_industry(_by_customer(star))
+
+
+def prf_clv_plan_colocated(star: Star) -> DataFrame:
+    """Lifetime value by plan from tables laid out by customer."""
+    return prf_clv_plan(_by_customer(star))
+
+
+def prf_clv_top20_colocated(star: Star) -> DataFrame:
+    """The largest lifetime values from tables laid out by customer."""
+    return prf_clv_top20(_by_customer(star))
+
+
+def _written_and_read(name: str, drop: tuple[str, ...] = ()):
+    def read_back(star: Star) -> DataFrame:
+        spark = star[name].sparkSession
+        root = scratch_dir(spark, "read-back")
+        write_star({name: star[name]}, root, files_per_partition=1)
+        return present(read_star(spark, root, [name])[name].drop(*drop))
+    read_back.__doc__ = f"{name} written with audit columns and read in full with its declared types."
+    return read_back
+
+
+# the tables read in full besides the budget (load_write_read_back)
+READ_BACK = {f"load_read_back_{n}": _written_and_read(n, tuple(c for c in ("transaction_key", "churn_key") if c in WAREHOUSE[n].names))
+             for n in ("dim_date", "dim_customers", "dim_product", "fact_transactions", "fact_churn")}

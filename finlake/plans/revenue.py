@@ -207,9 +207,9 @@ def rev_category_heatmap(star: Star) -> DataFrame:
     return rev_by_product_line(star)
 
 
-def rev_category_by_year(star: Star, years: tuple[int, ...] = tuple(range(1995, 2002))) -> DataFrame:
+def rev_category_by_year(star: Star, years: tuple[int, ...]) -> DataFrame:
     """The heatmap the title describes: revenue per category (rows) and fiscal
-    year (columns).  ``years`` is explicit so the pivot needs no extra pass;
+    year (columns).  ``years`` must be named, so the pivot needs no extra pass;
     revenue of other years is in ``fy_other``, so none is lost.  Revenue is summed per
     product and year before the category is joined."""
     t = (star["fact_transactions"].groupBy("product_key", F.col("fiscal_year").cast("int").alias("_fy"))

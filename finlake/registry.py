@@ -3,6 +3,7 @@ driver's tables.  Data-quality checks run on the planted-defect star."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +23,7 @@ _reg(revenue, ["rev_kpis", "rev_annual_yoy", "rev_quarterly_qoq", "rev_monthly_y
                "rev_mrr_by_plan", "rev_mrr_segment_region", "rev_mrr_pareto", "rev_mrr_pareto_ranked",
                "rev_by_segment",
                "rev_by_industry", "rev_by_region_year", "rev_by_product_line", "rev_mix_recurring",
-               "rev_category_heatmap", "rev_category_by_year", "rev_rolling", "rev_seasonality", "rev_yoy_bridge",
+               "rev_category_heatmap", "rev_rolling", "rev_seasonality", "rev_yoy_bridge",
                "rev_forecast_next_year", "rev_by_payment_status", "rev_overdue_by_region"])
 _reg(churn, ["chn_summary", "chn_annual", "chn_monthly", "chn_by_plan", "chn_by_segment",
              "chn_by_region", "chn_by_reason_type", "chn_voluntary_share", "chn_cohort_size",
@@ -47,7 +48,11 @@ _reg(warehouse, ["load_stg_customers", "load_stg_transactions", "load_stg_churn"
      attr={n: f"q_{n}" for n in ["load_dim_customers", "load_fact_transactions", "load_fact_churn",
                                  "load_fact_budget"]})
 _reg(ingest, ["load_keyed_appends", "load_quarantine", "load_fault_counts", "load_whole_rows", "load_reload_changes",
-              "load_label_spelling", "rev_distinct_by_sketch", "rev_monthly_from_rollup", "catalog_inventory"])
+              "load_label_spelling", "rev_distinct_by_sketch", "rev_monthly_from_rollup", "catalog_inventory", "rev_by_industry_colocated",
+              "prf_clv_plan_colocated", "prf_clv_top20_colocated"])
+PLANS.update({n: (fn, "star") for n, fn in ingest.READ_BACK.items()})
+# the years of the test tables; a user names those of their own
+PLANS["rev_category_by_year"] = (partial(revenue.rev_category_by_year, years=tuple(range(1995, 2002))), "star")
 _reg(warehouse, ["check_constraints"], defects=True)
 PLANS["load_product_seed"] = (warehouse.load_product_seed, "raw")
 

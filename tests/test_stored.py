@@ -1,6 +1,7 @@
 """Stored sketches, partial sums and the catalog inventory on hand frames."""
 import glob
 import os
+import re
 import tempfile
 
 import pytest
@@ -8,7 +9,10 @@ from pyspark.sql import functions as F
 
 from finlake.operators.rollup import MEASURES, read_rollup, refresh_rollup
 from finlake.operators.sketches import exact_counts, merged_estimates, period_sketches
+from finlake.plans.profitability import prf_clv_plan, prf_clv_segment_region, prf_clv_top20
+from finlake.plans.revenue import rev_by_industry
 from finlake.sources.catalog import inventory, register_star
+from finlake.sources.colocated import large_keys, read_colocated, write_colocated
 from finlake.sources.testdata import star_from_testdata
 from tests.conftest import SF_SMALL
 
@@ -65,3 +69,48 @@ def test_inventory_comes_from_the_catalog(spark, folder):
     assert {t.name: t.description for t in spark.catalog.listTables(database)}["a"] == "renamed"
     spark.sql(f"DROP DATABASE {database} CASCADE")
     assert spark.read.parquet(f"{folder}/a").count() == 7
+
+
+def _exchanges_by_customer(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return len(re.findall(r"Exchange hashpartitioning\(customer_key#\d+L?, \d+\)", plan))
+
+
+def test_tables_by_customer_need_no_exchange_of_the_fact(spark, folder):
+    star = star_from_testdata(spark, SF_SMALL)
+    database = "finlake_test_colocated"
+    write_colocated(star, folder, database, 8)
+    laid = {**star, **read_colocated(spark, database)}
+    for name in ("fact_transactions", "fact_churn", "dim_customers"):
+        assert laid[name].columns == star[name].columns and dict(laid[name].dtypes) == dict(star[name].dtypes)
+        assert laid[name].exceptAll(star[name]).isEmpty() and star[name].exceptAll(laid[name]).isEmpty()
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for plan in (prf_clv_plan, prf_clv_top20, prf_clv_segment_region, rev_by_industry):
+            assert _exchanges_by_customer(plan(laid)) == 0 < _exchanges_by_customer(plan(star))
+            assert sorted(map(tuple, plan(laid).collect())) == sorted(map(tuple, plan(star).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_large_customers_lie_in_a_plain_table(spark, folder):
+    database = "finlake_test_large"
+    fact = spark.range(9000).selectExpr("if(id % 3 = 0, 7, if(id % 100 = 1, NULL, id % 500)) AS customer_key", "id AS v")
+    customers = spark.range(500).selectExpr("id AS customer_key")
+    star = {"fact_churn": fact, "dim_customers": customers}
+    assert large_keys(fact, 8) == [7]
+    write_colocated(star, folder, database, 8, names=("fact_churn",))
+    plain = spark.table(f"{database}.fact_churn_large")
+    assert {r[0] for r in plain.select("customer_key").distinct().collect()} == {7, None}
+    assert spark.table(f"{database}.fact_churn").where("customer_key = 7 OR customer_key IS NULL").isEmpty()
+    back = read_colocated(spark, database)
+    assert set(back) == {"fact_churn", "dim_customers"}
+    assert back["fact_churn"].count() == 9000 and back["fact_churn"].exceptAll(fact).isEmpty()
+    # without large customers the table beside it goes; an empty fact has none
+    write_colocated({**star, "fact_churn": fact.where("customer_key <> 7")}, folder, database, 8, names=("fact_churn",))
+    assert not spark.catalog.tableExists(f"{database}.fact_churn_large")
+    write_colocated({**star, "fact_churn": fact.limit(0)}, folder, database, 8, names=("fact_churn",))
+    assert read_colocated(spark, database)["fact_churn"].isEmpty()
+    spark.sql(f"DROP DATABASE {database} CASCADE")
