@@ -32,10 +32,12 @@ def _save(df: DataFrame, table: str, path: str, buckets: int | None, years: list
 
 
 def large_keys(df: DataFrame, buckets: int) -> list:
-    """Keys with more rows than an even bucket: fewer than ``buckets`` of them."""
-    counts = df.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return [r[0] for r in counts.crossJoin(total).where(F.col("n") * buckets > F.col("total")).select(KEY).collect()]  # one row
+    """Keys with more rows than an even bucket, fewer than ``buckets`` of them,
+    and None where rows have no key: one pass, counted before the shuffle."""
+    counts = df.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("total"))  # one row
+    apart = F.col(KEY).isNull() | (F.col("n") * buckets > F.col("total"))
+    return [r[0] for r in counts.crossJoin(total).where(apart).select(KEY).collect()]
 
 
 def write_colocated(star: dict, root: str, database: str, buckets: int, names: tuple[str, ...] = ("fact_transactions", "fact_churn"),
@@ -49,12 +51,12 @@ def write_colocated(star: dict, root: str, database: str, buckets: int, names: t
         _save(star[name], f"`{database}`.`{name}`", f"{root}/{name}", buckets, [])
     for name in names:
         fact, years = star[name], PARTITION_COLS.get(name, [])
-        large = F.col(KEY).isNull() | F.col(KEY).isin(large_keys(fact, buckets))
-        _save(fact.where(~large), f"`{database}`.`{name}`", f"{root}/{name}", buckets, years)
+        apart = large_keys(fact, buckets)
+        large = F.col(KEY).isNull() | F.col(KEY).isin([k for k in apart if k is not None])
+        _save(fact.where(~large) if apart else fact, f"`{database}`.`{name}`", f"{root}/{name}", buckets, years)
         spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{name}{LARGE}`")
-        rest = fact.where(large)
-        if not rest.isEmpty():
-            _save(rest, f"`{database}`.`{name}{LARGE}`", f"{root}/{name}{LARGE}", None, years)
+        if apart:
+            _save(fact.where(large), f"`{database}`.`{name}{LARGE}`", f"{root}/{name}{LARGE}", None, years)
 
 
 def read_colocated(spark: SparkSession, database: str, audit: bool = False) -> dict[str, DataFrame]:
