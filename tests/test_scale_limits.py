@@ -1,6 +1,7 @@
 """Work per task does not grow with the input: shuffle partitions follow the
 stored bytes, no task holds a year or a product, staging files stay small."""
 import pytest
+from pyspark.sql import functions as F
 
 from finlake import session
 from finlake.operators.reload import reload_table
@@ -95,3 +96,39 @@ def test_first_load_writes_its_rows_once(spark, star, monkeypatch):
     assert spark.read.parquet(path).count() == said.where("kind = 'new'").count() == fact.select("transaction_id").distinct().count()
     import os
     assert not os.path.exists(f"{made[0].removeprefix('file:')}/rows")
+
+
+def test_rendering_shuffles_no_whole_facts_by_customer(spark):
+    """Customer ids are joined with orders: what becomes text is not sorted by customer again."""
+    from finlake.registry import _star
+    star, had = _star(spark, "/root/testdata/sf0.001", False), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10000")  # the products alone
+    try:
+        for text in (warehouse.staging_from_star(star)["transactions"], warehouse.transactions_text(star)):
+            plan = _plan(text)
+            assert "SortMergeJoin" not in plan[:plan.index("TXN-")] and "SortMergeJoin" in plan
+            lines = plan[plan.index("SortMergeJoin"):]
+            assert lines.index("l_orderkey") < lines.index("l_partkey")  # parts are joined below orders
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
+def test_rendering_with_ids_gives_the_rows_of_the_join(spark):
+    """Repeated, unknown and null keys too: each fact meets each of its customer's rows."""
+    from finlake.sources.testdata import NAMED, TABLES, star_from_testdata
+    path = scratch_dir(spark, "odd")
+    for t in TABLES:
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        if t == "customer":
+            df = df.where("c_custkey % 7 > 0").unionByName(df.where("c_custkey % 5 = 0").selectExpr("c_custkey", "concat(c_name, '+') c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+            df = df.unionByName(df.limit(2).selectExpr("cast(null as bigint) c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+        if t in ("orders", "lineitem", "part"):
+            key = df.columns[1 if t == "orders" else 0]
+            df = df.unionByName(df.limit(20)).unionByName(df.limit(5).withColumn(key, F.lit(None).cast("bigint")))
+        df.write.parquet(f"{path}/{t}.parquet")
+    star = star_from_testdata(spark, path, named=True)
+    want = warehouse.render_transactions(star["fact_transactions"], star["dim_customers"], star["dim_product"]).cache()
+    got = warehouse.transactions_text(star)
+    assert NAMED in star and NAMED not in star_from_testdata(spark, path, defects=True, named=True)
+    assert want.count() > star["fact_transactions"].count() > 0  # customers do repeat
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
