@@ -31,6 +31,8 @@ _JOINED = 4096  # parts normalized at once
 _SPACE = re.compile(r"\s")
 _PRINTABLE = re.compile(r"[!-~]+").fullmatch
 _NEVER = 1 << 60
+_END = 4  # last letters by which tokens are looked up
+_SHORT = tuple(range(_END - 1, 0, -1))
 #: word patterns of known files, and what they cut from lower-case printable ASCII
 _ASCII_WORDS = {r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+": r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"}
 
@@ -66,7 +68,7 @@ class TrieEncoder:
         self.final = {t[:-n]: t for t in self.vocab if t.endswith(self.suffix) and len(t) > n}
         self.longest = max(map(len, (*self.inner, *self.final)))
         self.raw = {t: np.array([i], "<u4").tobytes() for t, i in self.vocab.items()}
-        # the longest token by its last letters: no longer one can end a prefix that ends with them
+        # by a prefix's last letters: the lengths of the tokens that can end it, longest first
         self.inner_ends, self.final_ends = self._by_end(self.inner), self._by_end(self.final)
         self.ascii_words = self._known_cut(spec)
         self.spines: dict[str, tuple | None] = {}
@@ -75,11 +77,12 @@ class TrieEncoder:
         self.known_words: dict[str, bytes] = {}
 
     @staticmethod
-    def _by_end(tokens: dict[str, str]) -> dict[str, int]:
-        out: dict[str, int] = {}
+    def _by_end(tokens: dict[str, str]) -> dict[str, tuple[int, ...]]:
+        sizes: dict[str, set[int]] = {}
         for t in tokens:
-            out[t[-3:]] = max(len(t), out.get(t[-3:], 0))
-        return out
+            if len(t) >= _END:
+                sizes.setdefault(t[-_END:], set()).add(len(t))
+        return {end: (*sorted(some, reverse=True), *[n for n in _SHORT if end[-n:] in tokens]) for end, some in sizes.items()}
 
     @staticmethod
     def _known_cut(spec: dict):
@@ -159,13 +162,12 @@ class TrieEncoder:
             node = child
         node[word[-1], True] = word
 
-    def _last(self, tail: str, depth: int, last: list[str], tokens: dict[str, str], ends: dict[str, int]) -> str:
+    def _last(self, tail: str, depth: int, last: list[str], tokens: dict[str, str], ends: dict[str, tuple[int, ...]]) -> str:
         """The last token of the encoding of a prefix of `depth` letters that
         ends with `tail`, from the last tokens of its own prefixes."""
-        n = len(tail)
-        for size in range(min(n, ends.get(tail[-3:], 2)), 0, -1):
-            token = tokens.get(tail[n - size:])
-            if token is None:
+        for size in ends.get(tail[-_END:], _SHORT):
+            token = tokens.get(tail[-size:])
+            if token is None or size > depth:
                 continue
             if depth == size:
                 if self._spines(token) is not None:
@@ -236,21 +238,26 @@ class TrieEncoder:
         if len(self.known_words) + len(fresh) > CACHE_PARTS:
             self.known_words.clear()
             fresh = every
-        collects = gc.isenabled()
-        gc.disable()  # the trie is many small dictionaries and has no cycles
         trie: dict = {}
         for w in fresh:
             self.insert(trie, w)
         self.known_words.update(self.walk(trie))
         del trie
-        if collects:
-            gc.enable()
         ids = self.known_words
         for part, said in zip(plain + rest + spaced, words):
             self.known[part] = ids[said[0]] if len(said) == 1 else b"".join([ids[w] for w in said])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit bytes."""
+        collects = gc.isenabled()
+        gc.disable()  # lists of words and the trie are many small objects and have no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut: list[list[str]] = []  # alternately text and special token
         for t in texts:
             cut.append(self.special_at.split(t) if self.special_at and self.special_at.search(t) else [t])

@@ -91,3 +91,27 @@ def test_empty_and_odd_ids(spark, frame):
 def test_other_files_are_refused():
     with pytest.raises(ValueError):
         B.TrieEncoder(tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_only_lengths_of_tokens_are_tried(library):
+    """A prefix is looked up by the lengths that tokens with its last letters have, longest first."""
+    e = B.TrieEncoder(PATH)
+    for tokens, ends in ((e.inner, e.inner_ends), (e.final, e.final_ends)):
+        for end, sizes in list(ends.items())[:2000]:
+            assert list(sizes) == sorted(set(sizes), reverse=True)
+            assert all(end[-n:] in tokens for n in sizes if n < len(end))
+        for t in list(tokens)[:5000]:
+            assert len(t) in ends.get(t[-B._END:], B._SHORT)
+
+
+def test_words_are_cut_without_collections(monkeypatch):
+    import gc
+    e, seen = B.TrieEncoder(PATH), []
+    words = e._words
+    monkeypatch.setattr(e, "_words", lambda parts: seen.append(gc.isenabled()) or words(parts))
+    assert gc.isenabled() and e.encode(["söme wörds", "ä"])
+    assert seen and not any(seen) and gc.isenabled()
+    monkeypatch.setattr(e, "_words", lambda parts: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        e.encode(["nëw"])
+    assert gc.isenabled()
