@@ -223,6 +223,57 @@ def test_paragraphs_of_ten_words_by_default(spark, frame):
     assert got == paragraph_classes(docs, min_words=10) and any(n[2] < 100 for n in got)
 
 
+def test_paragraphs_read_texts_twice(spark, frame, monkeypatch):
+    """Sets are found again only in lines that may be near copies, and once."""
+    from finlake.llm import paragraphs
+    a = " ".join(f"w{i}" for i in range(40))
+    df = frame([(1, a), (2, "x\n" + a.replace("w7 ", "v7 ")), (3, a.upper()), (4, " ".join(f"u{i}" for i in range(40))), (5, None)])
+    kind, read = type(df), []
+    run = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *x, **y: read.append("text" in self.columns) or run(self, *x, **y))
+    rows = paragraphs.duplicate_paragraphs(df, percent=70).collect()
+    assert sorted((r.doc_id, r.paragraph, r.kept_id, r.removed) for r in rows) == [(1, 0, 1, False), (2, 1, 1, True), (3, 0, 1, True)]
+    assert sum(read) == 2
+
+
+def test_paragraphs_of_wanted_lines():
+    import pyarrow as pa
+
+    from finlake.llm import paragraphs as P
+    rng = random.Random(8)
+    lines = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60))) + " ü" for _ in range(300)]
+    column = pa.array(["\n".join(lines[:100]), None, "", "\n \n" + "\n".join(lines[100:]), "AB cd"])
+    for k in (1, 3, 5):
+        whole = P._Paragraphs(column, k, 3)
+        for one in (0, len(whole.line) // 2, len(whole.line) - 1):
+            key = whole.line[one:one + 1].view(np.int64)
+            wanted = np.zeros(1 << 13, np.uint8)
+            for at in P.bloom._positions(key, 16):
+                np.bitwise_or.at(wanted, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+            part = P._Paragraphs(column, k, 3, wanted)
+            assert 0 < len(part.node) < 20
+            for i in range(len(part.node)):
+                j = next(j for j in range(len(whole.node)) if (whole.doc[j], whole.ls[j]) == (part.doc[i], part.ls[i]))
+                assert (part.node[i], part.le[i], part.words[i]) == (whole.node[j], whole.le[j], whole.words[j])
+                assert (part.tokens[part.first[i]:part.first[i + 1]] == whole.tokens[whole.first[j]:whole.first[j + 1]]).all()
+            assert one in [j for j in range(len(whole.line)) if whole.line[j] in part.line]
+
+
+def test_first_items_of_owners():
+    from finlake.llm import paragraphs as P
+    rng = np.random.default_rng(3)
+    for n, values in ((0, 1), (1, 1), (2, 1), (500, 5), (500, 400)):
+        own = np.sort(rng.integers(0, 9, n))
+        value = rng.integers(0, 1 << 63, values).astype(np.uint64)[rng.integers(0, values, n)]
+        # values that differ in the lowest bits only meet in the sort
+        for value in (value, value & np.uint64(3), value & np.uint64(3) | np.uint64(1 << 62)):
+            seen, want = set(), []
+            for pair in zip(own.tolist(), value.tolist()):
+                want.append(pair not in seen)
+                seen.add(pair)
+            assert P._firsts(own, value).tolist() == want
+
+
 def test_passages_in_any_line_layout(spark, frame):
     from finlake.llm import paragraphs
     rng = random.Random(10)
