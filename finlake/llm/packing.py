@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,97 +28,124 @@ from finlake.llm import text as T
 from finlake.session import scratch_dir
 
 SIZE = 1024
-#: words whose ids a worker process remembers; a full memory is emptied (results do not change)
+#: words whose ids a worker process remembers, half of them old ones (results do not depend on it)
 CACHE_WORDS = 700_000
 
 
-#: a space that ends a text, starts it, or stands before white space
-_ODD_SPACE = re.compile(r" (?=\s|\Z)|\A ")
+_WHITE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"  # Python's \s
+#: a space or line break inside of white space, neither the first nor the last of it, or at the end of a text
+_ODD_SPACE = rf"[{_WHITE}][ \n](?:[{_WHITE}]|\z)"
+#: before a space or line break that a visible character precedes or follows
+_CUT = re.compile(r"(?<!\s)(?=[ \n])|(?=[ \n]\S)")
 #: letters, then signs without an apostrophe (which may start a suffix of its own)
 _WORD_SIGNS = re.compile(r"([^\W\d_]+)([^\w\s']+)")
 _SPACE = re.compile(r"\s")
 _JOINED = 4096  # words encoded at once
 
 
+def _parts(text: str) -> list[str]:
+    """What comes before the first cut, then the parts."""
+    head, *parts = _CUT.split(text)
+    return [head, *[p[1:] if p[0] == " " and p[1:2] not in (" ", "\n") else p for p in parts]]
+
+
 class _Ids:
-    """Token ids as little-endian 32-bit bytes.  A text is cut before every
-    single space that a visible character follows; no token crosses such a
-    place, so the ids of the parts, each encoded once, make up the text's.  Nor does one
-    cross from a letter to a sign or hold a single line break and its neighbours, so a
-    new word with signs at its end or with a line break is made of its pieces.  New
-    pieces are encoded many at a time, told apart by the space or line break before each.
+    """Token ids, little-endian 32-bit.  A text is cut before every
+    single space or line break that a visible character precedes or follows; no
+    token crosses such a place, so the ids of the parts, each encoded once, make up the
+    text's.  Nor does one cross from a letter to a sign, so a new part with signs at its
+    end is made of its pieces.  New pieces are encoded many at a time, told apart by the
+    space or line break before each.  A part stands for itself if it starts with a line
+    break or space, else for a space and itself.
     A text that holds the string of a special token is encoded as a whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(special)) if special else None
-        self.known: dict[str, bytes] = {}  # part after its space -> ids, space included
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {}  # part -> ids
+        self.old: dict[str, bytes] = {}  # what was known before: half of the memory
         self.signs: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0][0]
-        self.lines: dict[str, bytes] = {}  # part after its line break -> ids, line break included
         size = max(vocabulary.values()) + 1
         self.spaced, self.broken = np.zeros(size, bool), np.zeros(size, bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
         self.broken[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.special:
-            whole = [bool(self.special.search(t)) for t in texts]
-            if any(whole):
-                plain = iter(self._encode([t for t, w in zip(texts, whole) if not w]))
-                return [self._each([t])[0] if w else next(plain) for t, w in zip(texts, whole)]
-        return self._encode(texts)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        parts = [re.split(r" (?=\S)", t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        heads = self._each([p.pop(0) for p in parts])
-        new = set().union(*parts).difference(self.known)
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            self.signs.clear()
-            self.lines.clear()
-            new = set().union(*parts)
-        self._learn(new)
-        get = self.known.__getitem__
-        return [h + b"".join(map(get, p)) for h, p in zip(heads, parts)]
+        ids, off = self.arrays(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(off, off[1:])]
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a string column and the offsets of its rows in them."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        whole = np.zeros(len(texts), bool)
+        for x in self.special:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        slow = odd | whole
+        lists = pc.split_pattern(pc.replace_substring(texts.filter(pa.array(~slow)), "\n", " \n"), " ")
+        heads = {}
+        if slow.any():
+            rows = np.flatnonzero(slow)
+            cut = [[x] if w else _parts(x) for x, w in zip(texts.take(pa.array(rows)).to_pylist(), whole[rows])]
+            heads = {i: p[0] for i, p in zip(rows.tolist(), cut)}
+            lists = pa.concat_arrays([lists, pa.array([["", *p[1:]] for p in cut], lists.type)])
+            lists = lists.take(pa.array(np.argsort(np.argsort(slow, kind="stable"), kind="stable")))
+        first = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        words = lists.flatten()
+        heads = [heads.get(i, x) for i, x in enumerate(words.take(pa.array(first[:-1])).to_pylist())]
+        coded = words.dictionary_encode()
+        at, words = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at[first[:-1]] = len(words) + np.arange(len(heads))
+        self._remember(words)
+        each = [*map(self.known.__getitem__, words), *self._each(heads)]
+        n = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        start = np.cumsum(n) - n
+        end = np.cumsum(n[at])
+        place = np.repeat(start[at] - end + n[at], n[at])
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(each), "<u4")[place], np.append(0, end)[first]
+
+    def _remember(self, words: list[str]) -> None:
+        new = set(words).difference(self.known)
+        if len(self.known) + len(new) > CACHE_WORDS // 2:
+            self.old, self.known = self.known, {}
+            new = set(words)
+        again = [w for w in new if w in self.old]
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        self._learn(new.difference(again))
 
     def _learn(self, words: set[str]) -> None:
-        whole, letters, signed, broken = [], set(), [], []
+        whole, letters, broken, signed = [], set(), set(), []
         for w in words:
             if w.isalpha():
                 letters.add(w)
                 continue
-            left, _, right = w.partition("\n")
-            if right and left and not left[-1].isspace() and not right[0].isspace() and not _SPACE.search(right):
-                broken.append((w, left, right))
-                if left in self.known or left in words:
-                    continue
-                w = left
-            m = _WORD_SIGNS.fullmatch(w)
+            line = w[:1] == "\n"
+            v = w[1:] if line else w
+            m = _WORD_SIGNS.fullmatch(v)
             if m and m[1].isalpha() and m[1][-1] < "\u0250":
-                signed.append((w, *m.groups()))
-                letters.add(m[1])
-            elif w.isalpha():
-                letters.add(w)
+                signed.append((w, "\n" + m[1] if line else m[1], m[2]))
+                (broken if line else letters).add(m[1])
+            elif line and v and not _SPACE.search(v):
+                broken.add(v)
             else:
                 whole.append(w)
-        whole += self._joined(" ", [w for w in letters if w not in self.known], self.spaced, self.known)
-        self.known.update(zip(whole, self._each([" " + w for w in whole])))
+        lines = ["\n" + w for w in self._joined("\n", [w for w in broken if "\n" + w not in self.known], self.broken, "\n")]
+        whole += lines + self._joined(" ", [w for w in letters if w not in self.known], self.spaced)
+        self.known.update(zip(whole, self._each([w if w[:1] in ("\n", " ") and w else " " + w for w in whole])))
+        if len(self.signs) > CACHE_WORDS // 8:
+            self.signs.clear()
         signs = list({c[2] for c in signed}.difference(self.signs))
         self.signs.update(zip(signs, self._each(signs)))
         for w, base, sign in signed:
             self.known[w] = self.known[base] + self.signs[sign]
-        rest = self._joined("\n", list({c[2] for c in broken}.difference(self.lines)), self.broken, self.lines)
-        self.lines.update(zip(rest, self._each(["\n" + w for w in rest])))
-        for w, left, right in broken:
-            self.known[w] = self.known[left] + self.lines[right]
-
-    def _joined(self, before: str, words: list[str], marks: np.ndarray, out: dict[str, bytes]) -> list[str]:
-        """Encode words many at a time, each after the character `before`, whose
-        token marks where it starts; returns those where that is not so."""
+
+    def _joined(self, before: str, words: list[str], marks: np.ndarray, key: str = "") -> list[str]:
+        """Learn words many at a time, each after the character `before`, whose
+        token marks where it starts; `key` starts their parts.  Returns those where that is not so."""
         rest = []
         for i in range(0, len(words), _JOINED):
             some = words[i:i + _JOINED]
@@ -127,7 +155,7 @@ class _Ids:
                 rest += some
                 continue
             raw, at = ids.tobytes(), (4 * np.append(first, len(ids))).tolist()
-            out.update(zip(some, (raw[a:b] for a, b in zip(at, at[1:]))))
+            self.known.update(zip((key + w for w in some) if key else some, (raw[a:b] for a, b in zip(at, at[1:]))))
         return rest
 
     def _each(self, texts: list[str]) -> list[bytes]:
@@ -143,8 +171,9 @@ def _pieces(path: str, size: int, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         for chunk in T.chunks(batches, uses=f"ids {path}"):
             doc, start, length, crc, total, rank = [], [], [], [], [], []
-            for i, raw in enumerate(ids.encode([t or "" for t in chunk.column("text").to_pylist()])):
-                raw += end
+            coded, off = ids.arrays(chunk.column("text"))
+            for i, (first, last) in enumerate(zip(off.tolist(), off[1:].tolist())):
+                raw = coded[first:last].tobytes() + end
                 n = len(raw) // 4
                 for a in range(0, n, size):
                     m = min(size, n - a)

@@ -85,6 +85,21 @@ def test_ids_of_parts_are_ids_of_texts():
     assert np.frombuffer(ids.encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
 
 
+def test_ids_cut_at_line_breaks(monkeypatch):
+    ids, plain = packing._Ids(queries.tokenizer_path()), Tokenizer.from_file(queries.tokenizer_path())
+    words = [a + b for a in "abcdefgh" for b in "klmnop"]
+    ids.encode(["\n".join(f"{a} {b}" for a in words for b in words), " ".join(f"{a},\n{b}" for a in words for b in words)])
+    assert len(ids.known) <= 3 * len(words) + 1  # not one for each two words that a line break parts
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 400)
+    r = random.Random(3)
+    marks = [" ", "\n", "  ", "\n\n", "\t", "\r", "\x1c", "\x85", "\u3000", "a", "Foo", "\u00e9", "x1", "'s", ",", "...", "\u0301", "\u02b0", "<|endoftext|>"]
+    for _ in range(200):
+        texts = ["".join(r.choices(marks, k=r.randint(0, 14))) for _ in range(10)]
+        for t, raw in zip(texts, ids.encode(texts)):
+            assert np.frombuffer(raw, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
+
+
 def test_histogram_packing_shortest_first():
     patterns = packing.pack_histogram({6: 3, 4: 2, 3: 1, 1: 2}, 10)
     used = Counter()
