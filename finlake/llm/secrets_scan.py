@@ -150,11 +150,15 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(F.col("id").alias(id_col), F.col("text").alias(text_col), "spans")
 
 
-def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **scan) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", width: int = WIDTH,
+           thresholds: dict[str, float] | None = None) -> DataFrame:
     """The documents, all columns kept, with every span of a secret replaced
-    by `mask`; overlapping spans become one."""
+    by `mask`; overlapping spans become one.  Texts are scanned and masked in
+    one Python worker: each that a task starts stays, with all its memory."""
+    scan = _scan(width, dict(thresholds or THRESHOLDS))
+
     def run(batches):
-        for batch in batches:
+        for batch in scan(batches):
             texts = batch.column("text").to_pylist()
             for i, spans in enumerate(batch.column("spans").to_pylist()):
                 out, at = [], 0
@@ -169,4 +173,4 @@ def redact(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]", **sc
 
     d = T.rows_beside_text(docs, text_col)
     schema = f"id {d.schema['id'].dataType.simpleString()}, text string"
-    return T.unpacked(find_secrets(d, "id", "text", **scan).mapInArrow(run, schema), docs.columns, text_col)
+    return T.unpacked(d.mapInArrow(run, schema), docs.columns, text_col)
