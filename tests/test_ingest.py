@@ -181,3 +181,55 @@ def test_load_star_unifies_labels(spark, folder):
     assert plain["fact_churn"].select("churn_reason").distinct().count() > len(want)
     assert {r[0].lower() for r in once["fact_churn"].select("churn_reason").distinct().collect()} == want
     assert once["fact_churn"].select("churn_reason").distinct().count() == len(want)
+
+
+LOAD = "a string, b int, y int, v string"  # keyed by a and b
+TABLE = "k long not null, a string, b int, y int, v string"
+
+
+def _load(n, v, years=4):
+    """Keys with nulls, each third one up to three times, once with equal rows."""
+    out = []
+    for i in range(n):
+        a, b = None if i % 17 == 0 else f"key {i // 3}", None if i % 19 == 0 else i % 3
+        out += [(a, b, None if i % 23 == 0 else 2000 + i % years, f"{v(i)} {c if i % 2 else 0}") for c in range(1 + (i % 9 in (3, 6)) * 2)]
+    return out
+
+
+@pytest.mark.parametrize("bits, in_files", [(28, False), (28, True), (15, False)])
+def test_reload_gives_the_rows_of_a_plain_merge(spark, folder, monkeypatch, bits, in_files):
+    """Against a dict: nulls and repeated rows in keys, moved years, absent keys; also where all bits are set."""
+    from pyspark.sql.types import StructType
+
+    from finlake.operators import keybits
+    from finlake.operators.reload import row_hash
+    monkeypatch.setattr(keybits, "MAX_BITS", bits)
+    if bits == 15:  # every row may be any key
+        monkeypatch.setattr(keybits, "_place", lambda n: (keybits.F.lit(0).cast("bigint"), keybits.F.lit(5).cast("bigint")))
+    schema, path = StructType.fromDDL(TABLE), f"{folder}/plain"
+    loads = [_load(400, lambda i: "x"), _load(500, lambda i: "z" if i % 10 == 4 else "x")[40:], _load(300, lambda i: "x", years=3)]
+    table, last = {}, 0
+    for number, rows in enumerate(loads):
+        df = spark.createDataFrame(rows, LOAD).repartition(5)
+        if in_files:
+            df.write.parquet(f"{folder}/load{number}")
+            df = spark.read.schema(LOAD).parquet(f"{folder}/load{number}")
+        said = reload_table(df, path, ["a", "b"], schema, "k", "y", in_files=in_files)
+        one = {}
+        for r in df.withColumn("h", row_hash(["a", "b", "y", "v"])).collect():
+            one[r.a, r.b] = min(one.get((r.a, r.b), (r.h, r.y, r.v)), (r.h, r.y, r.v), key=lambda x: x[0])
+        kinds = {k: ("absent" if k not in one else "new" if k not in table else "same" if table[k][:3] == one[k] else "changed") for k in {*one, *table}}
+        assert {(r.a, r.b): r.kind for r in said.collect()} == kinds and said.count() == len(kinds)
+        years = {k: [x[k][1] for x in (one, table) if k in x and x[k][1] is not None] for k in kinds}
+        assert {(r.a, r.b): r.y for r in said.collect()} == {k: v[0] if v else None for k, v in years.items()}
+        got = spark.read.parquet(path).collect()
+        keys = {(r.a, r.b): r.k for r in got}
+        assert sorted(keys[k] for k in kinds if kinds[k] == "new") == list(range(last + 1, last + 1 + sum(v == "new" for v in kinds.values())))
+        last += sum(v == "new" for v in kinds.values())
+        was, table = table, {k: (*(one.get(k) or table[k][:3]), table[k][3] if k in table else keys[k], kinds[k]) for k in kinds}
+        assert len(got) == len(table)
+        assert {(r.a, r.b): (r.row_hash, r.y, r.v, r.k) for r in got} == {k: v[:4] for k, v in table.items()}
+        latest = max(r.updated_at for r in got)
+        assert {(r.a, r.b) for r in got if r.updated_at == latest} == {k for k in kinds if kinds[k] in ("new", "changed")}
+        assert {(r.a, r.b) for r in got if r.created_at == latest} == {k for k in kinds if kinds[k] == "new"}
+        assert number == 0 or {"same", "changed", "absent"} <= set(kinds.values())

@@ -132,3 +132,60 @@ def test_rendering_with_ids_gives_the_rows_of_the_join(spark):
     assert NAMED in star and NAMED not in star_from_testdata(spark, path, defects=True, named=True)
     assert want.count() > star["fact_transactions"].count() > 0  # customers do repeat
     assert got.columns == want.columns and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_reload_keeps_the_kinds_alone(spark, star, monkeypatch):
+    """Whole rows that are written on the way are gone when the table stands; session options are as they were."""
+    import os
+    made = []
+    for module in ("reload", "keys"):
+        monkeypatch.setattr(f"finlake.operators.{module}.scratch_dir", lambda s, p: made.append(scratch_dir(s, p)) or made[-1])
+    path, fact = scratch_dir(spark, "kinds-alone"), star["fact_transactions"].drop("transaction_key")
+    had = {k: spark.conf.get(k, None) for k in session.WRITES_IN_A_ROW}
+    how = dict(keys=["transaction_id"], schema=FACT_TRANSACTIONS, surrogate="transaction_key", partition="fiscal_year")
+    reload_table(fact.where("customer_key % 10 > 3"), path, **how)
+    said = reload_table(fact.withColumn("payment_status", F.when(F.col("customer_key") % 10 == 5, "Moved").otherwise(F.col("payment_status"))), path, **how)
+    assert {r.kind for r in said.select("kind").distinct().collect()} == {"new", "changed", "same"}
+    assert [os.listdir(m.removeprefix("file:")) for m in made if os.path.exists(m.removeprefix("file:"))] == [["kinds"]] * 2
+    assert {k: spark.conf.get(k, None) for k in had} == had
+
+
+@pytest.mark.parametrize("most", [28, 15])
+def test_rows_are_split_by_keys_without_a_shuffle(spark, monkeypatch, most):
+    from finlake.operators import keybits
+    monkeypatch.setattr(keybits, "MAX_BITS", most)
+    df = spark.range(60_000).select(F.when(F.col("id") % 7 > 0, F.concat(F.lit("k"), F.col("id"))).alias("a"), (F.col("id") % 5).alias("b"), F.col("id").alias("v"))
+    keys = df.where("v % 10 = 3").select("a", "b").distinct()
+    some, others = keybits.split_by_keys(df, keys.select(keybits.key_hash(["a", "b"])), ["a", "b"], keys.count())
+    assert some.count() + others.count() == 60_000 and some.unionByName(others).exceptAll(df).count() == 0
+    on = (df["a"].eqNullSafe(keys["a"]) & df["b"].eqNullSafe(keys["b"]))
+    inside = {r.v for r in df.join(keys, on, "left_semi").collect()}
+    passed = {r.v for r in some.collect()}
+    assert inside <= passed and len(passed) < len(inside) + 54_000 * (0.09 if most > 15 else 0.3)
+    for part in (some, others):  # only the keys are dealt
+        plan = _plan(part)
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_transactions_alone_are_the_transactions(spark):
+    """Repeated, unknown and null keys too; lines meet parts below orders."""
+    from finlake.sources.testdata import ALONE, TABLES, star_from_testdata
+    path, had = scratch_dir(spark, "alone"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for t in TABLES:
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        if t in ("customer", "orders", "lineitem", "part"):
+            key = df.columns[1 if t == "orders" else 0]
+            df = df.where(f"{key} % 11 > 0").unionByName(df.limit(20)).unionByName(df.limit(5).withColumn(key, F.lit(None).cast("bigint")))
+        df.write.parquet(f"{path}/{t}.parquet")
+    star = star_from_testdata(spark, path, named=True)
+    want, got = star["fact_transactions"], star[ALONE]
+    assert got.columns == want.columns and got.count() > 0
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert ALONE not in star_from_testdata(spark, path, defects=True, named=True)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10000")
+    try:
+        plan = _plan(got.drop("transaction_key"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    lines = plan[plan.index("SortMergeJoin"):]
+    assert lines.index("l_orderkey") < lines.index("l_partkey")
